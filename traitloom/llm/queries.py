@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from pyspark.sql import functions as F
+
+from . import odd_minhash, substring_dedup, topk_search, wav_media
 from ._common import table
 
 QUERIES: dict = {}
@@ -29,3 +31,56 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
        sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+
+def op7_odd_minhash(spark, sf_dir):
+    """Near-duplicate components of ``documents`` on two-word shingles at 0.8."""
+    return odd_minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+QUERIES["op7_odd_minhash"] = op7_odd_minhash
+ORACLE_SQL["op7_odd_minhash"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.id, b FROM reach JOIN both_ways ON r = a),
+low AS (SELECT id, min(r) AS c FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id, d.doc_id = c AS kept
+FROM d JOIN low ON low.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+def op5_wav_media(spark, sf_dir):
+    """Digests of every text of ``documents`` stored as WAV and read back."""
+    heard = wav_media.fingerprint(wav_media.store(table(spark, sf_dir, "documents")))
+    return heard.select(
+        "doc_id", "n_bytes", "payload_bytes", F.sha2("payload", 256).alias("payload_sha256"), "tail_crc32",
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.format_string("%d:%016x", F.size("peaks"), F.xxhash64("peaks")).alias("feature"),
+    )
+
+
+QUERIES["op5_wav_media"] = op5_wav_media
+
+
+def op10_topk_search(spark, sf_dir):
+    """The 20 highest inner products of every 20th vector of ``embeddings``."""
+    return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES["op10_topk_search"] = op10_topk_search
+ORACLE_SQL["op10_topk_search"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
+"""
