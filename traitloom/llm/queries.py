@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import odd_minhash, substring_dedup, topk_search, wav_media
+from . import markov_secrets, odd_minhash, substring_dedup, topk_search, wav_media
 from ._common import table
 
 QUERIES: dict = {}
@@ -84,3 +84,19 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
 """
+
+
+def equals(i: int):
+    """A condition on one array element."""
+    return lambda x: x == i
+
+
+def op9_markov_secrets(spark, sf_dir):
+    """Secret spans of every text of ``documents``."""
+    found = markov_secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base", lambda b: b["kind"])
+    count = [F.size(F.filter(kinds, equals(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(markov_secrets.KINDS[:3])]
+    return found.select("doc_id", *count, F.sha2(markov_secrets.as_text(F.col("base")), 256).alias("base_sha256"), markov_secrets.as_text(F.col("spans")).alias("spans"))
+
+
+QUERIES["op9_markov_secrets"] = op9_markov_secrets

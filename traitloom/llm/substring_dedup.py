@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, mix, powers, raw_text, rolling, signed, steps, word_hashes
+from ._common import cut, mix, packed_text, powers, raw_text, rolling, signed, steps, unpacked, word_hashes
 
 _BASE_A, _BASE_B, _BASE_C = 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 _SALT = np.uint64(0x8EBC6AF09C88C6E3)
@@ -111,7 +111,7 @@ def _windows(size: int):
     """Exact 128-bit keys of the windows named by ``places``."""
 
     def run(batches):
-        for step in steps(batches):
+        for step in unpacked(batches):
             h, first = word_hashes(*raw_text(step.column("text")))
             one = signed(mix(rolling(h, size, _BASE_A)))
             two = signed(mix(rolling(mix(h ^ _SALT), size, _BASE_B)))
@@ -135,7 +135,7 @@ def _windows(size: int):
 
 def _without(size: int, keep_text: bool):
     def run(batches):
-        for step in steps(batches):
+        for step in unpacked(batches):
             data, bounds = raw_text(step.column("text"))
             whole = data.tobytes()
             names, total, gone, texts, digests = step.column("spans").to_pylist(), [], [], [], []
@@ -182,6 +182,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 50, gram: int = 8, keep
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFFFF))
     named = base.where("doc_id is not null")
+    packed = packed_text(base)
 
     sketches = named.mapInArrow(_partition_sketch(size, gram), "slot long, n long")
     busy = cut(sketches.groupBy("slot").agg(F.sum("n").alias("n")).where("n >= 2").select("slot"))
@@ -198,10 +199,10 @@ def remove_repeated_windows(docs: DataFrame, size: int = 50, gram: int = 8, keep
     varied = firsts.groupBy("cell").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("cell")
     tag = F.shiftrightunsigned("place", 40).alias("tag")
     places = firsts.join(varied, "cell", "left_semi").groupBy("doc_id", tag).agg(F.collect_list("place").alias("places"))
-    windows = cut(named.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInArrow(_windows(size), "doc_id long, k1 long, k2 long, place long"))
+    windows = cut(packed.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInArrow(_windows(size), "doc_id long, k1 long, k2 long, place long"))
     least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     spans = spans.unionAll(windows.join(least, ["k1", "k2"]).where("doc_id > least").select("doc_id", "place"))
 
     spans = spans.groupBy("doc_id", tag).agg(F.collect_list("place").alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
-    return base.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(_without(size, keep_text), schema)
+    return packed.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(_without(size, keep_text), schema)
