@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import markov_secrets, odd_minhash, substring_dedup, topk_search, wav_media
+from . import license_scan, markov_secrets, odd_minhash, substring_dedup, topk_search, wav_media
 from ._common import table
 
 QUERIES: dict = {}
@@ -100,3 +100,40 @@ def op9_markov_secrets(spark, sf_dir):
 
 
 QUERIES["op9_markov_secrets"] = op9_markov_secrets
+
+
+def op2_license_scan(spark, sf_dir):
+    """License labels of every text of ``documents``."""
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+QUERIES["op2_license_scan"] = op2_license_scan
+
+
+def _license_sql() -> str:
+    """Every template as DuckDB list expressions over ``w``, the words of a text."""
+    known = license_scan.templates()
+    accepted = []
+    for number, t in enumerate(known):
+        at, key = t["keys"][0]
+        n, m = len(t["words"]), len(key)
+        phrase = "[" + ", ".join(f"'{x}'" for x in key) + "]"
+        standing = " + ".join(f"coalesce(CAST(CASE WHEN i + {k - at} >= 1 THEN w[i + {k - at}] = '{x}' END AS INTEGER), 0)" for k, x in enumerate(t["words"]))
+        accepted.append(
+            f"SELECT doc_id, i - 1 AS p, '{t['label']}' AS label, {t['base']} AS base, ({standing}) / {n}.0::DOUBLE AS share "
+            f"FROM (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = '{key[0]}' AND w[i:i + {m - 1}] = {phrase})) AS i FROM d)"
+        )
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+hit AS ({" UNION ALL ".join(accepted)}),
+place AS (SELECT * FROM hit WHERE share >= 0.6)
+SELECT d.doc_id, len(w) AS n_words, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(share), 0.0) AS score
+FROM d LEFT JOIN place USING (doc_id) GROUP BY d.doc_id, w
+"""
+
+
+ORACLE_SQL["op2_license_scan"] = _license_sql()
