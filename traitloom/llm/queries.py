@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import license_scan, markov_secrets, odd_minhash, substring_dedup, topk_search, wav_media
+from . import crf_langid, entropy_mix, license_scan, markov_secrets, odd_minhash, substring_dedup, topk_search, wav_media
 from ._common import table
 
 QUERIES: dict = {}
@@ -137,3 +137,21 @@ FROM d LEFT JOIN place USING (doc_id) GROUP BY d.doc_id, w
 
 
 ORACLE_SQL["op2_license_scan"] = _license_sql()
+
+
+def op4_entropy_mix(spark, sf_dir):
+    """The mix of all ``documents`` whose sources weigh 5, 2, 1."""
+    return entropy_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES["op4_entropy_mix"] = op4_entropy_mix
+
+
+def op1_crf_langid(spark, sf_dir):
+    """Language of every text of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    model = crf_langid.train(docs.select("doc_id", "text", "lang"))
+    return crf_langid.identify(docs, model).select("doc_id", crf_langid.held_out().alias("held_out"), "lang_pred", "score", "n_words", "segments")
+
+
+QUERIES["op1_crf_langid"] = op1_crf_langid
