@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import crf_langid, entropy_mix, license_scan, markov_secrets, odd_minhash, substring_dedup, topk_search, wav_media
+from . import crf_langid, entropy_mix, license_scan, markov_secrets, odd_minhash, sp_lattice, substring_dedup, topk_search, url_rules, wav_media
 from ._common import table
 
 QUERIES: dict = {}
@@ -155,3 +155,21 @@ def op1_crf_langid(spark, sf_dir):
 
 
 QUERIES["op1_crf_langid"] = op1_crf_langid
+
+
+def op3_url_rules(spark, sf_dir):
+    """Verdict on the URL of every row of ``pages``."""
+    labels = table(spark, sf_dir, "labels")
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+
+
+QUERIES["op3_url_rules"] = op3_url_rules
+
+
+def op8_sp_lattice(spark, sf_dir):
+    """Sampled pieces of every text of ``documents``, and the text they decode to."""
+    decoded = sp_lattice.decode(sp_lattice.encode(table(spark, sf_dir, "documents")))
+    return decoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES["op8_sp_lattice"] = op8_sp_lattice
