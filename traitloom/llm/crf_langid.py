@@ -224,10 +224,10 @@ def _marginals(ids: np.ndarray, bounds: np.ndarray, emissions: np.ndarray, trans
     return out
 
 
-_RESULT = "doc_id long, lang_pred string, score double, n_words long, segments string"
+_RESULT = {"lang_pred": "string", "score": "double", "n_words": "long", "segments": "string"}
 
 
-def _label(shared):
+def _label(shared, columns):
     def run(batches):
         model = shared.value
         k = len(model.labels) if model else 0
@@ -272,21 +272,22 @@ def _label(shared):
                 said = [f"{names[a]}*{n}" for a, n in zip(label[turns], lengths, strict=True)]
                 cuts = np.searchsorted(turns, bounds)
                 runs[full] = [" ".join(said[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [step.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(sizes.astype(np.int64)), pa.array(runs, pa.string())],
-                ["doc_id", "lang_pred", "score", "n_words", "segments"],
-            )
+            found = [pa.array(pred, pa.string()), pa.array(score), pa.array(sizes.astype(np.int64)), pa.array(runs, pa.string())]
+            kept = [n for n in step.schema.names if n in columns]
+            yield pa.RecordBatch.from_arrays([*map(step.column, kept), *found], [*kept, *_RESULT])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
     """Languages of every text, by word and as a whole.
 
-    ``docs`` needs doc_id and text; other columns are ignored and no input of a
-    prediction.  Result per row: doc_id, lang_pred (the language with the
-    highest mean word marginal), score (that mean), n_words, segments (labels
-    of neighbouring words as ``label*count``, in order).
+    ``docs`` needs doc_id and text; other columns are no input of a prediction.
+    Result per row: doc_id, lang_pred (the language with the highest mean word
+    marginal), score (that mean), n_words, segments (labels of neighbouring
+    words as ``label*count``, in order).  ``keep`` carries all columns of
+    ``docs`` along, but for those named like a result; null texts come back
+    empty.
 
     Null texts, texts without a letter, and all texts where there was nothing
     to learn from, give ``und``, score 0 and no segments.  Ties go to the label
@@ -294,5 +295,6 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     others; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return base.mapInArrow(_label(shared), _RESULT)
+    docs = docs.drop(*[c for c in docs.columns if c in _RESULT]) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    columns = {c: kind for c, kind in docs.dtypes if keep or c != "text"}
+    return docs.mapInArrow(_label(shared, set(columns)), ", ".join(f"`{c}` {kind}" for c, kind in (columns | _RESULT).items()))

@@ -138,7 +138,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     copies between runs, the table as a whole does not change.  A source
     without words has target 0.  An empty table gives an empty result.
     """
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("hash")))
+    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("hash")))
     cells = cut(rows.groupBy("source").agg(F.sum("size").alias("words")))
     wanted = cut(source_targets(cells.select("source", F.col("words").alias("source_size")), weights, most))
     solved = balance(cells, ["source"], {"source": wanted.select(F.col("source").alias("value"), "target")}, most)
@@ -146,5 +146,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     rate = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
     sources = wanted.join(solved, F.col("source").eqNullSafe(F.col("value"))).select("source", "source_size", "target", rate.alias("rate"))
     ticket = F.pmod("hash", F.lit(1 << 52)) / F.lit(float(1 << 52))
-    rated = rows.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "d.source", "size", ticket.alias("ticket"), "source_size", "target", "rate")
+    rated = rows.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "d.source", "size", "hash", ticket.alias("ticket"), "source_size", "target", "rate")
     return _copies(rated).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def take(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+    """``docs`` with every row repeated as often as :func:`mix` says, or left out.
+
+    Rows are matched with their copies by id, text hash and, for equal rows,
+    number, so each is repeated by its own count.
+    """
+    key = ["_id", "_hash", "_nth"]
+    nth = F.row_number().over(W.partitionBy("_id", "_hash").orderBy("_id"))
+    hashed = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    mixed = mix(docs, weights, most).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "copies").withColumn("_nth", nth)
+    rows = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": hashed}).withColumn("_nth", nth)
+    same = [rows[c].eqNullSafe(mixed[c]) for c in key]
+    taken = rows.join(mixed, same[0] & same[1] & same[2]).withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return taken.select(*[rows[c] for c in docs.columns])

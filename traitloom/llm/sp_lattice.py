@@ -129,7 +129,7 @@ class _Lattices:
         alive, turn, walked = np.arange(len(kinds)), 0, []
         count = np.zeros(len(kinds), np.int64)
         while len(alive):
-            u = (mix(seeds[alive] + np.uint64(turn) * _STRIDE) >> np.uint64(11)).astype(np.float64) / 2**53
+            u = (mix(seeds[alive] + np.uint64(turn * int(_STRIDE) % 2**64)) >> np.uint64(11)).astype(np.float64) / 2**53
             node = first[alive] + place[alive] - 1
             edge = np.searchsorted(self.keys, node + u, side="right")
             edge = np.minimum(edge, len(self.keys) - 1)
