@@ -1,5 +1,5 @@
 """Registered queries over the supplied tables, one module per operator group."""
 
-from . import phenology
+from . import linkage_queries, naming_queries, phenology
 
-MODULES = (phenology,)
+MODULES = (phenology, naming_queries, linkage_queries)

@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from traitloom.operators.detections import PLANT_CLASSES, phenology
-from traitloom.plans.views import detections
 
-_SQL_DETECTIONS = "SELECT CAST(l_orderkey AS VARCHAR) AS filename, l_partkey % 11 AS cls FROM lineitem"
+from ._register import Registry
+from .views import view
 
+R = Registry()
+QUERIES, ORACLE_SQL = R.QUERIES, R.ORACLE_SQL
 
-def ag01_phenology(spark, sf_dir):
-    return phenology(detections(spark, sf_dir).select("filename", "cls"), image="filename")
+_FERTILE = [PLANT_CLASSES.index(n) for n in ("seed_fruit_one", "seed_fruit_many", "flower_one", "flower_many")]
 
 
-QUERIES = {"ag01_phenology": ag01_phenology}
-ORACLE_SQL = {
-    "ag01_phenology": f"WITH d AS ({_SQL_DETECTIONS}) SELECT filename, "
+@R.add(
+    "SELECT filename, "
     + ", ".join(f"count(*) FILTER (cls = {i}) AS {name}" for i, name in enumerate(PLANT_CLASSES))
-    + ", count(*) FILTER (cls IN (0, 1)) > 0 AS has_leaves, "
-    + "greatest(" + ", ".join(f"count(*) FILTER (cls = {PLANT_CLASSES.index(n)})" for n in ("seed_fruit_one", "seed_fruit_many", "flower_one", "flower_many")) + ") > 0 AS is_fertile "
-    + "FROM d GROUP BY filename",
-}
+    + ", count(*) FILTER (cls IN (0, 1)) > 0 AS has_leaves, greatest("
+    + ", ".join(f"count(*) FILTER (cls = {i})" for i in _FERTILE)
+    + ") > 0 AS is_fertile FROM detections GROUP BY filename",
+    ("detections",),
+)
+def ag01_phenology(spark, sf_dir):
+    return phenology(view(spark, sf_dir, "detections").select("filename", "cls"), image="filename")
