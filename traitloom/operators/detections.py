@@ -24,3 +24,17 @@ def phenology(boxes: DataFrame, image: str = "filename", minimum: int = 0, ideal
     leaves = F.col("leaf_whole") if ideal_only else F.col("leaf_whole") + F.col("leaf_partial")
     fertile = F.greatest(*FERTILE_CLASSES) > minimum
     return out.withColumns({"has_leaves": leaves > 0, "is_fertile": fertile})
+
+
+def crop_box(boxes: DataFrame, image: str, classes: tuple[int, ...], pad: int, width: int, height: int) -> DataFrame:
+    """Union of the boxes of some classes per image, padded and clipped to the image."""
+    return (
+        boxes.where(F.col("cls").isin(*classes))
+        .groupBy(image)
+        .agg(
+            F.greatest(F.min("x1") - pad, F.lit(0)).alias("x1"),
+            F.greatest(F.min("y1") - pad, F.lit(0)).alias("y1"),
+            F.least(F.max("x2") + pad, F.lit(width)).alias("x2"),
+            F.least(F.max("y2") + pad, F.lit(height)).alias("y2"),
+        )
+    )
