@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,3 +11,118 @@ def running_hits(predictions: DataFrame, cls: str, score: str, order: list[str])
     """Running true and false positives per class by falling score; ``hit`` says which a row is."""
     w = W.partitionBy(cls).orderBy(F.desc(score), *order).rowsBetween(W.unboundedPreceding, 0)
     return predictions.withColumns({"tp": F.sum(F.col("hit").cast("long")).over(w), "fp": F.sum((~F.col("hit")).cast("long")).over(w)})
+
+
+def matched(pairs: DataFrame, image: str, prediction: str, label: str, value: str) -> DataFrame:
+    """Greedy one-to-one matches by falling ``value``: best label per prediction, then best prediction per label."""
+    best = W.partitionBy(image, prediction).orderBy(F.desc(value), label)
+    own = W.partitionBy(image, label).orderBy(F.desc(value), prediction)
+    return pairs.withColumn("_a", F.row_number().over(best)).where("_a = 1").withColumn("_b", F.row_number().over(own)).where("_b = 1").drop("_a", "_b")
+
+
+def nearest_both_ways(predicted: DataFrame, truth: DataFrame, image: str) -> DataFrame:
+    """Distance from every predicted point to the nearest true one, and the other way (image, side, distance).
+
+    A point whose other side is empty has a null distance.
+    """
+
+    def one_way(points, others, side):
+        near = others.select(image, F.col("x").alias("ox"), F.col("y").alias("oy"))
+        rows = points.select(image, "point", "x", "y").join(near, image, "left")
+        return rows.groupBy(image, "point").agg(F.min(F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))).alias("distance")).select(image, F.lit(side).alias("side"), "point", "distance")
+
+    return one_way(predicted, truth, "predicted").unionAll(one_way(truth, predicted, "true"))
+
+
+def location_scores(distances: DataFrame, radii: int = 15) -> DataFrame:
+    """Precision, recall and F of point locations at every radius from 0."""
+    rows = distances.withColumn("radius", F.explode(F.sequence(F.lit(0), F.lit(radii))))
+    hit = F.coalesce(F.col("distance") <= F.col("radius"), F.lit(False))
+    share = lambda side: F.avg(F.when(F.col("side") == side, hit.cast("double")))
+    out = rows.groupBy("radius").agg(share("predicted").alias("precision"), share("true").alias("recall"))
+    both = F.col("precision") + F.col("recall")
+    return out.withColumn("f", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(F.lit(0.0)))
+
+
+def averaged_hausdorff(distances: DataFrame, image: str, diagonal: float) -> DataFrame:
+    """Sum of both mean nearest distances per image; the diagonal where a side is missing."""
+    mean = lambda side: F.avg(F.when(F.col("side") == side, F.col("distance")))
+    return distances.groupBy(image).agg(F.coalesce(mean("predicted") + mean("true"), F.lit(diagonal)).alias("ahd"))
+
+
+def count_scores(results: DataFrame, predicted: str = "n", truth: str = "m") -> DataFrame:
+    """Error measures of predicted counts; a truth of 0 counts its error in full percent."""
+    p, t = F.col(predicted).cast("double"), F.col(truth).cast("double")
+    e = p - t
+    percent = F.when(t == 0, 100 * e).otherwise(100 * e / t)
+    out = results.agg(
+        F.avg(e).alias("me"), F.avg(F.abs(e)).alias("mae"), F.avg(percent).alias("mpe"), F.avg(F.abs(percent)).alias("mape"), F.avg(e * e).alias("mse"),
+        F.corr(p, t).alias("r"), (1 - F.sum(e * e) / (F.sum(t * t) - F.sum(t) ** 2 / F.count(t))).alias("r2"),
+    )
+    return out.withColumn("rmse", F.sqrt("mse"))
+
+
+def precision_recall(hits: DataFrame, totals: DataFrame, cls: str, order: list[str], score: str = "score") -> DataFrame:
+    """Precision, recall and the envelope of precision per class along falling scores.
+
+    ``totals`` has the class and its number of true boxes.
+    """
+    rows = running_hits(hits, cls, score, order).join(totals, cls)
+    rows = rows.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.col("tp") / F.col("total"), "_turn": F.col("tp") + F.col("fp")})
+    tail = W.partitionBy(cls).orderBy("_turn").rowsBetween(0, W.unboundedFollowing)
+    return rows.withColumn("envelope", F.max("precision").over(tail))
+
+
+def average_precision(curve: DataFrame, cls: str, grid: int = 101) -> DataFrame:
+    """Area under the envelope by steps of recall, and its mean over a grid of recalls."""
+    line = W.partitionBy(cls).orderBy("_turn")
+    steps = curve.withColumn("_step", F.col("recall") - F.lag("recall", 1, 0.0).over(line))
+    exact = steps.groupBy(cls).agg(F.sum(F.col("_step") * F.col("envelope")).alias("ap"))
+    best = curve.groupBy(cls, F.floor(F.col("recall") * (grid - 1) + 1e-9).alias("upto")).agg(F.max("envelope").alias("envelope"))
+    # the envelope at a grid recall is the best precision at that recall or beyond
+    grids = curve.select(cls).distinct().withColumn("upto", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("upto", F.col("upto").cast("long"))
+    filled = grids.join(best, [cls, "upto"], "left").withColumn("p", F.coalesce(F.max("envelope").over(W.partitionBy(cls).orderBy("upto").rowsBetween(0, W.unboundedFollowing)), F.lit(0.0)))
+    return exact.join(filled.groupBy(cls).agg(F.avg("p").alias("ap_grid")), cls)
+
+
+def best_f1(curve: DataFrame, cls: str) -> DataFrame:
+    """Score threshold with the highest F1 per class."""
+    both = F.col("precision") + F.col("recall")
+    f1 = F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(F.lit(0.0))
+    return curve.groupBy(cls).agg(F.max(F.struct(F.round(f1, 9).alias("f1"), "score")).alias("b")).select(cls, "b.f1", "b.score")
+
+
+def confusion(predicted: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
+    """Counts of (predicted class, true class); unmatched boxes meet ``background``.
+
+    ``predicted`` and ``truth`` have id and cls; ``matches`` prediction and label ids.
+    """
+    p = predicted.select(F.col("id").alias("prediction"), F.col("cls").cast("string").alias("predicted"))
+    t = truth.select(F.col("id").alias("label"), F.col("cls").cast("string").alias("true"))
+    rows = p.join(matches, "prediction", "left").join(t, "label", "full_outer")
+    ground = lambda c: F.coalesce(c, F.lit("background"))
+    return rows.groupBy(ground("predicted").alias("predicted"), ground("true").alias("true")).agg(F.count("*").alias("n"))
+
+
+def fitness(map50: Column, map95: Column) -> Column:
+    return 0.1 * map50 + 0.9 * map95
+
+
+def segmentation_scores(matrix: DataFrame) -> DataFrame:
+    """Mean and frequency-weighted IoU, mean and overall accuracy from (predicted, true, n)."""
+    on = F.sum(F.when(F.col("predicted") == F.col("true"), F.col("n")).otherwise(0))
+    true = matrix.groupBy(F.col("true").alias("cls")).agg(F.sum("n").alias("positives"), on.alias("tp"))
+    said = matrix.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("predictions"))
+    rows = true.join(said, "cls", "left").withColumn("predictions", F.coalesce("predictions", F.lit(0)))
+    iou = F.col("tp") / (F.col("positives") + F.col("predictions") - F.col("tp"))
+    return rows.agg(F.avg(iou).alias("miou"), (F.sum(iou * F.col("positives")) / F.sum("positives")).alias("fwiou"), F.avg(F.col("tp") / F.col("positives")).alias("macc"), (F.sum("tp") / F.sum("positives")).alias("pacc"))
+
+
+def keypoint_similarity(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean over visible points of exp(-d^2 / (2 sigma)^2 / (2 area)).
+
+    ``points`` has px, py, tx, ty, visible, sigma and area.
+    """
+    d2 = (F.col("px") - F.col("tx")) ** 2 + (F.col("py") - F.col("ty")) ** 2
+    e = F.exp(-d2 / (2 * F.col("sigma")) ** 2 / (F.col("area") * 2 + 1e-7))
+    return points.groupBy(*keys).agg((F.sum(F.when(F.col("visible"), e).otherwise(F.lit(0.0))) / (F.count_if("visible") + 1e-7)).alias("oks"))
