@@ -68,8 +68,8 @@ def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_contours(spark: SparkSession, path: str) -> DataFrame:
     """Contour files: eleven header lines and then points ``x,y`` (filename, header array, seq, x, y)."""
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]*$", 1)
-    lines = F.split(F.rtrim("value"), "\n")
-    rows = spark.read.option("wholetext", True).text(path).select(stem.alias("filename"), lines.alias("lines"))
+    lines = F.split(F.regexp_replace("value", r"\s+$", ""), "\n")
+    rows = spark.read.text(path, wholetext=True).select(stem.alias("filename"), lines.alias("lines"))
     found = rows.select("filename", F.slice("lines", 1, 11).alias("header"), F.posexplode(F.slice("lines", F.lit(12), F.greatest(F.size("lines") - 11, F.lit(0)))).alias("seq", "point"))
     xy = F.split("point", ",")
     return found.select("filename", "header", "seq", F.get(xy, F.lit(0)).try_cast("double").alias("x"), F.get(xy, F.lit(1)).try_cast("double").alias("y"))
