@@ -332,8 +332,8 @@ def test_decoding_is_lossless_and_keys_repeat(spark, odd, empty):
 def test_samples_follow_the_lattice():
     vocab = sp_lattice.vocabulary()
     held = sp_lattice._Lattices(vocab)
-    kind = held.add(" the")
-    held.settle()
+    held.add(["dog", " the", "x"])
+    kind = held.known[" the"]
     n = 20_000
     codes, count = held.sample(np.full(n, kind), np.arange(n, dtype=np.uint64))
     got = Counter(tuple(codes[e - c : e].tolist()) for e, c in zip(np.cumsum(count), count, strict=True))
@@ -343,14 +343,32 @@ def test_samples_follow_the_lattice():
         for end in [i + 1 for i, c in enumerate(cuts) if c] + [4]:
             pieces.append(" the"[start:end])
             start = end
-        if all(p in vocab.ids for p in pieces):
-            weights[tuple(vocab.ids[p][0] for p in pieces)] = np.exp(sum(vocab.ids[p][1] for p in pieces))
+        if all(vocab.pieces.get(p) for p in pieces):
+            weights[tuple(vocab.pieces[p][0] for p in pieces)] = np.prod([vocab.pieces[p][1] for p in pieces])
     total = sum(weights.values())
     for path, w in weights.items():
         assert got[path] / n == pytest.approx(w / total, abs=0.015)
     assert set(got) <= set(weights)
 
 
+def test_lattices_together_equal_one_by_one():
+    vocab = sp_lattice.vocabulary()
+    chunks = [" there", "é☃", "   ", "\n", " ,;!", "internationalization" * 3, "x"]
+    end, length, code, weight = sp_lattice.lattices(chunks, vocab)
+    want = [e for c in chunks for e in sp_lattice.lattice(c, vocab)]
+    for i, edges in enumerate(want):
+        mine = end == i
+        assert [(a, b) for a, b, _ in edges] == list(zip(length[mine].tolist(), code[mine].tolist(), strict=True))
+        assert np.allclose(weight[mine] / weight[mine].sum(), np.array([w for *_, w in edges]) / sum(w for *_, w in edges))
+
+
+def test_long_chunks_do_not_underflow():
+    vocab = sp_lattice.vocabulary()
+    for chunk in ("x" * 5000, "☃" * 400, "|" * 3000):
+        ends = sp_lattice.lattice(chunk, vocab)
+        assert len(ends) == len(chunk) and all(e and all(0 < w < float("inf") for _, _, w in e) for e in ends)
+
+
 # secrets
 
 

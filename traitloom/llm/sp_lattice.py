@@ -7,8 +7,8 @@ the row key and the place, so a key always gives the same segmentation.
 
 The vocabulary is a public one and never trained.  It is a merge table without
 probabilities, so a piece weighs as Zipf's law says for its rank, raised to
-``sharpness``.  No piece reaches across a space or a line end, which lets the
-lattice of a chunk be filtered once per distinct chunk; sampling then walks
+``sharpness``.  No piece reaches across a word's end (this is checked when it
+is read), which lets the lattice of a chunk be filtered once per distinct chunk; sampling then walks
 all chunks of a step backward at the same time.
 
 Characters without a piece become their UTF-8 bytes' pieces, and so does the
@@ -18,12 +18,11 @@ every text exactly.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
-from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +31,31 @@ from ._common import mix, steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-_CHUNK = re.compile(r"\n| *[^ \n]+| +")
-_CACHE = 200_000
+_CHUNK = regex.compile(r"\n| *\p{L}+| *[^\p{L} \n]+| +")
+#: Lattice nodes kept for chunks met before.
+_NODES = 2_000_000
+#: Chunks up to this length are filtered together, longer ones one by one.
+_TOGETHER = 64
+#: Weights are scaled by this per character, which keeps products in range.
+_SCALE = 1e3
+_BASE = np.uint64(0xD1342543DE82EF95)
 _STRIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
 class Vocabulary:
-    ids: dict[str, tuple[int, float]]  # text of a piece (a real space for SPACE): id and log weight
+    pieces: dict[str, tuple[int, float] | None]  # text of a piece (a real space for SPACE): id and weight; None for beginnings of pieces
     longest: int
     byte_ids: list[int]
-    byte_weight: float
     texts: list[bytes]
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # per length: sorted hashes, ids (-1 for beginnings), scaled weights
+
+
+def _hash(text: str) -> int:
+    h = 0
+    for c in text:
+        h = (h * int(_BASE) + ord(c)) & (2**64 - 1)
+    return h
 
 
 def vocabulary(path: str = MODEL, sharpness: float = 1.0) -> Vocabulary:
@@ -60,82 +72,176 @@ def vocabulary(path: str = MODEL, sharpness: float = 1.0) -> Vocabulary:
             text = piece.replace(SPACE, " ")
             texts[i] = text.encode()
             rank = min(-model.get_score(i), size)
-            if "\n" in text and text != "\n" or " " in text.lstrip(" "):
+            if len(_CHUNK.findall(text)) != 1:
                 raise ValueError(f"piece {piece!r} reaches across a chunk")
-            ids[text] = (i, -sharpness * log(rank + 10))
-    return Vocabulary(ids, max(map(len, ids)), byte_ids, -sharpness * log(size + 10), texts)
+            ids[text] = (i, (rank + 10) ** -sharpness * _SCALE ** len(text))
+    pieces = {text[:n]: None for text in ids for n in range(1, len(text))} | ids
+    longest = max(map(len, ids))
+    tables = []
+    for n in range(1, longest + 1):
+        rows = sorted((_hash(text), known[0] if known else -1, known[1] if known else 0.0) for text, known in pieces.items() if len(text) == n)
+        tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows])))
+    return Vocabulary(pieces, longest, byte_ids, texts, tables)
 
 
-def lattice(chunk: str, vocab: Vocabulary):
-    """Edges into every character end of a chunk: (length, code, probability) lists.
+def lattice(chunk: str, vocab: Vocabulary) -> list[list[tuple[int, int, float]]]:
+    """Edges into every character end of one chunk: (length, code, weight) lists, shortest first.
 
     A code is a piece id or, for a character given as bytes, the vocabulary's
-    size plus its code point.  Probabilities of the edges into one end are the
-    backward sampling distribution there and sum to 1.
+    size plus its code point; such a character has no other edge, so its weight
+    does not matter.  A weight is the summed weight of all ways to reach the
+    end over this edge, relative to the others into the same end; backward
+    sampling takes the edge in proportion to it.
+
+    The filter runs left to right; where weights leave the middle range, the
+    positions that are still open are rescaled together.
     """
-    n, get, size = len(chunk), vocab.ids.get, len(vocab.texts)
-    filtered, ends = [0.0] * (n + 1), []
-    for end in range(1, n + 1):
-        edges = []
-        for start in range(max(0, end - vocab.longest), end):
-            known = get(chunk[start:end])
-            if known is not None:
-                edges.append((end - start, known[0], filtered[start] + known[1]))
-        if get(chunk[end - 1]) is None:
-            width = len(chunk[end - 1].encode())
-            edges.append((1, size + ord(chunk[end - 1]), filtered[end - 1] + width * vocab.byte_weight))
-        top = max(e[2] for e in edges)
-        weights = [exp(e[2] - top) for e in edges]
-        total = sum(weights)
-        filtered[end] = top + log(total)
-        ends.append([(e[0], e[1], w / total) for e, w in zip(edges, weights, strict=True)])
-    return ends
+    n, pieces, size, longest = len(chunk), vocab.pieces, len(vocab.texts), vocab.longest
+    filtered, ends = [0.0] * (n + 1), [[] for _ in range(n)]
+    filtered[0] = 1.0
+    for start in range(n):
+        here = filtered[start]
+        if not 1e-100 < here < 1e100:
+            factor = 1 / here
+            for at in range(start, min(n, start + longest) + 1):
+                filtered[at] *= factor
+                if at > start:
+                    ends[at - 1] = [(length, code, weight * factor) for length, code, weight in ends[at - 1]]
+            here = 1.0
+        alone = True
+        for end in range(start + 1, min(n, start + longest) + 1):
+            known = pieces.get(chunk[start:end], False)
+            if known is False:  # begins no piece
+                break
+            if known:
+                weight = here * known[1]
+                filtered[end] += weight
+                ends[end - 1].append((end - start, known[0], weight))
+                alone = alone and end > start + 1
+        if alone:
+            filtered[start + 1] += here
+            ends[start].append((1, size + ord(chunk[start]), here))
+    return [edges[::-1] for edges in ends]
+
+
+def lattices(chunks: list[str], vocab: Vocabulary) -> tuple[np.ndarray, ...]:
+    """The lattices of many chunks at once: end (a running character), length, code, weight of every edge.
+
+    Edges are in order of end and then length, as :func:`lattice` has them.
+    All characters look up one length after another, as long as what they
+    begin also begins a piece; the filter runs over places in the chunks.
+    """
+    letters = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(c) for c in chunks])
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(letters)) - first
+    left = np.repeat(sizes, sizes) - place
+    alive, h = np.arange(len(letters)), np.zeros(len(letters), np.uint64)
+    found = []
+    for n, (hashes, ids, weights) in enumerate(vocab.tables, 1):
+        keep = left[alive] >= n
+        alive, h = alive[keep], h[keep]
+        h = h * _BASE + letters[alive + (n - 1)]
+        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        keep = hashes[at] == h
+        alive, h, at = alive[keep], h[keep], at[keep]
+        hit = ids[at] >= 0
+        found.append((alive[hit], np.full(int(hit.sum()), n), ids[at[hit]].astype(np.int64), weights[at[hit]]))
+        if n == 1:
+            single = np.zeros(len(letters), bool)
+            single[found[0][0]] = True
+            rest = np.flatnonzero(~single)
+            found.append((rest, np.ones(len(rest), np.int64), len(vocab.texts) + letters[rest].astype(np.int64), np.ones(len(rest))))
+    start, length, code, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(place[start], kind="stable")
+    start, length, code, weight = start[order], length[order], code[order], weight[order]
+    bounds = np.searchsorted(place[start], np.arange(int(sizes.max()) + 1))
+    filtered = (place == 0).astype(np.float64)
+    filtered = np.append(filtered, 0.0)
+    inner = place[start] + length < (left + place)[start]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        weight[a:b] *= filtered[start[a:b]]
+        on = inner[a:b]
+        np.add.at(filtered, (start[a:b] + length[a:b])[on], weight[a:b][on])
+    end = start + length - 1
+    order = np.lexsort((length, end))
+    return end[order], length[order], code[order], weight[order]
+
+
+class _Column:
+    """A growing array."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1 << 16, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(len(self.data), len(values)), self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def view(self) -> np.ndarray:
+        return self.data[: self.n]
 
 
 class _Lattices:
-    """The lattices of the chunks met so far, as flat arrays that sampling can search."""
+    """The lattices of the chunks met so far, as flat arrays that sampling can search.
+
+    A node is a character end.  The key of an edge is its node's number plus
+    the share of the node's weight up to this edge, in steps of 2**-24; node
+    numbers leave such keys exact, so a draw never depends on the order in
+    which chunks were met.
+    """
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.known = vocab, {}
-        self.first, self.length = [], []
-        self.keys, self.codes, self.spans = (np.zeros(0, t) for t in (np.float64, np.int64, np.int64))
-        self.nodes = 0
-        self._new: list[tuple[float, int, int]] = []
-
-    def add(self, chunk: str) -> int:
-        at = self.known[chunk] = len(self.known)
-        self.first.append(self.nodes)
-        self.length.append(len(chunk))
-        for edges in lattice(chunk, self.vocab):
-            reached = 0.0
-            for length, code, p in edges[:-1]:
-                reached += p
-                self._new.append((self.nodes + min(reached, 1.0), code, length))
-            self._new.append((self.nodes + 1.0, edges[-1][1], edges[-1][0]))
-            self.nodes += 1
-        return at
-
-    def settle(self) -> None:
-        if self._new:
-            keys, codes, spans = zip(*self._new, strict=True)
-            self.keys = np.concatenate([self.keys, np.array(keys)])
-            self.codes = np.concatenate([self.codes, np.array(codes)])
-            self.spans = np.concatenate([self.spans, np.array(spans)])
-            self._new = []
+        self.vocab, self.known, self.nodes = vocab, {}, 0
+        self.first, self.length = _Column(np.int64), _Column(np.int64)
+        self.keys, self.codes, self.spans = _Column(np.float64), _Column(np.int32), _Column(np.int16)
+
+    def add(self, chunks: list[str]) -> None:
+        """Filter chunks that are not known yet."""
+        short = [c for c in chunks if len(c) <= _TOGETHER]
+        if short:
+            self._take(short, *lattices(short, self.vocab))
+        for chunk in chunks:
+            if len(chunk) > _TOGETHER:
+                edges = [(i, *e) for i, into in enumerate(lattice(chunk, self.vocab)) for e in into]
+                self._take([chunk], *(np.array(c) for c in zip(*edges, strict=True)))
+
+    def _take(self, chunks, end, length, code, weight) -> None:
+        sizes = np.array([len(c) for c in chunks])
+        for chunk in chunks:
+            self.known[chunk] = len(self.known)
+        self.first.extend(self.nodes + np.cumsum(sizes) - sizes)
+        self.length.extend(sizes)
+        opens = np.append(True, end[1:] != end[:-1])
+        last = np.append(opens[1:], True)
+        begin = np.flatnonzero(opens)
+        turn = np.arange(len(end)) - np.repeat(begin, np.diff(np.append(begin, len(end))))
+        upto = weight.astype(np.float64).copy()
+        for t in range(1, int(turn.max()) + 1):
+            at = np.flatnonzero(turn == t)
+            upto[at] += upto[at - 1]
+        total = np.repeat(upto[last], np.diff(np.append(begin, len(end))))
+        share = np.round(upto / total * 2**24) / 2**24
+        self.keys.extend(self.nodes + end + np.where(last, 1.0, share))
+        self.codes.extend(code)
+        self.spans.extend(length)
+        self.nodes += int(sizes.sum())
 
     def sample(self, kinds: np.ndarray, seeds: np.ndarray):
         """Codes of all chunks, in order, and how many each has."""
-        first, place = np.array(self.first)[kinds], np.array(self.length)[kinds]
+        first, place = self.first.view()[kinds], self.length.view()[kinds]
+        keys, all_codes, spans = self.keys.view(), self.codes.view(), self.spans.view()
         alive, turn, walked = np.arange(len(kinds)), 0, []
         count = np.zeros(len(kinds), np.int64)
         while len(alive):
-            u = (mix(seeds[alive] + np.uint64(turn * int(_STRIDE) % 2**64)) >> np.uint64(11)).astype(np.float64) / 2**53
+            u = (mix(seeds[alive] + np.uint64(turn * int(_STRIDE) % 2**64)) >> np.uint64(40)).astype(np.float64) / 2**24
             node = first[alive] + place[alive] - 1
-            edge = np.searchsorted(self.keys, node + u, side="right")
-            edge = np.minimum(edge, len(self.keys) - 1)
-            walked.append((alive, self.codes[edge]))
+            edge = np.minimum(np.searchsorted(keys, node + u, side="right"), len(keys) - 1)
+            walked.append((alive, all_codes[edge]))
             count[alive] += 1
-            place[alive] -= self.spans[edge]
+            place[alive] -= spans[edge]
             alive = alive[place[alive] > 0]
             turn += 1
         ends = np.cumsum(count)
@@ -164,20 +270,17 @@ def _encode(shared, seed: int):
         vocab = shared.value
         held = _Lattices(vocab)
         for step in steps(batches, limit=1 << 19):
-            if len(held.known) > _CACHE:
+            if held.nodes > _NODES:
                 held = _Lattices(vocab)
-            kinds, sizes = [], []
+            chunks, sizes = [], []
             for text in step.column("text").to_pylist():
-                chunks = _CHUNK.findall(" " + text) if text else []
-                own = list(map(held.known.get, chunks))
-                if None in own:
-                    for i, chunk in enumerate(chunks):
-                        if own[i] is None:
-                            at = held.known.get(chunk)
-                            own[i] = held.add(chunk) if at is None else at
-                kinds += own
+                own = _CHUNK.findall(" " + text) if text else []
+                chunks += own
                 sizes.append(len(own))
-            held.settle()
+            kinds = list(map(held.known.get, chunks))
+            if None in kinds:
+                held.add(list(dict.fromkeys(c for c, kind in zip(chunks, kinds, strict=True) if kind is None)))
+                kinds = list(map(held.known.get, chunks))
             sizes = np.array(sizes)
             row = np.repeat(np.arange(len(sizes)), sizes)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
