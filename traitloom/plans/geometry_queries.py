@@ -191,10 +191,10 @@ def fn20_side_of_line(spark, sf_dir):
     return rows.select("component", "seq", G.side_of_line(F.col("slope"), F.col("intercept"), F.col("x"), F.col("y"), F.lit(True), F.lit(500)).alias("side"))
 
 
-@R.add(f"WITH {_POINTS} SELECT component, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS intercept FROM p GROUP BY component")
+@R.add(f"WITH {_POINTS} SELECT component, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x) + 1e-9, 4) AS intercept FROM p GROUP BY component")
 def fn25_line_fit(spark, sf_dir):
     out = G.line_fit(points(spark, sf_dir), "component")
-    return out.select("component", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
+    return out.select("component", F.round("slope", 6).alias("slope"), F.round(F.col("intercept") + 1e-9, 4).alias("intercept"))
 
 
 @R.add(f"""WITH {_POINTS}, m AS (SELECT component, avg(x) AS mx, avg(y) AS my, greatest(max(x) - min(x), 1e-9) AS sx FROM p GROUP BY component), c AS (SELECT p.component, mx, my, sx, (x - mx) / sx AS u, y - my AS v FROM p JOIN m USING (component)),
@@ -238,9 +238,9 @@ def wn21_oriented(spark, sf_dir):
 @R.add(f"""WITH {_SEG}, d AS (SELECT *, coalesce(segment, 0) AS dt, lag(x) OVER w AS px, lag(y) OVER w AS py FROM g WINDOW w AS (PARTITION BY component ORDER BY seq)),
   t AS (SELECT *, sum(dt) OVER (PARTITION BY component ORDER BY seq) AS t, sum(dt) OVER (PARTITION BY component) AS total FROM d),
   s AS (SELECT *, unnest(range(CASE WHEN px IS NULL THEN 0 ELSE CAST(floor(round((t - dt) / total * 9, 9)) AS BIGINT) + 1 END, CAST(floor(round(t / total * 9, 9)) AS BIGINT) + 1)) AS step FROM t WHERE total > 0)
-  SELECT component, step, round(coalesce(px + CASE WHEN dt > 0 THEN (step * total / 9 - t + dt) / dt ELSE 1 END * (x - px), x), 4) AS x, round(coalesce(py + CASE WHEN dt > 0 THEN (step * total / 9 - t + dt) / dt ELSE 1 END * (y - py), y), 4) AS y FROM s""")
+  SELECT component, step, round(coalesce(px + CASE WHEN dt > 0 THEN (step * total / 9 - t + dt) / dt ELSE 1 END * (x - px), x) + 1e-9, 4) AS x, round(coalesce(py + CASE WHEN dt > 0 THEN (step * total / 9 - t + dt) / dt ELSE 1 END * (y - py), y) + 1e-9, 4) AS y FROM s""")
 def fn24_resampled(spark, sf_dir):
-    return _rounded(G.resampled(points(spark, sf_dir), "component", 10), "x", "y", digits=4)
+    return G.resampled(points(spark, sf_dir), "component", 10).withColumns({c: F.round(F.col(c) + 1e-9, 4) for c in "xy"})
 
 
 @R.add(f"""WITH {_POINTS}, n AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM p WINDOW w AS (PARTITION BY component ORDER BY seq)),
