@@ -191,7 +191,8 @@ def remove_repeated_windows(docs: DataFrame, size: int = 50, gram: int = 8, keep
         runs = runs.withColumn("slot", _slot(row)).join(busy.where(F.col("slot").bitwiseAND(1) == row), "slot", "left_semi").drop("slot")
     runs = cut(runs)
 
-    least = runs.groupBy("cell", "content").agg(F.min("doc_id").alias("least"))
+    # written before they are joined back, so that a hot key's rows can be split
+    least = cut(runs.groupBy("cell", "content").agg(F.min("doc_id").alias("least")))
     runs = cut(runs.join(least, ["cell", "content"]))
     spans = runs.where("doc_id > least").select("doc_id", "place")
 
@@ -200,7 +201,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 50, gram: int = 8, keep
     tag = F.shiftrightunsigned("place", 40).alias("tag")
     places = firsts.join(varied, "cell", "left_semi").groupBy("doc_id", tag).agg(F.collect_list("place").alias("places"))
     windows = cut(packed.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInArrow(_windows(size), "doc_id long, k1 long, k2 long, place long"))
-    least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
+    least = cut(windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     spans = spans.unionAll(windows.join(least, ["k1", "k2"]).where("doc_id > least").select("doc_id", "place"))
 
     spans = spans.groupBy("doc_id", tag).agg(F.collect_list("place").alias("spans"))
