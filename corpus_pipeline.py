@@ -16,7 +16,7 @@ from traitloom.llm import crf_langid, entropy_mix, markov_secrets, odd_minhash,
 from traitloom.llm._common import cut
 
 #: Mean word marginal below which no language counts as identified.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

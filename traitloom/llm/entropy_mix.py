@@ -32,6 +32,8 @@ MOST = 3
 #: Documents of one source and size that one task ranks together, about.
 _RANKED = 64
 _SALTS = 4096
+#: Source tables up to this many rows are broadcast, larger ones shuffled.
+_BROADCAST_SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -144,7 +146,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     solved = balance(cells, ["source"], {"source": wanted.select(F.col("source").alias("value"), "target")}, most)
     rate = F.least(F.lit(float(most)), F.exp("multiplier"))
     rate = F.when(F.abs(rate - F.round(rate)) < 1e-9, F.round(rate)).otherwise(rate)
-    sources = wanted.join(solved, F.col("source").eqNullSafe(F.col("value"))).select("source", "source_size", "target", rate.alias("rate"))
+    sources = cut(wanted.join(solved, F.col("source").eqNullSafe(F.col("value"))).select("source", "source_size", "target", rate.alias("rate")))
+    if sources.count() <= _BROADCAST_SOURCES:
+        sources = F.broadcast(sources)
     ticket = F.pmod("hash", F.lit(1 << 52)) / F.lit(float(1 << 52))
     rated = rows.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "d.source", "size", "hash", ticket.alias("ticket"), "source_size", "target", "rate")
     return _copies(rated).withColumn("taken", F.col("copies") * F.col("size"))
