@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _CHUNK = regex.compile(r"\n| *\p{L}+| *[^\p{L} \n]+| +")
 #: Lattice nodes kept for chunks met before.
-_NODES = 2_000_000
+_NODES = 1_000_000
 #: Chunks up to this length are filtered together, longer ones one by one.
 _TOGETHER = 64
 #: Weights are scaled by this per character, which keeps products in range.
@@ -269,7 +269,7 @@ def _encode(shared, seed: int):
     def run(batches):
         vocab = shared.value
         held = _Lattices(vocab)
-        for step in steps(batches, limit=1 << 19):
+        for step in steps(batches, limit=1 << 18):
             if held.nodes > _NODES:
                 held = _Lattices(vocab)
             chunks, sizes = [], []
