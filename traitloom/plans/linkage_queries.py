@@ -60,6 +60,13 @@ def jn07_prefix_lookup(spark, sf_dir):
     return L.id_lookup(images, view(spark, sf_dir, "occurrence"), prefix=True)
 
 
+# Every image id; the SQL cuts each occurrence id at all its lengths, so that DuckDB need not compare all pairs.
+@R.add("""SELECT i.id, o.id AS occurrence_id FROM (SELECT DISTINCT id FROM multimedia) i
+  JOIN (SELECT id, unnest(range(1, length(id) + 1)) AS n FROM occurrence) o ON i.id = left(o.id, o.n)""", ("occurrence", "multimedia"))
+def jn07_prefix_lookup_whole(spark, sf_dir):
+    return L.id_lookup(view(spark, sf_dir, "multimedia").select("id").distinct(), view(spark, sf_dir, "occurrence"), prefix=True)
+
+
 @R.add(f"""WITH {_WISHES.format(nation="nation", region="region")}, c AS (SELECT family, taxon, unnest(string_split(taxon, ', ')) AS candidate FROM wishes),
   w AS (SELECT family, regexp_split_to_array(candidate, '[_ ]')[1] AS wish_genus, regexp_split_to_array(candidate, '[_ ]')[2] AS wish_species FROM c
         WHERE (NOT contains(taxon, ', ') OR length(candidate) > 5) AND len(regexp_split_to_array(candidate, '[_ ]')) = 2),
