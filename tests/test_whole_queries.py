@@ -1,7 +1,12 @@
 """Queries that take every row of their tables, against brute force."""
 
+from collections import defaultdict
+
+import numpy as np
 import pandas as pd
 
+from traitloom.operators import linkage as L
+from traitloom.plans.linkage_queries import UNITS
 from traitloom.registry import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -14,3 +19,41 @@ def test_every_image_id_is_looked_up(spark):
     want = [(i, o) for o in occurrences for i in images if o.startswith(i)]
     assert sorted(got) == sorted(want)
     assert len({i for i, _ in got}) > 10 * len({i for i in images if int(i) % 50 == 1})
+
+
+def test_spacings_of_all_strips_agree_within_the_default_tolerance(spark):
+    got = [(r["ruler_id"], r["strip_a"], r["unit_a"], r["strip_b"], r["unit_b"]) for r in QUERIES["jn19_consistent_spacings_whole"](spark, SF).collect()]
+    events = pd.read_parquet(f"{SF}/events.parquet").dropna(subset=["value"])
+    means = events.assign(value=events["value"].astype(float), ruler=events["user_id"].astype(str), strip=pd.to_datetime(events["ts"], utc=True).dt.day).groupby(["ruler", "strip"])["value"].mean()
+    readings = defaultdict(list)
+    for (ruler, strip), mean in means.items():
+        readings[ruler] += [((strip, u), mean * f / d) for u, f, d in UNITS]
+    want = [(ruler, *a, *b) for ruler, found in readings.items() for a, x in found for b, y in found if a < b and abs(x - y) < 5]
+    assert sorted(got) == sorted(want)
+    assert max(r[3] for r in got) > 3
+
+
+def test_spacings_at_bucket_edges(spark):
+    units = spark.createDataFrame([("cm", 1, 1.0)], "unit string, factor int, divisor double")
+    means = [0.0, 4.999999, 5.0, 5.005, 9.999, 10.01, 15.0, -0.001, -5.0]
+    spacings = spark.createDataFrame([("r", i, m) for i, m in enumerate(means)], "ruler_id string, strip int, mean double")
+    got = {(r["strip_a"], r["strip_b"]) for r in L.consistent_spacings(spacings, units).collect()}
+    assert got == {(i, j) for i in range(len(means)) for j in range(i + 1, len(means)) if abs(means[i] - means[j]) < 5}
+    assert L.consistent_spacings(spacings, units, 0.0).count() == 0
+
+
+def contours():
+    vectors = pd.read_parquet(f"{SF}/embeddings.parquet")
+    return {int(v): np.floor(1000 * np.asarray(e, np.float64)[:64]).reshape(32, 2) for v, e in zip(vectors["vec_id"], vectors["embedding"], strict=True)}
+
+
+def test_point_pairs_take_all_points(spark):
+    pairs = {r["component"]: r for r in QUERIES["jn18_closest_pair_whole"](spark, SF).collect()}
+    nearest = {(r["component"], r["seq"]): r for r in QUERIES["jn20_nearest_point_whole"](spark, SF).collect()}
+    shapes = contours()
+    assert set(pairs) == set(shapes) and set(nearest) == {(c, s) for c in shapes for s in range(16)}
+    for c, xy in shapes.items():
+        d2 = ((xy[:16, None] - xy[None, 16:]) ** 2).sum(axis=2)
+        r = pairs[c]
+        assert (r["x1"] - r["x2"]) ** 2 + (r["y1"] - r["y2"]) ** 2 == d2.min()
+        assert [nearest[c, s]["ref_seq"] for s in range(16)] == [16 + int(k) for k in d2.argmin(axis=1)]

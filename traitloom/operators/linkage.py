@@ -120,12 +120,19 @@ def consistent_spacings(spacings: DataFrame, units: DataFrame, tolerance: float
     """Pairs of (strip, unit) readings of one ruler whose pixel-per-cm factors agree.
 
     ``spacings`` has ruler_id, strip and mean; ``units`` unit, factor, divisor.
+    Readings meet by buckets of cm: such a pair lies in one or in neighbouring
+    buckets.  These are a little wider than ``tolerance``, so that rounding
+    cannot set a pair two buckets apart.
     """
     read = spacings.crossJoin(F.broadcast(units)).select("ruler_id", "strip", "unit", (F.col("mean") * F.col("factor") / F.col("divisor")).alias("cm"))
     one = read.select("ruler_id", *[F.col(c).alias(c + "_a") for c in ("strip", "unit", "cm")])
     two = read.select("ruler_id", *[F.col(c).alias(c + "_b") for c in ("strip", "unit", "cm")])
     later = (F.col("strip_a") < F.col("strip_b")) | ((F.col("strip_a") == F.col("strip_b")) & (F.col("unit_a") < F.col("unit_b")))
-    return one.join(two, "ruler_id").where(later & (F.abs(F.col("cm_a") - F.col("cm_b")) < tolerance))
+    width = 1.001 * (tolerance if tolerance > 0 else 1.0)
+    bucket = lambda c: F.floor(F.col(c) / width)
+    one = one.withColumn("_bucket", bucket("cm_a"))
+    two = two.withColumn("_bucket", F.explode(F.array(*[bucket("cm_b") + i for i in (-1, 0, 1)])))
+    return one.join(two, ["ruler_id", "_bucket"]).drop("_bucket").where(later & (F.abs(F.col("cm_a") - F.col("cm_b")) < tolerance))
 
 
 def shared_values(one: DataFrame, two: DataFrame, column: str) -> DataFrame:
