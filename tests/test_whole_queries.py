@@ -4,8 +4,11 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pytest
 
+from traitloom.operators import landmarks as K
 from traitloom.operators import linkage as L
+from traitloom.operators import models as M
 from traitloom.plans.linkage_queries import UNITS
 from traitloom.registry import QUERIES
 
@@ -57,3 +60,73 @@ def test_point_pairs_take_all_points(spark):
         r = pairs[c]
         assert (r["x1"] - r["x2"]) ** 2 + (r["y1"] - r["y2"]) ** 2 == d2.min()
         assert [nearest[c, s]["ref_seq"] for s in range(16)] == [16 + int(k) for k in d2.argmin(axis=1)]
+
+
+def descriptors(xy, order=40):
+    step = np.roll(xy, -1, axis=0) - xy
+    dt = np.where((step == 0).all(axis=1), 1e-9, np.hypot(*step.T))
+    t = np.cumsum(dt)
+    n = np.arange(1, order + 1)[:, None]
+    phase = lambda t: 2 * np.pi * n * t / t_end
+    t_end = t[-1]
+    wave = np.cos(phase(t)) - np.cos(phase(t - dt)), np.sin(phase(t)) - np.sin(phase(t - dt))
+    scale = t_end / (2 * n[:, 0] ** 2 * np.pi**2)
+    return np.stack([scale * (step[:, k] / dt * w).sum(axis=1) for k in (0, 1) for w in wave], axis=1)
+
+
+def test_descriptors_have_40_harmonics(spark):
+    shapes = contours()
+    got = QUERIES["fn13_fourier_descriptors_whole"](spark, SF).toPandas().sort_values(["component", "harmonic"])
+    assert len(got) == 40 * len(shapes)
+    want = np.concatenate([descriptors(shapes[c]) for c in sorted(shapes)])
+    assert np.abs(got[list("abcd")].to_numpy(float) - want).max() < 1e-3
+    assert set(QUERIES["fn14_normalised_descriptors_whole"](spark, SF).toPandas()["harmonic"]) == set(range(2, 41))
+
+
+def test_reconstruction_has_300_samples_of_40_harmonics(spark):
+    got = QUERIES["fn16_reconstructed_whole"](spark, SF).toPandas().sort_values(["component", "step"])
+    shapes = contours()
+    assert len(got) == 300 * len(shapes)
+    phase = 2 * np.pi * np.arange(1, 41) * np.arange(300)[:, None] / 299
+    for c in sorted(shapes)[:20]:
+        a, b, *_ = descriptors(shapes[c]).T
+        x = got[got["component"] == c]["x"].to_numpy(float)
+        want = np.cos(phase) @ a + np.sin(phase) @ b
+        assert np.abs((x - x[0]) - (want - want[0])).max() < 0.01
+
+
+def test_descriptor_components_use_all_coefficients(spark):
+    got = QUERIES["ml06_descriptor_components"](spark, SF).toPandas()
+    wide = np.stack([descriptors(xy).ravel() for xy in contours().values()])
+    spread = np.sort(np.linalg.eigvalsh(np.corrcoef(wide.T)))[::-1][:4]
+    assert got[["pc1", "pc2", "pc3", "pc4"]].var().to_numpy() == pytest.approx(spread, rel=1e-3)
+
+
+@pytest.mark.parametrize("name", ["ml03_correctness_forest", "ml04_fallback"])
+def test_forests_have_100_trees(spark, monkeypatch, name):
+    fit, models = M.correctness_forest, []
+
+    def kept(*args, **named):
+        models.append(fit(*args, **named))
+        return models[-1]
+
+    monkeypatch.setattr(M, "correctness_forest", kept)
+    QUERIES[name](spark, SF)
+    assert [m.getNumTrees for m, _ in models] == [100]
+
+
+def test_keypoint_lines_fill_all_slots_and_kinds(spark):
+    got = {r["leaf"]: r["line"] for r in QUERIES["prj20_keypoint_lines_whole"](spark, SF).collect()}
+    used = set()
+    for leaf, xy in contours().items():
+        line = [(0, 0, 0)] * 31
+        count = defaultdict(int)
+        for seq, (x, y) in enumerate(xy):
+            kind = K.KINDS[(seq * 7 + leaf) % 9]
+            names = K.SLOTS_OF_KIND.get(kind, ())
+            if count[kind] < len(names):
+                line[K.SLOT_LINE_31.index(names[count[kind]])] = (int(x), int(y), 2)
+                used.add(kind)
+            count[kind] += 1
+        assert got[leaf] == " ".join(str(v) for p in line for v in p)
+    assert used == set(K.KINDS) - {"lobe_tip"}

@@ -6,6 +6,7 @@ Point rows have leaf, kind, x and y.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Landmark kinds in class-index order.
@@ -13,6 +14,20 @@ KINDS = ("apex_angle", "base_angle", "lamina_base", "lamina_tip", "lamina_width"
 # Slots of a keypoint label line, by name.
 SLOT_LINE = ("lamina_tip", "apex_left", "apex_center", "apex_right", "midvein_0", "midvein_1", "midvein_2", "base_left", "base_center", "base_right", "lamina_base", "petiole_tip", "width_left", "width_right")
 
+# The slots that a kind's points take, in their order; a lobe tip has none.
+SLOTS_OF_KIND = {
+    "lamina_tip": ("lamina_tip",),
+    "apex_angle": ("apex_left", "apex_center", "apex_right"),
+    "midvein_trace": tuple(f"midvein_{i}" for i in range(15)),
+    "base_angle": ("base_left", "base_center", "base_right"),
+    "lamina_base": ("lamina_base",),
+    "petiole_trace": tuple(f"petiole_{i}" for i in range(5)),
+    "petiole_tip": ("petiole_tip",),
+    "lamina_width": ("width_left", "width_right"),
+}
+# The 31 slots of a line with 15 midvein and 5 petiole points.
+SLOT_LINE_31 = tuple(slot for slots in SLOTS_OF_KIND.values() for slot in slots)
+
 
 def presence(points: DataFrame, leaf: str = "leaf") -> DataFrame:
     """Counts per kind, presence flags, lobe count and completeness of every leaf."""
@@ -58,6 +73,13 @@ def to_sheet(points: DataFrame, name: str = "component_name") -> DataFrame:
     return points.withColumns({"sheet_x": F.col("x") + shift(0), "sheet_y": F.col("y") + shift(1)})
 
 
+def slotted(points: DataFrame, leaf: str = "leaf") -> DataFrame:
+    """Points with their kind replaced by its slot, by order of seq within the kind; points beyond a kind's slots are left out."""
+    nth = F.row_number().over(W.partitionBy(leaf, "kind").orderBy("seq")) - 1
+    slots = F.coalesce(*[F.when(F.col("kind") == k, F.array(*[F.lit(s) for s in names])) for k, names in SLOTS_OF_KIND.items()])
+    return points.withColumn("_nth", nth).withColumn("kind", F.get(slots, F.col("_nth"))).drop("_nth").where("kind is not null")
+
+
 def keypoint_lines(points: DataFrame, leaves: DataFrame, slots: tuple[str, ...] = SLOT_LINE, leaf: str = "leaf") -> DataFrame:
     """One label line per leaf: x, y and flag of every slot; missing slots are zeros."""
     grid = leaves.select(leaf).withColumn("_slot", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("name")) for i, s in enumerate(slots)])))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from traitloom.operators import geometry as G
@@ -141,6 +143,27 @@ def fn14_normalised_descriptors(spark, sf_dir):
     return _rounded(out.where("harmonic > 1"), "a", "b", "c", "d")
 
 
+def _whole_sql(name):
+    """SQL of a query at 40 harmonics and 300 samples, as production has them; engines differ in the sign of a rounded zero, so it is dropped."""
+    sql = ORACLE_SQL[name].replace("range(1, 11)", "range(1, 41)").replace("range(0, 50)", "range(0, 300)").replace("step / 49", "step / 299")
+    return re.sub(r"(round\(.*?, \d\)) AS (\w)\b", r"\1 + 0.0 AS \2", sql)
+
+
+def _unsigned_zero(df, *columns):
+    return df.withColumns({c: F.col(c) + 0.0 for c in columns})
+
+
+@R.add(_whole_sql("fn13_fourier_descriptors"))
+def fn13_fourier_descriptors_whole(spark, sf_dir):
+    return _unsigned_zero(_rounded(G.fourier_descriptors(points(spark, sf_dir), "component"), "a", "b", "c", "d", digits=4), "a", "b", "c", "d")
+
+
+@R.add(_whole_sql("fn14_normalised_descriptors"))
+def fn14_normalised_descriptors_whole(spark, sf_dir):
+    out = G.normalised_descriptors(G.fourier_descriptors(points(spark, sf_dir), "component"), "component")
+    return _unsigned_zero(_rounded(out.where("harmonic > 1"), "a", "b", "c", "d"), "a", "b", "c", "d")
+
+
 _DC = f"""{_ARCS}, k AS (SELECT component, seq, x, y, t, dt, dx / dt AS sx, dy / dt AS sy, sum(dx) OVER w - dx / dt * t AS xi, sum(dy) OVER w - dy / dt * t AS yi FROM arcs WINDOW w AS (PARTITION BY component ORDER BY seq)),
   dc AS (SELECT component, sum(sx / 2 * (t * t - (t - dt) * (t - dt)) + xi * dt) / max(t) + min_by(x, seq) AS a0, sum(sy / 2 * (t * t - (t - dt) * (t - dt)) + yi * dt) / max(t) + min_by(y, seq) AS c0 FROM k GROUP BY component)"""
 
@@ -159,6 +182,13 @@ def fn16_reconstructed(spark, sf_dir):
     return _rounded(out, "x", "y", digits=3)
 
 
+@R.add(_whole_sql("fn16_reconstructed"))
+def fn16_reconstructed_whole(spark, sf_dir):
+    shapes = points(spark, sf_dir)
+    out = G.reconstructed(G.fourier_descriptors(shapes, "component"), G.dc_coefficients(shapes, "component"), "component")
+    return _unsigned_zero(_rounded(out, "x", "y", digits=3), "x", "y")
+
+
 _WIDE = f"""{_POINTS}, q AS (SELECT component, """ + ", ".join(f"max(CASE WHEN seq = {i} THEN {c} END) AS {c}{i}" for i in range(4) for c in "xy") + " FROM p GROUP BY component)"
 
 

@@ -44,14 +44,14 @@ def ml02_predicted(spark, sf_dir):
 
 @R.add()
 def ml03_correctness_forest(spark, sf_dir):
-    _, scored = M.correctness_forest(_training(spark, sf_dir), ["image_height", "image_width", "conversion_mean", "mp"], "correct", trees=20)
+    _, scored = M.correctness_forest(_training(spark, sf_dir), ["image_height", "image_width", "conversion_mean", "mp"], "correct")
     return scored.select("component", "correct", "prediction")
 
 
 @R.add()
 def ml04_fallback(spark, sf_dir):
     rows = _training(spark, sf_dir)
-    _, scored = M.correctness_forest(rows, ["image_height", "image_width", "conversion_mean", "mp"], "correct", trees=20)
+    _, scored = M.correctness_forest(rows, ["image_height", "image_width", "conversion_mean", "mp"], "correct")
     p = M.fit_polynomial(rows.where("correct = 1"), "mp", "conversion_mean")
     return M.with_fallback(scored, "conversion_mean", M.predict_polynomial(F.col("mp"), p)).select("component", "prediction", "pred_mean")
 
@@ -67,7 +67,8 @@ def ml05_principal_components(spark, sf_dir):
 def ml06_descriptor_components(spark, sf_dir):
     from traitloom.operators.geometry import fourier_descriptors
 
-    wide = fourier_descriptors(points(spark, sf_dir), "component", 3).groupBy("component").pivot("harmonic", [1, 2, 3]).agg(F.first("a").alias("a"), F.first("d").alias("d"))
+    coefficients = fourier_descriptors(points(spark, sf_dir), "component")
+    wide = coefficients.groupBy("component").pivot("harmonic", list(range(1, 41))).agg(*[F.first(c).alias(c) for c in "abcd"])
     rows, _ = M.principal_components(wide, [c for c in wide.columns if c != "component"], 4)
     return rows.select("component", "pc1", "pc2", "pc3", "pc4")
 
