@@ -226,6 +226,29 @@ def test_peaks_find_a_tone():
     assert len(codes) == 7 * 4 and 31 in {int(c) >> 12 & 0xFF for c in codes}
 
 
+def test_unequal_short_texts_have_unequal_peaks(spark):
+    texts = ["The leaf is ovate.", "Petiole 4 cm long, glabrous.", "Margin serrate, apex acute.", "Specimen from the north slope. " * 8, "", "abc " * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    peaks = [tuple(r["peaks"]) for r in wav_media.fingerprint(wav_media.store(docs)).collect()]
+    assert all(peaks) and len(set(peaks)) == len(texts)
+
+
+def test_shifted_text_keeps_most_pairs(spark):
+    words = np.random.default_rng(3).choice(["leaf", "ovate", "petiole", "margin", "serrate", "collected", "slope", "river"], 400)
+    text = " ".join(words)
+    docs = spark.createDataFrame([(0, text), (1, "a few " + text), (2, " ".join(words[::-1]))], "doc_id long, text string")
+    pairs = {r["doc_id"]: set(r["peaks"]) for r in wav_media.fingerprint(wav_media.store(docs)).collect()}
+    shared = lambda k: len(pairs[0] & pairs[k]) / len(pairs[0])
+    assert shared(1) > 0.5 > 3 * shared(2)
+
+
+def test_blocks_of_frames_give_the_same_pairs(monkeypatch):
+    noise = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8)
+    whole = wav_media.peak_pairs(noise, 128, 32, 3)
+    monkeypatch.setattr(wav_media, "FRAMES", 7)
+    assert (wav_media.peak_pairs(noise, 128, 32, 3) == whole).all()
+
+
 # substrings
 
 

@@ -23,6 +23,8 @@ from ._common import raw_text, steps
 #: Payloads are padded to a positive multiple of this many bytes.
 BLOCK = 64
 RATE = 8000
+#: Frames transformed at a time, so that a long text takes little memory.
+FRAMES = 4096
 
 
 def _store(batches):
@@ -54,22 +56,34 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def peak_pairs(samples: np.ndarray, frame: int, hop: int, fan: int) -> np.ndarray:
-    """Time-coded peak pairs of one signal; each frame gives its two highest peaks."""
-    x = samples.astype(np.float32) - 128
-    short = max(frame - len(x), -(len(x) - frame) % hop)
-    x = np.pad(x, (0, short))
+    """Time-coded peak pairs of one signal; each frame gives its two highest peaks.
+
+    Silence of frame - hop samples on either side lets the first and the last
+    samples lie in as many frames as all others; a signal has two frames at least.
+    The mean is taken off first, or its steps at the ends would be the peaks.
+    """
+    x = samples.astype(np.float32)
+    if len(x):
+        x -= x.mean(dtype=np.float64)
+    edge = max(frame - hop, 0)
+    size = max(len(x) + 2 * edge, frame + hop)
+    x = np.pad(x, (edge, size - len(x) - edge + -(size - frame) % hop))
     frames = np.lib.stride_tricks.sliding_window_view(x, frame)[::hop]
-    power = np.abs(np.fft.rfft(frames * np.hanning(frame).astype(np.float32), axis=1))[:, 1:]
-    top = np.argmax(power, axis=1)
-    rows = np.arange(len(power))
-    power[rows, top] = -1
-    bins = np.stack([top, np.argmax(power, axis=1)], axis=1)
+    window = np.hanning(frame).astype(np.float32)
+    bins = np.empty((len(frames), 2), np.int64)
+    for at in range(0, len(frames), FRAMES):
+        power = np.abs(np.fft.rfft(frames[at : at + FRAMES] * window, axis=1))[:, 1:]
+        top = np.argmax(power, axis=1)
+        power[np.arange(len(power)), top] = -1
+        bins[at : at + FRAMES, 0] = top
+        bins[at : at + FRAMES, 1] = np.argmax(power, axis=1)
+    rows = np.arange(len(bins))
     codes = []
     for ahead in range(1, fan + 1):
         early, late = bins[:-ahead], bins[ahead:]
         time = rows[: len(early), None, None]
         codes.append((time << 20 | early[:, :, None] << 12 | late[:, None, :] << 4 | ahead).ravel())
-    return np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+    return np.sort(np.concatenate(codes))
 
 
 def _fingerprint(frame: int, hop: int, fan: int):
@@ -78,13 +92,13 @@ def _fingerprint(frame: int, hop: int, fan: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 payloads, sizes, tails, peaks = [], [], [], []
-                for blob in part.column("media"):
+                for blob, size in zip(part.column("media"), part.column("n_bytes").to_pylist(), strict=True):
                     with wave.open(io.BytesIO(blob.as_py())) as source:
                         payload = source.readframes(source.getnframes())
                     payloads.append(payload)
                     sizes.append(len(payload))
                     tails.append(zlib.crc32(payload[-BLOCK:]))
-                    peaks.append(peak_pairs(np.frombuffer(payload, np.uint8), frame, hop, fan))
+                    peaks.append(peak_pairs(np.frombuffer(payload, np.uint8)[:size], frame, hop, fan))
                 bounds = np.append(0, np.cumsum([len(p) for p in peaks])).astype(np.int32)
                 codes = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(peaks).astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
@@ -95,13 +109,15 @@ def _fingerprint(frame: int, hop: int, fan: int):
     return run
 
 
-def fingerprint(media: DataFrame, frame: int = 512, hop: int = 512, fan: int = 1) -> DataFrame:
+def fingerprint(media: DataFrame, frame: int = 128, hop: int = 32, fan: int = 3) -> DataFrame:
     """Read WAV columns back and fingerprint them.
 
     ``media`` needs doc_id, n_bytes and media, as :func:`store` returns them.
     Adds payload (the samples read back), payload_bytes, tail_crc32 (of the
-    last 64 payload bytes) and peaks (sorted time-coded pairs; empty for a
-    signal of one frame).  ``frame`` is at most 512 so that a bin fits a byte.
+    last 64 payload bytes) and peaks (sorted time-coded pairs of the samples
+    without padding, never empty; texts of a few bytes can have the same).
+    Frames overlap by three quarters, so that shared content gives like pairs
+    where it is shifted.  ``frame`` is at most 512 so that a bin fits a byte.
     """
     if not 2 <= frame <= 512 or not 0 < hop or not 0 < fan < 16:
         raise ValueError("2 <= frame <= 512, hop > 0 and 0 < fan < 16 are needed")
