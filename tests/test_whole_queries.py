@@ -9,6 +9,8 @@ import pytest
 from traitloom.operators import landmarks as K
 from traitloom.operators import linkage as L
 from traitloom.operators import models as M
+from traitloom.operators import sampling as S
+from traitloom.plans import stats_queries
 from traitloom.plans.linkage_queries import UNITS
 from traitloom.registry import QUERIES
 
@@ -130,3 +132,13 @@ def test_keypoint_lines_fill_all_slots_and_kinds(spark):
             count[kind] += 1
         assert got[leaf] == " ".join(str(v) for p in line for v in p)
     assert used == set(K.KINDS) - {"lobe_tip"}
+
+
+def test_swapping_takes_out_more_than_10000_ids(spark, monkeypatch):
+    pool = spark.range(32_000).selectExpr("cast(id as string) as id", "cast(id % 8000 as string) as genus").selectExpr("cast(cast(id as long) * 3 as string) as id", "genus")
+    monkeypatch.setattr(stats_queries, "view", lambda *_: pool)
+    chosen = {r["id"] for r in S.per_group(pool, ["genus"], 3).collect()}
+    removed = {i for i in chosen if int(i) % 2 == 0}
+    got = [r["id"] for r in QUERIES["wn07_swapped"](spark, SF).collect()]
+    assert len(removed) > 10_000
+    assert not removed & set(got) and chosen - removed <= set(got) and len(got) == len(set(got))

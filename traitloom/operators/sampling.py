@@ -51,14 +51,15 @@ def split_overflow(df: DataFrame, keys: list[str], n: int, key: str = "id", seed
     return df.withColumn("part", F.when(turn <= n, "target").otherwise("overflow"))
 
 
-def swapped(chosen: DataFrame, pool: DataFrame, out: list, group: str, key: str = "id", seed: int = 2023) -> DataFrame:
-    """Replace rows of a choice by rows of the same group that were neither chosen nor removed."""
-    removed = chosen.where(F.col(key).isin(out))
+def swapped(chosen: DataFrame, pool: DataFrame, out: DataFrame, group: str, key: str = "id", seed: int = 2023) -> DataFrame:
+    """Replace rows of a choice by rows of the same group that were neither chosen nor removed; ``out`` has the removed keys."""
+    out = out.select(key)
+    removed = chosen.join(out, key, "left_semi")
     free = pool.join(chosen.select(key), key, "left_anti")
     ranked = free.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(ticket(key, seed), key)))
     wanted = removed.groupBy(group).agg(F.count("*").alias("_n"))
     new = ranked.join(wanted, group).where(F.col("_rn") <= F.col("_n")).select(*chosen.columns)
-    return chosen.where(~F.col(key).isin(out)).unionByName(new)
+    return chosen.join(out, key, "left_anti").unionByName(new)
 
 
 def rarity_order(df: DataFrame, taxon: str, key: str = "id", seed: int = 2023) -> DataFrame:
