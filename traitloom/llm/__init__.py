@@ -2,7 +2,8 @@
 
 Everything here works on DataFrames with a text column; nothing outside this
 subpackage imports it.  Functions shipped to Python workers are pickled by
-value, so executors need no copy of the package on their path.
+value, and broadcasts hold plain data only (dicts, lists, arrays), so executors
+need no copy of the package on their path.
 """
 
 import sys

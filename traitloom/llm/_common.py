@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step holds at a time.
 STEP_BYTES = 1 << 21
+#: Rows that it holds at most, so that short texts do not make wide steps.
+STEP_ROWS = 4096
 
 #: ASCII white space of the word pattern [^\x20\x09-\x0D]+.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -20,24 +24,62 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the session names.
 
-    ``spark.checkpoint.dir`` is used where it is set; a session without it
-    (tests) gets a folder of its own.
+    ``spark.checkpoint.dir`` is used where it is set; a session without it gets
+    a folder of its own in local mode, where driver and workers share a disk,
+    and an error on a cluster.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until they meet no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows numbered from 0 in an order, by range partitions and their offsets (one small row each).
+
+    The partitioned table is written first: both uses must see the same rows in
+    the same partitions.
+    """
+    part, nth, rows, before = fresh(df, "part", "nth", "rows", "before")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = cut(ranged.withColumns({part: F.spark_partition_id(), nth: F.monotonically_increasing_id() % (1 << 33)}))
+    ahead = F.sum(rows).over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    offsets = ranged.groupBy(part).agg(F.count("*").alias(rows)).select(part, F.coalesce(ahead, F.lit(0)).alias(before))
+    return ranged.join(F.broadcast(offsets), part).withColumn(name, F.col(before) + F.col(nth)).drop(part, nth, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied Parquet tables, read by Spark only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def steps(batches, text: str = "text", limit: int = STEP_BYTES):
-    """Slice Arrow batches so that a step holds about ``limit`` bytes of ``text``.
+def _slices(upto: np.ndarray, limit: int, rows: int):
+    """Bounds (first, last) of slices of about ``limit``; ``upto`` has the running size, from 0."""
+    first, n = 0, len(upto) - 1
+    while first < n:
+        last = int(np.searchsorted(upto, upto[first] + limit, side="right")) - 1
+        last = min(max(last, first + 1), first + rows, n)
+        yield first, last
+        first = last
+
+
+def steps(batches, text: str = "text", limit: int = STEP_BYTES, rows: int = STEP_ROWS):
+    """Slice Arrow batches so that a step holds about ``limit`` bytes of ``text`` and at most ``rows`` rows.
 
     Nulls in the text column become empty strings; a single text longer than
     the limit makes a step of its own.
@@ -50,13 +92,8 @@ def steps(batches, text: str = "text", limit: int = STEP_BYTES):
         if column.null_count:
             batch = batch.set_column(index, text, column.fill_null(""))
             column = batch.column(index)
-        offsets = _offsets(column)
-        first = 0
-        while first < batch.num_rows:
-            last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
-            last = min(max(last, first + 1), batch.num_rows)
+        for first, last in _slices(_offsets(column), limit, rows):
             yield batch.slice(first, last - first)
-            first = last
 
 
 def _offsets(column: pa.Array) -> np.ndarray:
@@ -89,15 +126,23 @@ def packed_text(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'text' else kind}" for c, kind in df.dtypes))
 
 
-def unpacked(batches, *names: str):
-    """The Arrow batches of a table shuffled as :func:`packed_text` with text restored, in small steps."""
+def unpacked(batches, *names: str, limit: int = STEP_BYTES >> 1, rows: int = STEP_ROWS):
+    """The Arrow batches of a table shuffled as :func:`packed_text` with text restored.
+
+    A step holds about ``limit`` bytes of restored text, as the frames' headers state.
+    """
     names = names or ("text",)
     unpack = zstandard.ZstdDecompressor()
-    for step in steps(batches, names[0], limit=STEP_BYTES >> 1):
+    for batch in batches:
+        sizes = np.zeros(batch.num_rows, np.int64)
         for name in names:
-            at = step.schema.get_field_index(name)
-            step = step.set_column(at, name, pa.array([unpack.decompress(b).decode() for b in step.column(at).to_pylist()], pa.string()))
-        yield step
+            sizes += np.array([zstandard.frame_content_size(b) for b in batch.column(batch.schema.get_field_index(name)).to_pylist()], np.int64)
+        for first, last in _slices(np.append(0, np.cumsum(sizes)), limit, rows):
+            step = batch.slice(first, last - first)
+            for name in names:
+                at = step.schema.get_field_index(name)
+                step = step.set_column(at, name, pa.array([unpack.decompress(b).decode() for b in step.column(at).to_pylist()], pa.string()))
+            yield step
 
 
 def _byte_codes(fold_case: bool) -> np.ndarray:
@@ -185,8 +230,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds, each a pre-aggregated minimum
     joined back on the node, until every edge leads from a node without other
-    edges to its smallest one.  Nothing but one flag per round reaches the
-    driver.  Returns (id, component); nodes without links are absent.
+    edges to its smallest one.  The minima are written before they are joined,
+    so that adaptive execution can split the edges of a hub.  Nothing but one
+    flag per round reaches the driver.  Returns (id, component); nodes without
+    links are absent, links with a null end are left out.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while True:
@@ -194,9 +241,10 @@ def components(links: DataFrame) -> DataFrame:
         if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty():
             break
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -16,22 +16,29 @@ follow, again together.
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import steps
+from ._common import fresh, steps
 
 #: Maximal runs of letters (numeric characters that Unicode calls alphanumeric may join them).
 WORD = re.compile(r"[^\W\d_]+")
-#: Documents per language that a model is trained on, about.
+#: Distinct texts per language that a model is trained on, at most.
 ROWS_PER_LABEL = 250
-MAX_LABELS = 500
+#: Texts of all languages together, at most; many languages share it evenly.
+MOST_ROWS = 20_000
+#: Pieces that one text gives to training, at most, and their words.
+PIECES, PIECE_WORDS = 16, 24
 _BLOCK = 32
-_CACHE = 300_000
+_CACHE = 200_000
 
 
 def features(word: str) -> list[str]:
@@ -53,8 +60,10 @@ class Model:
     transitions: np.ndarray
 
     def emissions(self, word: str) -> np.ndarray:
-        found = [i for i in map(self.index.get, features(word)) if i is not None]
-        return self.weights[found].sum(axis=0) if found else np.zeros(len(self.labels))
+        """Summed weights per label, and the share of the word's features that the model knows."""
+        own = features(word)
+        found = [i for i in map(self.index.get, own) if i is not None]
+        return np.append(self.weights[found].sum(axis=0), len(found) / len(own))
 
 
 def _forward_backward(scores: np.ndarray, transitions: np.ndarray):
@@ -78,7 +87,7 @@ def _forward_backward(scores: np.ndarray, transitions: np.ndarray):
     return marginal, pair.sum(axis=(0, 1))
 
 
-def fit(samples: list[tuple[str, str]], length: int = 24, epochs: int = 4, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Model | None:
+def fit(samples: list[tuple[str, str]], length: int = PIECE_WORDS, epochs: int = 4, rate: float = 0.1, decay: float = 1e-5, seed: int = 7) -> Model | None:
     """A model from (text, language) samples; None without labelled words."""
     rng = np.random.default_rng(seed)
     docs = [(WORD.findall(text.lower()), lang) for text, lang in sorted(samples, key=lambda s: (s[1], s[0]))]
@@ -140,23 +149,47 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Model | None:
-    """Fit on about ``rows_per_label`` documents of each language that are not held out.
+def _pieces(length: int, most: int):
+    """Pieces of ``length`` words of every text: all, or ``most`` that a hash of the text picks."""
 
-    ``docs`` needs doc_id, text, lang.  Documents are picked by a hash of the
-    row; the label counts (at most ``MAX_LABELS``) and the picked documents are
-    all that reaches the driver.
+    def run(batches):
+        for step in steps(batches):
+            langs, pieces = [], []
+            for text, lang in zip(step.column("text").to_pylist(), step.column("lang").to_pylist(), strict=True):
+                words = WORD.findall(text.lower())
+                starts = np.arange(0, len(words), length)
+                if len(starts) > most:
+                    starts = np.sort(np.random.default_rng(zlib.crc32(text.encode())).choice(starts, most, replace=False))
+                pieces += [" ".join(words[a : a + length]) for a in starts.tolist()]
+                langs += [lang] * len(starts)
+            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(langs, pa.string())], ["text", "lang"])
+
+    return run
+
+
+def train(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL, most_rows: int = MOST_ROWS, pieces: int = PIECES) -> Model | None:
+    """Fit on a bounded sample of the documents that are not held out.
+
+    ``docs`` needs doc_id, text, lang.  Of each language up to
+    ``rows_per_label`` distinct texts are taken, in order of a hash of the
+    text; with many languages, that number falls so that all of them together
+    have about ``most_rows`` (one per language at least).  A text gives at most
+    ``pieces`` pieces of ``PIECE_WORDS`` words, picked by a hash of the text.
+    These pieces are all that reaches the driver.
+
+    Null ids, texts and languages teach nothing; copies count once.  None is
+    returned where nothing is left to learn from.
     """
-    known = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LABELS + 1).collect()}
-    if len(counts) > MAX_LABELS:
-        raise ValueError(f"over {MAX_LABELS} languages")
-    if not counts:
+    known = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("key"))
+    labels = known.select("lang").distinct().count()
+    if not labels:
         return None
-    every = F.lit(1)
-    for lang, n in counts.items():
-        every = F.when(F.col("lang") == lang, F.lit(max(1, n))).otherwise(every)
-    picked = known.where(F.pmod(F.xxhash64("doc_id", "text"), every) < rows_per_label).select("text", "lang")
+    quota = max(1, min(rows_per_label, most_rows // labels))
+    turn = F.row_number().over(W.partitionBy("lang").orderBy("key"))
+    chosen = known.select("lang", "key").distinct().withColumn("turn", turn).where(F.col("turn") <= quota).drop("turn")
+    # at most most_rows + labels rows of a language and a number
+    texts = known.join(F.broadcast(chosen), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
+    picked = texts.select("text", "lang").mapInArrow(_pieces(PIECE_WORDS, pieces), "text string, lang string")
     return fit([tuple(r) for r in picked.collect()])
 
 
@@ -225,16 +258,17 @@ def _marginals(ids: np.ndarray, bounds: np.ndarray, emissions: np.ndarray, trans
 
 
 _RESULT = {"lang_pred": "string", "score": "double", "n_words": "long", "segments": "string"}
+_VERDICT = _RESULT | {"known": "double"}
 
 
-def _label(shared, columns):
-    def run(batches):
-        model = shared.value
+def _label(shared: Broadcast):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = Model(**shared.value) if shared.value else None
         k = len(model.labels) if model else 0
         names = np.array(model.labels if model else [], dtype=object)
         cache: dict[str, int] = {}
-        table = np.zeros((1024, max(k, 1)))
-        for step in steps(batches, limit=1 << 20):
+        table = np.zeros((1024, k + 1))
+        for step in steps((pa.RecordBatch.from_arrays([c], ["text"]) for c in columns), limit=1 << 19):
             if len(cache) > _CACHE:
                 cache = {}
             ids, sizes = [], []
@@ -256,11 +290,14 @@ def _label(shared, columns):
                 ids += own
                 sizes.append(len(own))
             sizes = np.array(sizes)
-            pred, score, runs = np.full(len(sizes), "und", object), np.zeros(len(sizes)), np.full(len(sizes), "", object)
+            pred, runs = np.full(len(sizes), "und", object), np.full(len(sizes), "", object)
+            score, known = np.zeros(len(sizes)), np.zeros(len(sizes))
             full = np.flatnonzero(sizes)
             if len(full):
                 bounds = np.append(0, np.cumsum(sizes[full]))
-                post = _marginals(np.array(ids), bounds, table[: len(cache)], model.transitions)
+                ids = np.array(ids)
+                known[full] = np.add.reduceat(table[ids, k], bounds[:-1]) / sizes[full]
+                post = _marginals(ids, bounds, table[: len(cache), :k], model.transitions)
                 mean = np.add.reduceat(post, bounds[:-1], axis=0) / sizes[full][:, None]
                 best = mean.argmax(axis=1)
                 pred[full], score[full] = names[best], np.clip(mean[np.arange(len(full)), best], 0, 1)
@@ -272,13 +309,25 @@ def _label(shared, columns):
                 said = [f"{names[a]}*{n}" for a, n in zip(label[turns], lengths, strict=True)]
                 cuts = np.searchsorted(turns, bounds)
                 runs[full] = [" ".join(said[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            found = [pa.array(pred, pa.string()), pa.array(score), pa.array(sizes.astype(np.int64)), pa.array(runs, pa.string())]
-            kept = [n for n in step.schema.names if n in columns]
-            yield pa.RecordBatch.from_arrays([*map(step.column, kept), *found], [*kept, *_RESULT])
+            found = [pa.array(pred, pa.string()), pa.array(score), pa.array(sizes.astype(np.int64)), pa.array(runs, pa.string()), pa.array(known)]
+            yield pa.StructArray.from_arrays(found, names=list(_VERDICT))
 
     return run
 
 
+def verdict(text: Column, model: Model | None) -> Column:
+    """What :func:`identify` finds in a text, as one struct column.
+
+    Its fields are lang_pred, score, n_words, segments and known: the mean over
+    words of the share of a word's features that the model has met, which says
+    how far the text is made of any language that was learned, however many
+    there are and however they are mixed.  Only the text goes through Python.
+    """
+    shared = SparkSession.active().sparkContext.broadcast(vars(model) if model else None)
+    judge = F.arrow_udf(_label(shared), ", ".join(f"{c} {kind}" for c, kind in _VERDICT.items()))
+    return judge.asNondeterministic()(text)  # kept from being run once per field
+
+
 def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
     """Languages of every text, by word and as a whole.
 
@@ -286,15 +335,14 @@ def identify(docs: DataFrame, model: Model | None, keep: bool = False) -> DataFr
     Result per row: doc_id, lang_pred (the language with the highest mean word
     marginal), score (that mean), n_words, segments (labels of neighbouring
     words as ``label*count``, in order).  ``keep`` carries all columns of
-    ``docs`` along, but for those named like a result; null texts come back
-    empty.
+    ``docs`` along, but for those named like a result.
 
     Null texts, texts without a letter, and all texts where there was nothing
     to learn from, give ``und``, score 0 and no segments.  Ties go to the label
     first in code point order.  Repeated rows and null ids are treated like
     others; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop(*[c for c in docs.columns if c in _RESULT]) if keep else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    columns = {c: kind for c, kind in docs.dtypes if keep or c != "text"}
-    return docs.mapInArrow(_label(shared, set(columns)), ", ".join(f"`{c}` {kind}" for c, kind in (columns | _RESULT).items()))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in _RESULT] if keep else [F.col("doc_id").cast("long").alias("doc_id")]
+    (name,) = fresh(docs, "verdict")
+    judged = docs.select(*kept, verdict(F.col("text"), model).alias(name))
+    return judged.select(*[c for c in judged.columns if c != name], *[F.col(name)[c].alias(c) for c in _RESULT])

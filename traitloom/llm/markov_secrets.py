@@ -2,10 +2,14 @@
 
 Two first-order Markov models over characters, one of random strings and one
 of ordinary identifiers, are trained from labelled samples of the corpus: the
-values that the fixed patterns find are random, long alphanumeric runs outside
-of them are ordinary.  A run is a secret where the log-likelihood ratio per
-transition is high.  Everything runs as DataFrame functions: the counts are
-one aggregation, the model is an array of at most 64 * 64 numbers.
+values that the fixed patterns find are random, stretches of letters, digits
+and joining signs outside of them are ordinary.  Both are smoothed towards the
+uniform distribution, the random one strongly, because a secret may use
+characters that the found ones lack.  A run outside the fixed patterns is a
+secret where the log-likelihood ratio per transition exceeds a threshold that
+is fitted on labelled strings which the models were not trained on.
+Everything runs as DataFrame functions: the counts are one aggregation, the
+model is an array of fixed size.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import cut
+
 # The base patterns, in listed order, and the least length of
 # what they must have matched (of group 2 for assign).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -24,31 +30,59 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "markov")
 
 #: Characters of the models; a run is a stretch of these.
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
-RUN_LEAST = 20
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
+_CLASS = "[A-Za-z0-9+/_-]"
+#: Runs are judged from this length on.
+RUN_LEAST = 12
+#: Share of the uniform distribution in the models of random and of ordinary strings.
+UNIFORM = (0.5, 0.02)
+#: Threshold where no labelled samples could fit one.
+THRESHOLD = 0.7
+#: Elements that one step of a scan over an array holds, so that it stays linear.
+_BLOCK = 256
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _block(items: Column, i: Column) -> Column:
+    return F.slice(items, i * _BLOCK + 1, F.lit(_BLOCK))
+
+
 def _spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """Leftmost matches of ``pattern`` as structs (start, end, kind, value), failing ones dropped.
+    """Leftmost matches of ``pattern`` as structs (start, kind, end, value), failing ones dropped.
 
     The pieces between the matches give their places: match i starts after the
-    first i + 1 pieces and the first i matches.
+    first i + 1 pieces and the first i matches.  Running places are summed by
+    blocks, so the work grows in proportion to the matches.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    parts = F.zip_with(F.split(text, pattern, -1), F.zip_with(whole, value, lambda w, v: F.struct(w.alias("w"), v.alias("v"))), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    match = F.zip_with(whole, value, lambda w, v: F.struct(F.length(w).alias("size"), v.alias("value")))
+    parts = F.zip_with(F.split(text, pattern, -1), match, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.coalesce(m["size"], F.lit(0)).alias("size"), m["value"].alias("value")))
+    empty = F.array().cast(_SPAN)
 
-    def step(state, part):
-        begin = state["at"] + part["gap"]
-        end = begin + F.coalesce(F.length(part["m"]["w"]), F.lit(0))
-        hit = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), part["m"]["v"].alias("value"))
-        good = F.coalesce(F.length(part["m"]["v"]) >= least, F.lit(False))
-        out = F.when(good, F.concat(state["out"], F.array(hit))).otherwise(state["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def in_block(items, at):
+        def step(state, part):
+            begin = state["at"] + part["gap"]
+            end = begin + part["size"]
+            hit = F.struct(begin.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), part["value"].alias("value"))
+            good = F.coalesce(F.length(part["value"]) >= least, F.lit(False))
+            out = F.when(good, F.concat(state["out"], F.array(hit))).otherwise(state["out"])
+            return F.struct(end.alias("at"), out.alias("out"))
 
-    return F.aggregate(parts, start, step)["out"]
+        return F.aggregate(items, F.struct(at.alias("at"), empty.alias("out")), step)["out"]
+
+    def placed(items):
+        blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int"))
+        sizes = F.transform(blocks, lambda i: F.aggregate(_block(items, i), F.lit(0), lambda at, p: at + p["gap"] + p["size"]))
+        offsets = F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.get(out, F.size(out) - 1) + n)))
+        return _let(offsets, lambda at: F.flatten(F.transform(blocks, lambda i: in_block(_block(items, i), F.get(at, i)))))
+
+    return _let(parts, placed)
 
 
 def _when_any(text: Column, pattern: str, spans: Column) -> Column:
@@ -70,43 +104,91 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def run_spans(text: Column, least: int = RUN_LEAST) -> Column:
-    """All stretches of ``least`` or more characters of the models' alphabet."""
-    pattern = f"[A-Za-z0-9+/]{{{least},}}"
-    return _when_any(text, pattern, _spans(text, "markov", pattern))
+def _masked(text: Column) -> Column:
+    """``text`` with what the fixed patterns find blanked out, place by place."""
+    union = f"{ASSIGN[:-2]}{{{LEAST['assign']},}})|AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}|[0-9a-f]{{{LEAST['hex']},}}"
+    found = F.transform(F.regexp_extract_all(text, F.lit(union), F.lit(0)), lambda m: F.repeat(F.lit(" "), F.length(m)))
+    pieces = F.zip_with(F.split(text, union, -1), found, lambda gap, blank: F.concat(gap, F.coalesce(blank, F.lit(""))))
+    return F.array_join(pieces, "")
 
 
-def train(docs: DataFrame, max_rows: int = 5000, smoothing: float = 0.5) -> list[float]:
-    """Log-likelihood ratio, random against ordinary, of every character pair, first character major.
+def _run(least: int) -> str:
+    """A whole stretch of at least ``least`` characters of the alphabet."""
+    return f"(?<!{_CLASS}){_CLASS}{{{least},}}"
 
-    Labelled samples come from about ``max_rows`` rows of ``docs`` (doc_id,
-    text), picked by hash.  Random: the values that the fixed patterns find,
-    and the base64 digest of every sampled row.  Ordinary: stretches of eight
-    or more characters of texts in which the patterns find nothing.  At most
-    2 * 64 * 64 counts reach the driver.
-    """
+
+def _labelled(docs: DataFrame, max_rows: int) -> DataFrame:
+    """Labelled strings (label 1 random, 0 ordinary; s) of about ``max_rows`` rows, picked by hash."""
     rows = docs.count()
     picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, rows))) < max_rows)
-    picked = picked.select(F.coalesce("text", F.lit("")).alias("text"), F.base64(F.unhex(F.sha2("text", 256))).alias("digest")).withColumn("base", base_spans(F.col("text")))
-    ordinary = F.when(F.size("base") == 0, F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/]{8,}"), F.lit(0)))
-    random = F.concat(F.transform("base", lambda b: b["value"]), F.array(F.coalesce("digest", F.lit(""))))
-    strings = picked.select(F.lit(0).alias("label"), F.explode(ordinary).alias("s")).unionAll(picked.select(F.lit(1).alias("label"), F.explode(random).alias("s")))
+    picked = picked.select(F.coalesce("text", F.lit("")).alias("text")).select("text", base_spans(F.col("text")).alias("base"))
+    random = F.transform("base", lambda b: F.struct(F.lit(1).alias("label"), b["value"].alias("s")))
+    ordinary = F.transform(F.regexp_extract_all(F.when(F.size("base") > 0, _masked(F.col("text"))).otherwise(F.col("text")), F.lit(_run(8)), F.lit(0)), lambda s: F.struct(F.lit(0).alias("label"), s.alias("s")))
+    return picked.select(F.explode(F.concat(random, ordinary)).alias("x")).select("x.*").where(F.length("s") > 1)
+
+
+def _table(strings: DataFrame) -> list[float]:
+    """Log-likelihood ratio, random against ordinary, of every character pair, first character major."""
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substr("s", i, F.lit(2)))).alias("pair")
-    counted = strings.where(F.length("s") > 1).select("label", pair).where(F.regexp_like("pair", F.lit("^[A-Za-z0-9+/]{2}$"))).groupBy("label", "pair").count()
+    counted = strings.select("label", pair).where(F.regexp_like("pair", F.lit(f"^{_CLASS}{{2}}$"))).groupBy("label", "pair").count()
     n = {(r["label"], r["pair"]): r["count"] for r in counted.collect()}
-    table = []
-    for a in ALPHABET:
-        total = [sum(n.get((label, a + b), 0) for b in ALPHABET) + smoothing * len(ALPHABET) for label in (0, 1)]
-        for b in ALPHABET:
-            ordinary_p, random_p = ((n.get((label, a + b), 0) + smoothing) / total[label] for label in (0, 1))
-            table.append(log(random_p / ordinary_p))
-    return table
+    size = len(ALPHABET)
+
+    def conditional(label, share):
+        """P(b | a), with few counts drawn to the label's frequency of b, and mixed with the uniform distribution."""
+        into = {b: sum(n.get((label, a + b), 0) for a in ALPHABET) + 0.5 for b in ALPHABET}
+        every = sum(into.values())
+        out = {}
+        for a in ALPHABET:
+            total = sum(n.get((label, a + b), 0) for b in ALPHABET)
+            for b in ALPHABET:
+                seen = (n.get((label, a + b), 0) + 8 * into[b] / every) / (total + 8)
+                out[a + b] = (1 - share) * seen + share / size
+        return out
+
+    ordinary, random = (conditional(label, UNIFORM[1 - label]) for label in (0, 1))
+    return [log(random[a + b] / ordinary[a + b]) for a in ALPHABET for b in ALPHABET]
+
+
+def train(docs: DataFrame, max_rows: int = 5000) -> list[float]:
+    """Log-likelihood ratio, random against ordinary, of every character pair, first character major.
+
+    Labelled samples come from about ``max_rows`` rows of ``docs`` (doc_id,
+    text).  Random: the values that the fixed patterns find; where there are
+    none, the uniform distribution alone.  Ordinary: stretches of eight or more
+    characters of the alphabet outside of them.  At most two counts per
+    character pair reach the driver.
+    """
+    return _table(_labelled(docs, max_rows))
+
+
+def learn(docs: DataFrame, max_rows: int = 5000) -> tuple[list[float], float]:
+    """The table that :func:`train` describes, from half of the labelled strings, and a threshold from the other half.
+
+    The threshold is the ratio at which the share of random strings below plus
+    a hundred times the share of ordinary strings above is least; of equally
+    good ones (steps of 0.05) the middle one.  ``THRESHOLD`` where either
+    label has no string.
+    """
+    strings = cut(_labelled(docs, max_rows).withColumn("half", F.pmod(F.xxhash64("s"), F.lit(2))))
+    table = _table(strings.where("half = 0"))
+    judged = strings.where((F.col("half") == 1) & (F.length("s") >= RUN_LEAST))
+    bins = judged.groupBy("label", F.floor(likelihood_ratio(F.col("s"), table) * 20).alias("bin")).count().collect()
+    n = {(r["label"], r["bin"]): r["count"] for r in bins}
+    totals = [sum(c for (label, _), c in n.items() if label == k) for k in (0, 1)]
+    if not all(totals):
+        return table, THRESHOLD
+    places = range(min(b for _, b in n), max(b for _, b in n) + 2)
+    cost = {at: sum(c for (label, b), c in n.items() if label == 1 and b < at) / totals[1] + 100 * sum(c for (label, b), c in n.items() if label == 0 and b >= at) / totals[0] for at in places}
+    best = [at for at in places if cost[at] == min(cost.values())]
+    return table, best[len(best) // 2] / 20
 
 
 def likelihood_ratio(value: Column, table: list[float]) -> Column:
-    """Mean log-likelihood ratio per transition of a string over the alphabet."""
+    """Mean log-likelihood ratio per transition of a string; characters outside the alphabet are passed over."""
     model = F.array(*[F.lit(round(x, 6)) for x in table])
-    codes = F.transform(F.split(value, ""), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
+    place = F.array(*[F.lit(ALPHABET.find(chr(i))) for i in range(128)])
+    codes = F.transform(F.split(value, ""), lambda c: F.coalesce(F.get(place, F.ascii(c)), F.lit(-1)))
     codes = F.filter(codes, lambda c: c >= 0)
     size = len(ALPHABET)
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
@@ -118,27 +200,50 @@ def likelihood_ratio(value: Column, table: list[float]) -> Column:
     return F.aggregate(codes, start, step)["sum"] / F.greatest(F.length(value) - 1, F.lit(1))
 
 
-def scan(docs: DataFrame, table: list[float] | None = None, threshold: float = 0.7) -> DataFrame:
+def random_spans(text: Column, base: Column, table: list[float], threshold: float) -> Column:
+    """Runs outside the base spans whose ratio exceeds ``threshold``.
+
+    Runs are scored first; their places are only sought where one is a secret.
+    """
+    secret = lambda value: likelihood_ratio(value, table) > threshold
+    apart = lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
+    run = _run(RUN_LEAST)
+
+    def within(rest):
+        found = F.filter(_spans(rest, "markov", run), lambda r: secret(r["value"]) & apart(r))
+        return F.when(F.exists(F.regexp_extract_all(rest, F.lit(run), F.lit(0)), secret), found).otherwise(F.array().cast(_SPAN))
+
+    return _let(F.when(F.size(base) > 0, _masked(text)).otherwise(text), within)
+
+
+def all_spans(text: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
+    """All spans of a text, base ones and random runs, in order of start and then kind."""
+    text = F.coalesce(text, F.lit(""))
+    return _let(base_spans(text), lambda base: F.array_sort(F.concat(base, random_spans(text, base, table, threshold))))
+
+
+def scan(docs: DataFrame, table: list[float] | None = None, threshold: float | None = None) -> DataFrame:
     """All secret spans of every text.
 
     ``docs`` needs ``doc_id`` and ``text``; its other columns are kept, except
     that base and spans are replaced.  Adds base and spans: arrays of structs
     (start, kind, end, value) in order of start and then kind, an index into
     ``KINDS``; places count code points from 0, ends are exclusive.  ``table``
-    is what :func:`train` returns, trained from ``docs`` if it is not given.
-    A long run is added as a markov span where its mean ratio exceeds
-    ``threshold`` and it overlaps no base span.
+    is what :func:`train` returns; without it, table and threshold are learned
+    from ``docs``.  A run of ``RUN_LEAST`` or more characters of the alphabet
+    outside the base spans is added as a markov span where its mean ratio
+    exceeds the threshold.
 
     Null and empty texts have no spans.  Repeated rows and null ids are scanned
     like others.  An empty table gives an empty result.
     """
     if table is None:
-        table = train(docs.select("doc_id", "text"))
+        table, fitted = learn(docs.select("doc_id", "text"))
+        threshold = fitted if threshold is None else threshold
+    threshold = THRESHOLD if threshold is None else threshold
     text = F.coalesce("text", F.lit(""))
     found = docs.withColumn("base", F.array_sort(base_spans(text)))
-    apart = lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    secret = F.filter(run_spans(text), lambda r: apart(r) & (likelihood_ratio(r["value"], table) > threshold))
-    return found.withColumn("spans", F.array_sort(F.concat("base", secret)))
+    return found.withColumn("spans", F.array_sort(F.concat("base", random_spans(text, F.col("base"), table, threshold))))
 
 
 def as_text(spans: Column) -> Column:

@@ -41,6 +41,8 @@ SKETCH_LONGS = 16
 SAMPLES = 256
 #: Rounds of stars between the components of a bucket.
 ROUNDS = 1
+#: Texts signed at a time; a text takes ``SAMPLES`` numbers several times over.
+_SIGNED = 256
 
 
 def shingle_sets(data, bounds, words: int) -> list[np.ndarray]:
@@ -67,7 +69,7 @@ def _signatures(words: int, bands: int, rows: int):
     bits = SKETCH_LONGS * 64
 
     def run(batches):
-        for step in steps(batches, limit=1 << 20):
+        for step in steps(batches, limit=1 << 20, rows=_SIGNED):
             sets = shingle_sets(*raw_text(step.column("text")), words)
             size = np.array([len(s) for s in sets])
             full = np.flatnonzero(size)

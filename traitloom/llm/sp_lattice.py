@@ -19,6 +19,7 @@ every text exactly.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,13 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import mix, steps
+from ._common import mix, raw_text, steps
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 _CHUNK = regex.compile(r"\n| *\p{L}+| *[^\p{L} \n]+| +")
-#: Lattice nodes kept for chunks met before.
-_NODES = 1_000_000
+#: Lattice nodes kept for chunks met before; beyond it, those met least are let go.
+_NODES = 800_000
 #: Chunks up to this length are filtered together, longer ones one by one.
 _TOGETHER = 64
 #: Weights are scaled by this per character, which keeps products in range.
@@ -183,20 +184,24 @@ class _Column:
     def view(self) -> np.ndarray:
         return self.data[: self.n]
 
+    def set(self, values: np.ndarray) -> None:
+        self.data[: len(values)], self.n = values, len(values)
+
 
 class _Lattices:
     """The lattices of the chunks met so far, as flat arrays that sampling can search.
 
-    A node is a character end.  The key of an edge is its node's number plus
-    the share of the node's weight up to this edge, in steps of 2**-24; node
-    numbers leave such keys exact, so a draw never depends on the order in
-    which chunks were met.
+    A node is a character end, its edges follow one another.  An edge has the
+    share of the node's weight up to this edge, in steps of 2**-24, which
+    single precision holds exactly; a draw never depends on the order in which
+    chunks were met.
     """
 
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.known, self.nodes = vocab, {}, 0
-        self.first, self.length = _Column(np.int64), _Column(np.int64)
-        self.keys, self.codes, self.spans = _Column(np.float64), _Column(np.int32), _Column(np.int16)
+        self.first, self.length, self.met = _Column(np.int64), _Column(np.int64), _Column(np.int64)
+        self.begin = _Column(np.int32)  # first edge of every node
+        self.shares, self.codes, self.spans = _Column(np.float32), _Column(np.int32), _Column(np.int16)
 
     def add(self, chunks: list[str]) -> None:
         """Filter chunks that are not known yet."""
@@ -208,12 +213,37 @@ class _Lattices:
                 edges = [(i, *e) for i, into in enumerate(lattice(chunk, self.vocab)) for e in into]
                 self._take([chunk], *(np.array(c) for c in zip(*edges, strict=True)))
 
+    def trim(self, most: int) -> None:
+        """Let chunks go that were met least, until at most half of ``most`` nodes are left, if there are more than ``most``."""
+        if self.nodes <= most:
+            return
+        length, met = self.length.view(), self.met.view()
+        by_use = np.bincount(np.minimum(met, 255), length, 256)[::-1].cumsum()[::-1]  # nodes of chunks met at least so often
+        least = int(np.searchsorted(-by_use, -most / 2))
+        keep = met >= max(least, 1)
+        first, length = self.first.view()[keep], length[keep]
+        new = np.cumsum(length) - length
+        nodes = np.repeat(first - new, length) + np.arange(int(length.sum()))
+        begin = self.begin.view()
+        edges_of = np.diff(np.append(begin, self.codes.n))[nodes]
+        starts = np.cumsum(edges_of) - edges_of
+        edges = np.repeat(begin[nodes] - starts, edges_of) + np.arange(int(edges_of.sum()))
+        for column in (self.codes, self.spans, self.shares):
+            column.set(column.view()[edges])
+        self.begin.set(starts)
+        self.known = {chunk: i for i, chunk in enumerate(compress(list(self.known), keep.tolist()))}
+        self.first.set(new)
+        self.length.set(length)
+        self.met.set(met[keep] // 2)
+        self.nodes = int(length.sum())
+
     def _take(self, chunks, end, length, code, weight) -> None:
         sizes = np.array([len(c) for c in chunks])
         for chunk in chunks:
             self.known[chunk] = len(self.known)
         self.first.extend(self.nodes + np.cumsum(sizes) - sizes)
         self.length.extend(sizes)
+        self.met.extend(np.zeros(len(sizes), np.int64))
         opens = np.append(True, end[1:] != end[:-1])
         last = np.append(opens[1:], True)
         begin = np.flatnonzero(opens)
@@ -223,22 +253,26 @@ class _Lattices:
             at = np.flatnonzero(turn == t)
             upto[at] += upto[at - 1]
         total = np.repeat(upto[last], np.diff(np.append(begin, len(end))))
-        share = np.round(upto / total * 2**24) / 2**24
-        self.keys.extend(self.nodes + end + np.where(last, 1.0, share))
+        self.begin.extend(self.codes.n + begin)
+        self.shares.extend(np.where(last, 1.0, np.round(upto / total * 2**24) / 2**24))
         self.codes.extend(code)
         self.spans.extend(length)
         self.nodes += int(sizes.sum())
 
     def sample(self, kinds: np.ndarray, seeds: np.ndarray):
         """Codes of all chunks, in order, and how many each has."""
+        self.met.view()[:] += np.bincount(kinds, minlength=self.met.n)
         first, place = self.first.view()[kinds], self.length.view()[kinds]
-        keys, all_codes, spans = self.keys.view(), self.codes.view(), self.spans.view()
+        begin, shares, all_codes, spans = self.begin.view(), self.shares.view(), self.codes.view(), self.spans.view()
         alive, turn, walked = np.arange(len(kinds)), 0, []
         count = np.zeros(len(kinds), np.int64)
         while len(alive):
-            u = (mix(seeds[alive] + np.uint64(turn * int(_STRIDE) % 2**64)) >> np.uint64(40)).astype(np.float64) / 2**24
-            node = first[alive] + place[alive] - 1
-            edge = np.minimum(np.searchsorted(keys, node + u, side="right"), len(keys) - 1)
+            u = (mix(seeds[alive] + np.uint64(turn * int(_STRIDE) % 2**64)) >> np.uint64(40)).astype(np.float32) / np.float32(2**24)
+            edge = begin[first[alive] + place[alive] - 1]
+            beyond = np.flatnonzero(shares[edge] <= u)
+            while len(beyond):
+                edge[beyond] += 1
+                beyond = beyond[shares[edge[beyond]] <= u[beyond]]
             walked.append((alive, all_codes[edge]))
             count[alive] += 1
             place[alive] -= spans[edge]
@@ -267,11 +301,10 @@ def _as_ids(codes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
 
 def _encode(shared, seed: int):
     def run(batches):
-        vocab = shared.value
+        vocab = Vocabulary(**shared.value)
         held = _Lattices(vocab)
         for step in steps(batches, limit=1 << 18):
-            if held.nodes > _NODES:
-                held = _Lattices(vocab)
+            held.trim(_NODES)
             chunks, sizes = [], []
             for text in step.column("text").to_pylist():
                 own = _CHUNK.findall(" " + text) if text else []
@@ -305,28 +338,33 @@ def encode(docs: DataFrame, path: str = MODEL, sharpness: float = 1.0, seed: int
     rows get equal pieces; null ids share the key 0.  An empty table gives an
     empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path, sharpness))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary(path, sharpness)))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return base.mapInArrow(_encode(shared, seed), "doc_id long, pieces array<int>")
 
 
 def _decode(shared):
     def run(batches):
-        texts = shared.value.texts
+        texts = pa.array(shared.value, pa.large_binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 lists = part.column("pieces")
-                flat = lists.flatten().to_numpy()
                 sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-                ends = np.cumsum(sizes)
-                out = [b"".join([texts[i] for i in flat[e - n : e].tolist()]).decode(errors="replace")[1:] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                data, ends = raw_text(texts.take(lists.flatten()))
+                whole = data.tobytes()
+                cuts = ends[np.append(0, np.cumsum(sizes))].tolist()
+                out = [whole[a + 1 : b].decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]  # without the space put in front
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "text"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str = MODEL) -> DataFrame:
-    """``encoded`` (doc_id, pieces) with the decoded text; null pieces decode to an empty text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(path))
+    """``encoded`` (doc_id, pieces) with the decoded text.
+
+    Null and empty pieces decode to an empty text, repeated rows and null ids
+    like others; other columns are ignored.  An empty table gives an empty result.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(path).texts)
     return encoded.select("doc_id", "pieces").mapInArrow(_decode(shared), "doc_id long, pieces array<int>, text string")
