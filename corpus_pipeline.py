@@ -13,17 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitloom.llm import crf_langid, entropy_mix, markov_secrets, odd_minhash, sp_lattice
-from traitloom.llm._common import cut
+from traitloom.llm._common import cut, fresh
 
-#: Mean word marginal below which no language counts as identified.
-LEAST_SCORE = 0.3
+#: Share of its words' features that a text in a learned language has at least.
+LEAST_KNOWN = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters or without a language that stands out."""
+    """Drop documents in none of the learned languages.
+
+    These have no letters, or are made of words whose affixes and n-grams the
+    labelled texts hardly know.  That share depends neither on the number of
+    languages nor on how a text mixes them.
+    """
     model = crf_langid.train(docs.select("doc_id", "text", "lang"))
-    known = crf_langid.identify(docs, model, keep=True)
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    (found,) = fresh(docs, "found")
+    judged = docs.withColumn(found, crf_langid.verdict(F.col("text"), model))
+    known = (F.col(found)["lang_pred"] != "und") & (F.col(found)["known"] >= LEAST_KNOWN)
+    return judged.where(known).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +41,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret span by a mark; documents stay."""
-    found = markov_secrets.scan(docs)
-    clean = found.withColumn("text", markov_secrets.redacted(F.col("text"), F.col("spans")))
+    (found,) = fresh(docs, "found")
+    spans = docs.withColumn(found, markov_secrets.all_spans(F.col("text"), *markov_secrets.learn(docs.select("doc_id", "text"))))
+    clean = spans.withColumn("text", markov_secrets.redacted(F.col("text"), F.col(found)))
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
