@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -59,11 +60,57 @@ class Model:
     weights: np.ndarray
     transitions: np.ndarray
 
-    def emissions(self, word: str) -> np.ndarray:
-        """Summed weights per label, and the share of the word's features that the model knows."""
-        own = features(word)
-        found = [i for i in map(self.index.get, own) if i is not None]
-        return np.append(self.weights[found].sum(axis=0), len(found) / len(own))
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Per word the summed weights per label, and the share of its features that the model knows."""
+        get, found, sizes, known = self.index.get, [], [], []
+        for word in words:
+            own = features(word)
+            met = [i for i in map(get, own) if i is not None]
+            found += met
+            sizes.append(len(met))
+            known.append(len(met) / len(own))
+        sizes = np.array(sizes)
+        out = np.zeros((len(words), len(self.labels) + 1))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            out[some, :-1] = np.add.reduceat(self.weights[found], (np.cumsum(sizes) - sizes)[some], axis=0)
+        out[:, -1] = known
+        return out
+
+
+class _Emissions:
+    """Emissions of the words met so far, numbered; those met least are let go beyond ``_CACHE`` words."""
+
+    def __init__(self, model: Model):
+        self.model, self.known = model, {}
+        self.table, self.met = np.zeros((1 << 12, len(model.labels) + 1)), np.zeros(1 << 12, np.int64)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of every word."""
+        ids = list(map(self.known.get, words))
+        if None in ids:
+            new = list(dict.fromkeys(w for w, i in zip(words, ids, strict=True) if i is None))
+            n, upto = len(self.known), len(self.known) + len(new)
+            while upto > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+            self.table[n:upto] = self.model.emissions(new)
+            self.met[n:upto] = 0
+            self.known.update(zip(new, range(n, upto), strict=True))
+            ids = list(map(self.known.get, words))
+        ids = np.array(ids, np.int64)
+        self.met[: len(self.known)] += np.bincount(ids, minlength=len(self.known))
+        return ids
+
+    def trim(self) -> None:
+        n = len(self.known)
+        if n <= _CACHE:
+            return
+        met = self.met[:n]
+        by_use = np.bincount(np.minimum(met, 255), minlength=256)[::-1].cumsum()[::-1]  # words met at least so often
+        keep = met >= max(1, int(np.searchsorted(-by_use, -_CACHE / 2)))
+        self.known = {w: i for i, w in enumerate(compress(list(self.known), keep.tolist()))}
+        self.table[: len(self.known)], self.met[: len(self.known)] = self.table[:n][keep], met[keep] // 2
 
 
 def _forward_backward(scores: np.ndarray, transitions: np.ndarray):
@@ -266,38 +313,25 @@ def _label(shared: Broadcast):
         model = Model(**shared.value) if shared.value else None
         k = len(model.labels) if model else 0
         names = np.array(model.labels if model else [], dtype=object)
-        cache: dict[str, int] = {}
-        table = np.zeros((1024, k + 1))
+        held = _Emissions(model) if model else None
         for step in steps((pa.RecordBatch.from_arrays([c], ["text"]) for c in columns), limit=1 << 19):
-            if len(cache) > _CACHE:
-                cache = {}
-            ids, sizes = [], []
+            every, sizes = [], []
             for text in step.column("text").to_pylist():
                 words = WORD.findall(text.lower()) if k else []
                 if words and not any(map(str.isalpha, words)) and not any(map(str.isalpha, text)):
                     words = []
-                own = list(map(cache.get, words))
-                if None in own:
-                    for i, w in enumerate(words):
-                        if own[i] is None:
-                            at = cache.get(w)
-                            if at is None:
-                                at = cache[w] = len(cache)
-                                if at >= len(table):
-                                    table = np.concatenate([table, np.zeros_like(table)])
-                                table[at] = model.emissions(w)
-                            own[i] = at
-                ids += own
-                sizes.append(len(own))
+                every += words
+                sizes.append(len(words))
             sizes = np.array(sizes)
             pred, runs = np.full(len(sizes), "und", object), np.full(len(sizes), "", object)
             score, known = np.zeros(len(sizes)), np.zeros(len(sizes))
             full = np.flatnonzero(sizes)
             if len(full):
+                held.trim()
                 bounds = np.append(0, np.cumsum(sizes[full]))
-                ids = np.array(ids)
-                known[full] = np.add.reduceat(table[ids, k], bounds[:-1]) / sizes[full]
-                post = _marginals(ids, bounds, table[: len(cache), :k], model.transitions)
+                ids = held.numbers(every)
+                known[full] = np.add.reduceat(held.table[ids, k], bounds[:-1]) / sizes[full]
+                post = _marginals(ids, bounds, held.table[: len(held.known), :k], model.transitions)
                 mean = np.add.reduceat(post, bounds[:-1], axis=0) / sizes[full][:, None]
                 best = mean.argmax(axis=1)
                 pred[full], score[full] = names[best], np.clip(mean[np.arange(len(full)), best], 0, 1)

@@ -168,7 +168,7 @@ QUERIES["op3_url_rules"] = op3_url_rules
 
 def op8_sp_lattice(spark, sf_dir):
     """Sampled pieces of every text of ``documents``, and the text they decode to."""
-    decoded = sp_lattice.decode(sp_lattice.encode(table(spark, sf_dir, "documents")))
+    decoded = sp_lattice.round_trip(table(spark, sf_dir, "documents"))
     return decoded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"), F.sha2("text", 256).alias("text_sha256"))
 
 

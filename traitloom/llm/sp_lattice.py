@@ -299,9 +299,12 @@ def _as_ids(codes: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return out, count
 
 
-def _encode(shared, seed: int):
+def _encode(shared, seed: int, back: bool = False):
+    """Sampled pieces of every text; ``back`` adds the text that they decode to."""
+
     def run(batches):
         vocab = Vocabulary(**shared.value)
+        texts = pa.array(vocab.texts, pa.large_binary())
         held = _Lattices(vocab)
         for step in steps(batches, limit=1 << 18):
             held.trim(_NODES)
@@ -324,7 +327,8 @@ def _encode(shared, seed: int):
             upto = np.append(0, np.cumsum(per_code))[np.append(0, np.cumsum(per_chunk))]
             bounds = upto[np.append(0, np.cumsum(sizes))].astype(np.int32)
             pieces = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([step.column("doc_id"), pieces], ["doc_id", "pieces"])
+            out = pa.RecordBatch.from_arrays([step.column("doc_id"), pieces], ["doc_id", "pieces"])
+            yield out.append_column("text", _spelled(pieces, texts)) if back else out
 
     return run
 
@@ -343,19 +347,32 @@ def encode(docs: DataFrame, path: str = MODEL, sharpness: float = 1.0, seed: int
     return base.mapInArrow(_encode(shared, seed), "doc_id long, pieces array<int>")
 
 
+def round_trip(docs: DataFrame, path: str = MODEL, sharpness: float = 1.0, seed: int = 0) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: doc_id, pieces, and the text that the pieces decode to.
+
+    Nulls, repeated rows and empty tables are treated as these two say.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vars(vocabulary(path, sharpness)))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return base.mapInArrow(_encode(shared, seed, back=True), "doc_id long, pieces array<int>, text string")
+
+
+def _spelled(lists: pa.Array, texts: pa.Array) -> pa.Array:
+    """The texts of lists of pieces, without the space that was put in front."""
+    sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    data, ends = raw_text(texts.take(lists.flatten()))
+    whole = data.tobytes()
+    cuts = ends[np.append(0, np.cumsum(sizes))].tolist()
+    return pa.array([whole[a + 1 : b].decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.string())
+
+
 def _decode(shared):
     def run(batches):
         texts = pa.array(shared.value, pa.large_binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = part.column("pieces")
-                sizes = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
-                data, ends = raw_text(texts.take(lists.flatten()))
-                whole = data.tobytes()
-                cuts = ends[np.append(0, np.cumsum(sizes))].tolist()
-                out = [whole[a + 1 : b].decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]  # without the space put in front
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], [*part.schema.names, "text"])
+                yield part.append_column("text", _spelled(part.column("pieces"), texts))
 
     return run
 
