@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled pieces of every document, with the digest of the text they decode to."""
-    decoded = sp_lattice.decode(sp_lattice.encode(docs.select("doc_id", "text")))
+    decoded = sp_lattice.round_trip(docs.select("doc_id", "text"))
     return decoded.select("doc_id", "pieces", F.size("pieces").alias("n_pieces"), F.sha2("text", 256).alias("text_sha256"))
 
 
