@@ -133,11 +133,10 @@ def test_license_places_by_brute_force(spark, odd, empty):
 def test_listed_rules_and_hosts(spark):
     urls = [None, "nothing", "http://Example.COM/en/1", "http://www.example.com/en/", "https://a.net/es/?x", "x://net", "http://com", "http://y.com/?q", "http://notexample.com/en/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    got = {r["page_id"]: r for r in url_rules.judge(pages, labels).collect()}
+    got = {r["page_id"]: r for r in url_rules.judge(pages).collect()}
     assert [got[i]["rule"] for i in range(9)] == [None, None, "example.com/en/", "www.example.com/en/", "net/es/", None, None, "com/", "com/"]
     assert (got[2]["host"], got[2]["path"], got[6]["path"]) == ("example.com", "/en/1", "")
-    assert url_rules.judge(pages.limit(0), labels).count() == 0
+    assert url_rules.judge(pages.limit(0)).count() == 0
 
 
 def test_mined_rules_equal_counting_all_combinations(spark):

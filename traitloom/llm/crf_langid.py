@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import fresh, steps
+from ._common import cut, fresh, steps
 
 #: Maximal runs of letters (numeric characters that Unicode calls alphanumeric may join them).
 WORD = re.compile(r"[^\W\d_]+")
@@ -219,22 +219,25 @@ def train(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL, most_rows: int
 
     ``docs`` needs doc_id, text, lang.  Of each language up to
     ``rows_per_label`` distinct texts are taken, in order of a hash of the
-    text; with many languages, that number falls so that all of them together
-    have about ``most_rows`` (one per language at least).  A text gives at most
-    ``pieces`` pieces of ``PIECE_WORDS`` words, picked by a hash of the text.
-    These pieces are all that reaches the driver.
+    text; with many languages that number falls so that all of them together
+    have about ``most_rows``, and the ``most_rows`` most frequent ones are
+    learned.  A text gives at most ``pieces`` pieces of ``PIECE_WORDS`` words,
+    picked by a hash of the text.  These pieces are all that reaches the driver.
 
     Null ids, texts and languages teach nothing; copies count once.  None is
     returned where nothing is left to learn from.
     """
     known = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("key"))
-    labels = known.select("lang").distinct().count()
+    # at most most_rows rows of a language and a number, so they may be broadcast
+    counts = cut(known.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).orderBy(F.desc("n"), "lang").limit(most_rows))
+    labels = counts.count()
     if not labels:
         return None
     quota = max(1, min(rows_per_label, most_rows // labels))
-    turn = F.row_number().over(W.partitionBy("lang").orderBy("key"))
-    chosen = known.select("lang", "key").distinct().withColumn("turn", turn).where(F.col("turn") <= quota).drop("turn")
-    # at most most_rows + labels rows of a language and a number
+    place = F.pmod("key", F.lit(1 << 32)) / F.lit(float(1 << 32))
+    # a few times as many as are wanted pass this share, whatever the language's size
+    few = known.select("lang", "key").join(F.broadcast(counts), "lang").where(place < (3 * quota + 100) / F.col("n")).select("lang", "key").distinct()
+    chosen = few.withColumn("turn", F.row_number().over(W.partitionBy("lang").orderBy(place, "key"))).where(F.col("turn") <= quota).drop("turn")
     texts = known.join(F.broadcast(chosen), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
     picked = texts.select("text", "lang").mapInArrow(_pieces(PIECE_WORDS, pieces), "text string, lang string")
     return fit([tuple(r) for r in picked.collect()])

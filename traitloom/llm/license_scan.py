@@ -1,22 +1,24 @@
 """License labels by a positional index of rare license words.
 
-A template is a label, a passage and its mandatory key phrases.  The index
-holds, per template, the postings (word, position) of its passage.  Words get
-their inverse document frequency over the scanned corpus; each key phrase is
-looked up by its highest-IDF word.  Where a text has such a word, the posting
-gives the place at which the phrase would start; the phrase's next rare word
-must stand at the matching relative position, and the whole phrase is then
-verified word for word.  A template is accepted at a place where all its key
-phrases stand at their relative positions and a large enough share of its
-passage's words stands at theirs.
-
-Everything is DataFrame functions on one row; only the document frequencies
-of the template words (bounded by the templates) reach the driver.
+A template is a label, a passage and its mandatory key phrases.  Words get
+their inverse document frequency over the scanned corpus, and the index holds
+postings: under the highest-IDF word of each template's rarest key phrase, the
+template, the word's place in the phrase, and the next rare word with its
+relative place.  A file's words that the index knows are looked up from the
+highest IDF to the lowest; every posting gives the place at which the phrase
+would start, the next rare word must stand at the matching relative position,
+and the key phrases are then verified word for word.  A template is accepted at
+a place where all its key phrases stand at their relative positions and a large
+enough share of its passage's words stands at theirs.
+
+Everything is DataFrame functions on one row; the index is one constant, so
+the plan does not grow with the templates.  Only the document frequencies of
+the key phrases' words (bounded by the templates) reach the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -41,6 +43,17 @@ NOTICES = (
     ("cc-by", "this work is licensed under a creative commons attribution license", ("creative commons attribution",)),
     ("cc-by-sa", "this work is licensed under cc by sa", ("cc by sa",)),
     ("proprietary", "all rights reserved", ("all rights reserved",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("to deal in the software without restriction", "substantial portions of the software")),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("unless required by applicable law or agreed to in writing",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain", "redistributions in binary form must reproduce")),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", ("as published by the free software foundation", "the gnu general public license")),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ("if a copy of the mpl was not distributed",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("for any purpose with or without fee",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", ("free and unencumbered software",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("any person or organization obtaining a copy",)),
+    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", ("associated cc0 with this work",)),
 )
 
 _PLACE = "array<struct<start:int,template:int,share:double>>"
@@ -71,48 +84,64 @@ def templates(base=BASE_PHRASES, notices=NOTICES) -> list[dict]:
 
 def inverse_frequencies(words: DataFrame, wanted: list[str]) -> dict[str, float]:
     """Inverse document frequency of the wanted words over all rows of ``words(words array)``."""
-    has = [F.count_if(F.array_contains("words", w)).alias(f"w{i}") for i, w in enumerate(wanted)]
-    row = words.agg(F.count("*").alias("rows"), *has).first()
-    return {w: log((row["rows"] + 1) / (row[f"w{i}"] + 1)) for i, w in enumerate(wanted)}
+    found = F.array_intersect("words", F.lit(wanted)) if wanted else F.array().cast("array<string>")
+    counts = words.select(F.explode(F.array_append(found, F.lit(""))).alias("word")).groupBy("word").count().collect()  # an empty word counts the rows
+    n = {r["word"]: r["count"] for r in counts}
+    return {w: log((n.get("", 0) + 1) / (n.get(w, 0) + 1)) for w in wanted}
 
 
-def _any_of(words: Column, wanted: list[str]) -> Column:
-    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in wanted]))
-
-
-def _places(words: Column, anchor: str, offset: int) -> Column:
-    """Starts (from 0) at which ``anchor`` would stand ``offset`` words in."""
-    marked = F.transform(words, lambda w, i: F.when(w == anchor, i - offset))
-    return F.filter(marked, lambda i: i.isNotNull() & (i >= 0))
+def postings(known: list[dict], idf: dict[str, float]) -> dict[str, list[dict]]:
+    """The index: postings under the highest-IDF word of each template's rarest key phrase.
 
+    A posting has the template's number, the key phrase and the place of its
+    rare word in it, the next rare word and its place, the passage, the key
+    phrase's place in the passage, and the other key phrases with theirs.
+    """
+    index: dict[str, list[dict]] = {}
+    for number, t in enumerate(known):
+        at, key = max(t["keys"], key=lambda k: max(idf[w] for w in k[1]))
+        rare = sorted(range(len(key)), key=lambda i: (-idf[key[i]], i))
+        also = rare[1] if len(rare) > 1 else rare[0]
+        others = [{"at": k - at, "key": words} for k, words in t["keys"] if k != at]
+        entry = {"template": number, "key": key, "place": rare[0], "next": key[also], "next_place": also, "passage": t["words"], "at": at, "others": others}
+        index.setdefault(key[rare[0]], []).append(entry)
+    return index
 
-def _at(words: Column, start: Column, offset: int, word: str) -> Column:
-    return F.coalesce(F.get(words, start + offset) == word, F.lit(False))
 
+_POSTING = "struct<template:int,key:array<string>,place:int,next:string,next_place:int,passage:array<string>,at:int,others:array<struct<at:int,key:array<string>>>>"
 
-def _meeting(words: Column, starts: Column, offset: int, word: str) -> Column:
-    """The starts whose posting of another word agrees on the relative position."""
-    return F.filter(starts, lambda s: _at(words, s, offset, word))
 
+def _stands(words: Column, start: Column, phrase: Column) -> Column:
+    """Whether the phrase stands word for word from place ``start`` (from 0) on."""
+    return (start >= 0) & (F.slice(words, F.greatest(start, F.lit(0)) + 1, F.size(phrase)) == phrase)
 
-def _verified(words: Column, starts: Column, phrase: list[str]) -> Column:
-    """The starts at which the phrase stands word for word."""
-    return F.filter(starts, lambda s: reduce(lambda x, y: x & y, [_at(words, s, i, w) for i, w in enumerate(phrase)]))
 
+def _places(words: Column, index: dict[str, list[dict]], idf: dict[str, float], share: float) -> Column:
+    """Places (start of the key phrase, template, share) of all accepted templates."""
+    anchors = sorted(index, key=lambda w: (-idf[w], w))
+    if not anchors:
+        return F.array().cast(_PLACE)
+    posted = F.from_json(F.lit(json.dumps(index)), f"map<string,array<{_POSTING}>>")
+    rank = {w: i for i, w in enumerate(anchors)}
+    ranked = F.from_json(F.lit(json.dumps(rank)), "map<string,int>")
+    met = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(anchors))
+    met = F.array_sort(F.transform(met, lambda x: F.struct(F.element_at(ranked, x["word"]).alias("rank"), x["at"].alias("at"), x["word"].alias("word"))))
 
-def _accepted(words: Column, starts: Column, number: int, template: dict, at: int, share: float) -> Column:
-    """Places (start, template, share) of a template whose key phrase at position ``at`` starts there."""
-    passage = template["words"]
+    def agreeing(x):
+        """The postings of one word of the file whose next rare word stands at its relative place."""
+        starts = F.transform(F.element_at(posted, x["word"]), lambda p: F.struct((x["at"] - p["place"]).alias("start"), p.alias("p")))
+        return F.filter(starts, lambda c: F.coalesce(F.get(words, c["start"] + c["p"]["next_place"]) == c["p"]["next"], F.lit(False)))
 
-    def place(s):
-        standing = reduce(lambda x, y: x + y, [_at(words, s, i - at, w).cast("int") for i, w in enumerate(passage)])
-        return F.struct(s.alias("start"), F.lit(number).alias("template"), (standing / len(passage)).alias("share"))
+    def verified(c):
+        whole = _stands(words, c["start"], c["p"]["key"])
+        return whole & F.forall(c["p"]["others"], lambda o: _stands(words, c["start"] + o["at"], o["key"]))
 
-    def whole(p):
-        others = [_at(words, p["start"], k - at + i, w) for k, key in template["keys"] if k != at for i, w in enumerate(key)]
-        return reduce(lambda x, y: x & y, others, p["share"] >= share)
+    def place(c):
+        standing = F.filter(F.transform(c["p"]["passage"], lambda w, i: F.coalesce(F.get(words, c["start"] - c["p"]["at"] + i) == w, F.lit(False))), lambda ok: ok)
+        return F.struct(c["start"].alias("start"), c["p"]["template"].alias("template"), (F.size(standing) / F.size(c["p"]["passage"])).alias("share"))
 
-    return F.filter(F.transform(starts, place), whole)
+    found = F.transform(F.filter(F.flatten(F.transform(met, agreeing)), verified), place)
+    return F.when(F.arrays_overlap(words, F.lit(anchors)), F.filter(found, lambda p: p["share"] >= share)).otherwise(F.array().cast(_PLACE))
 
 
 def _joined(labels: Column) -> Column:
@@ -157,23 +186,4 @@ def scan(docs: DataFrame, known: list[dict] | None = None, share: float = 0.6) -
     vocabulary = sorted({w for t in known for _, key in t["keys"] for w in key})
     idf = inverse_frequencies(worded.select("words"), vocabulary)
 
-    anchors: dict[str, list] = {}
-    for number, t in enumerate(known):
-        at, key = min(t["keys"], key=lambda k: -max(idf[w] for w in k[1]))
-        rare = sorted(range(len(key)), key=lambda i: (-idf[key[i]], i))
-        anchors.setdefault(key[rare[0]], []).append((number, at, key, rare))
-
-    words = F.col("words")
-    found = []
-    for anchor, postings in sorted(anchors.items()):
-        hits = []
-        for number, at, key, rare in postings:
-            t = known[number]
-            starts = _places(words, anchor, rare[0])  # of the key phrase
-            if len(rare) > 1:
-                starts = _meeting(words, starts, rare[1], key[rare[1]])
-            starts = _verified(words, starts, key)
-            hits.append(_accepted(words, starts, number, t, at, share))
-        found.append(F.when(F.array_contains(words, anchor), F.concat(*hits)).otherwise(F.array().cast(_PLACE)))
-    out = worded.withColumn("places", F.when(_any_of(words, sorted(anchors)), F.concat(*found)).otherwise(F.array().cast(_PLACE)))
-    return _summary(out, known)
+    return _summary(worded.withColumn("places", _places(F.col("words"), postings(known, idf), idf, share)), known)

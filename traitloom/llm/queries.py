@@ -112,22 +112,24 @@ QUERIES["op2_license_scan"] = op2_license_scan
 
 
 def _license_sql() -> str:
-    """Every template as DuckDB list expressions over ``w``, the words of a text."""
-    known = license_scan.templates()
-    accepted = []
-    for number, t in enumerate(known):
-        at, key = t["keys"][0]
-        n, m = len(t["words"]), len(key)
-        phrase = "[" + ", ".join(f"'{x}'" for x in key) + "]"
-        standing = " + ".join(f"coalesce(CAST(CASE WHEN i + {k - at} >= 1 THEN w[i + {k - at}] = '{x}' END AS INTEGER), 0)" for k, x in enumerate(t["words"]))
-        accepted.append(
-            f"SELECT doc_id, i - 1 AS p, '{t['label']}' AS label, {t['base']} AS base, ({standing}) / {n}.0::DOUBLE AS share "
-            f"FROM (SELECT doc_id, w, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = '{key[0]}' AND w[i:i + {m - 1}] = {phrase})) AS i FROM d)"
-        )
+    """Every template as a row of DuckDB lists, met with ``w``, the words of a text."""
+
+    def words(items):
+        return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+    rows = []
+    for t in license_scan.templates():
+        (at, key), *others = t["keys"]
+        placed = "[" + ", ".join(f"{{'pos': {k - at}, 'key': {words(other)}}}" for k, other in others) + "]" if others else "CAST([] AS STRUCT(pos INTEGER, key VARCHAR[])[])"
+        rows.append(f"('{t['label']}', {t['base']}, {at}, {words(key)}, {placed}, {words(t['words'])})")
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-hit AS ({" UNION ALL ".join(accepted)}),
+t(label, base, pos, key, others, passage) AS (VALUES {", ".join(rows)}),
+start AS (SELECT doc_id, w, t.*, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i] = key[1] AND w[i:i + len(key) - 1] = key)) AS i FROM d JOIN t ON list_has_all(w, key)),
+hit AS (SELECT doc_id, i - 1 AS p, label, base,
+               len(list_filter(range(1, len(passage) + 1), lambda k: i - pos + k - 1 >= 1 AND w[i - pos + k - 1] = passage[k])) / CAST(len(passage) AS DOUBLE) AS share
+        FROM start WHERE len(list_filter(others, lambda o: i + o.pos >= 1 AND w[i + o.pos:i + o.pos + len(o.key) - 1] = o.key)) = len(others)),
 place AS (SELECT * FROM hit WHERE share >= 0.6)
 SELECT d.doc_id, len(w) AS n_words, count(*) FILTER (base) AS n_base, min(p) FILTER (base) AS first_word, max(p) FILTER (base) AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
@@ -159,8 +161,7 @@ QUERIES["op1_crf_langid"] = op1_crf_langid
 
 def op3_url_rules(spark, sf_dir):
     """Verdict on the URL of every row of ``pages``."""
-    labels = table(spark, sf_dir, "labels")
-    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
 QUERIES["op3_url_rules"] = op3_url_rules

@@ -174,7 +174,8 @@ def remove_repeated_windows(docs: DataFrame, size: int = 50, gram: int = 8, keep
 
     Null text counts as empty.  A row with a null doc_id neither loses words
     nor makes others lose any.  Rows with one doc_id do not remove each other's
-    words; each such row is judged by its own text.  Texts under ``size`` words
+    words; each such row is judged by its own text (they are told apart by 24
+    bits of its hash).  Texts under ``size`` words
     have no window.  An empty table gives an empty result.
     """
     if not 1 < gram <= size or size > 128:
@@ -197,7 +198,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 50, gram: int = 8, keep
     spans = runs.where("doc_id > least").select("doc_id", "place")
 
     firsts = runs.where("doc_id = least")
-    varied = firsts.groupBy("cell").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("cell")
+    varied = cut(firsts.groupBy("cell").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("cell"))
     tag = F.shiftrightunsigned("place", 40).alias("tag")
     places = firsts.join(varied, "cell", "left_semi").groupBy("doc_id", tag).agg(F.collect_list("place").alias("places"))
     windows = cut(packed.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInArrow(_windows(size), "doc_id long, k1 long, k2 long, place long"))

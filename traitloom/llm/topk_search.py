@@ -116,7 +116,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, bins
     A vector that is null, holds a null or a non-finite component, or has a
     null vec_id takes no part.  Empty vectors score 0; vectors of unlike
     lengths are compared over the shorter one.  Rows that repeat a vec_id are
-    candidates each on its own, but never for a query of the same id.
+    candidates each on its own, but never for a query of the same id; they ask
+    once, with the least of their vectors in array order.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
@@ -127,7 +128,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, bins
     norm = rows.select(F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)).alias("n")).first()["n"]
     top = int(norm or 0) + 1  # no score is larger, by Cauchy and Schwarz
     width = -(-(2 * top + 1) // bins)
-    asked = cut(rows.where("asks").select("id", "vector").dropDuplicates(["id"]))
+    asked = cut(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")))
     groups = asked.count() // query_rows + 1
     states = asked.withColumns({"low": F.lit(-top).cast("long"), "width": F.lit(width).cast("long")})
     while True:

@@ -24,7 +24,7 @@ from ._common import raw_text, steps
 BLOCK = 64
 RATE = 8000
 #: Frames transformed at a time, so that a long text takes little memory.
-FRAMES = 4096
+FRAMES = 1024
 
 
 def _store(batches):
@@ -56,7 +56,10 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def peak_pairs(samples: np.ndarray, frame: int, hop: int, fan: int) -> np.ndarray:
-    """Time-coded peak pairs of one signal; each frame gives its two highest peaks.
+    """Time-coded peak pairs of one signal; each frame gives its two highest local maxima.
+
+    A maximum is higher than the bin below and not lower than the one above; a
+    frame with one only gives it twice.
 
     Silence of frame - hop samples on either side lets the first and the last
     samples lie in as many frames as all others; a signal has two frames at least.
@@ -73,10 +76,15 @@ def peak_pairs(samples: np.ndarray, frame: int, hop: int, fan: int) -> np.ndarra
     bins = np.empty((len(frames), 2), np.int64)
     for at in range(0, len(frames), FRAMES):
         power = np.abs(np.fft.rfft(frames[at : at + FRAMES] * window, axis=1))[:, 1:]
-        top = np.argmax(power, axis=1)
-        power[np.arange(len(power)), top] = -1
+        peak = np.ones(power.shape, bool)
+        peak[:, 1:] = power[:, 1:] > power[:, :-1]
+        peak[:, :-1] &= power[:, :-1] >= power[:, 1:]
+        power = np.where(peak, power, -1)
+        top, n = np.argmax(power, axis=1), np.arange(len(power))
+        power[n, top] = -1
+        second = np.argmax(power, axis=1)
         bins[at : at + FRAMES, 0] = top
-        bins[at : at + FRAMES, 1] = np.argmax(power, axis=1)
+        bins[at : at + FRAMES, 1] = np.where(power[n, second] < 0, top, second)
     rows = np.arange(len(bins))
     codes = []
     for ahead in range(1, fan + 1):
@@ -117,7 +125,8 @@ def fingerprint(media: DataFrame, frame: int = 128, hop: int = 32, fan: int = 3)
     last 64 payload bytes) and peaks (sorted time-coded pairs of the samples
     without padding, never empty; texts of a few bytes can have the same).
     Frames overlap by three quarters, so that shared content gives like pairs
-    where it is shifted.  ``frame`` is at most 512 so that a bin fits a byte.
+    where it is shifted.  Null ids stay, repeated rows are read each on its own,
+    other columns are ignored, and an empty table gives an empty result.  ``frame`` is at most 512 so that a bin fits a byte.
     """
     if not 2 <= frame <= 512 or not 0 < hop or not 0 < fan < 16:
         raise ValueError("2 <= frame <= 512, hop > 0 and 0 < fan < 16 are needed")
