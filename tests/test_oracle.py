@@ -9,6 +9,8 @@ from traitloom.registry import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+CHECKED_ELSEWHERE = {"ml03_correctness_forest", "ml04_fallback", "ml05_principal_components", "ml06_descriptor_components", "ml07_discriminants", "ml09_forest_report", "ml10_point_clusters", "vd05_anchors"}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -27,8 +29,8 @@ def rows(frame: pd.DataFrame) -> list[str]:
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
-    if name not in ORACLE_SQL:
-        assert len(got.columns) > 0
+    if name not in ORACLE_SQL:  # tests/test_models_and_matches.py holds these against other computations
+        assert name in CHECKED_ELSEWHERE and len(got) > 0
         return
     want = duck.execute(ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

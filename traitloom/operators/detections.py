@@ -66,7 +66,7 @@ def class_weights(boxes: DataFrame) -> DataFrame:
 
 
 def image_weights(boxes: DataFrame, weights: DataFrame, image: str) -> DataFrame:
-    return boxes.groupBy(image, "cls").agg(F.count("*").alias("n")).join(F.broadcast(weights), "cls").groupBy(image).agg(F.sum(F.col("n") * F.col("weight")).alias("weight"))
+    return boxes.groupBy(image, "cls").agg(F.count("*").alias("n")).join(weights, "cls").groupBy(image).agg(F.sum(F.col("n") * F.col("weight")).alias("weight"))
 
 
 def anchor_recall(boxes: DataFrame, anchors: list[tuple[float, float]], least: float = 0.25) -> DataFrame:
@@ -97,7 +97,7 @@ def repeat_factors(boxes: DataFrame, images: DataFrame, image: str, threshold: f
     total = images.select(image).distinct().agg(F.count("*").alias("total"))
     shares = pairs.groupBy("cls").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
     factors = shares.select("cls", F.greatest(F.lit(1.0), F.sqrt(F.lit(threshold) / (F.col("n") / F.col("total")))).alias("factor"))
-    per = pairs.join(F.broadcast(factors), "cls").groupBy(image).agg(F.max("factor").alias("factor"))
+    per = pairs.join(factors, "cls").groupBy(image).agg(F.max("factor").alias("factor"))
     return images.select(image).distinct().join(per, image, "left").select(image, F.coalesce("factor", F.lit(1.0)).alias("factor"))
 
 

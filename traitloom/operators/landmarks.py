@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from traitloom.operators.linkage import chosen_pair
+
 # Landmark kinds in class-index order.
 KINDS = ("apex_angle", "base_angle", "lamina_base", "lamina_tip", "lamina_width", "lobe_tip", "midvein_trace", "petiole_tip", "petiole_trace")
 # Slots of a keypoint label line, by name.
@@ -45,6 +47,48 @@ def lamina_length(tip: str = "tip", base: str = "base", apex: str = "apex", base
     return F.hypot(top["x"] - bottom["x"], top["y"] - bottom["y"])
 
 
+def lamina_width(points: DataFrame, sides: DataFrame, midveins: DataFrame, leaf: str = "leaf") -> DataFrame:
+    """Width of each leaf between a left and a right width point (leaf, lx, ly, rx, ry, width).
+
+    ``points`` are the width points, ``sides`` has leaf, seq and side of the
+    midvein or, without one, of the lamina's axis; ``midveins`` has the leaves
+    with a midvein.  These take the pair with the largest ``|dx + dy|``, others
+    the shortest.  A leaf without points on both sides is left out.
+    """
+    rows = points.join(sides, [leaf, "seq"])
+    left, right = (rows.where(F.col("side") == side).select(leaf, "x", "y") for side in ("left", "right"))
+    known = midveins.select(leaf).distinct()
+    slanted = chosen_pair(left.join(known, leaf, "left_semi"), right, leaf, mode="slanted")
+    shortest = chosen_pair(left.join(known, leaf, "left_anti"), right, leaf)
+    both = slanted.unionByName(shortest).withColumnsRenamed({"x1": "lx", "y1": "ly", "x2": "rx", "y2": "ry"})
+    return both.withColumn("width", F.hypot(F.col("rx") - F.col("lx"), F.col("ry") - F.col("ly")))
+
+
+def label_measurements(points: DataFrame, leaf: str = "leaf") -> DataFrame:
+    """Label-side measures of every leaf, 0 where its points are absent.
+
+    Lengths: lamina (first tip to first base), width (first two width points),
+    petiole (first base to petiole tip), and the traces of midvein and petiole.
+    Angles at the second of the first three points: apex, base, deepest sinus.
+    """
+    from traitloom.operators.geometry import angle_at
+
+    line = W.partitionBy(leaf, "kind").orderBy("seq")
+    step = F.hypot(F.col("x") - F.lag("x").over(line), F.col("y") - F.lag("y").over(line))
+    rows = points.withColumns({"_nth": F.row_number().over(line), "_step": step})
+    at = lambda kind, n, c: F.max(F.when((F.col("kind") == kind) & (F.col("_nth") == n), F.col(c)))
+    point = lambda kind, n: (at(kind, n, "x"), at(kind, n, "y"))
+    between = lambda p, q: F.coalesce(F.hypot(p[0] - q[0], p[1] - q[1]), F.lit(0.0))
+    trace = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("_step"))), F.lit(0.0))
+    angle = lambda kind: F.coalesce(F.when(at(kind, 3, "x").isNotNull(), angle_at(*point(kind, 1), *point(kind, 2), *point(kind, 3))), F.lit(0.0))
+    tip, base = point("lamina_tip", 1), point("lamina_base", 1)
+    return rows.groupBy(leaf).agg(
+        between(tip, base).alias("lamina_length"), between(point("lamina_width", 1), point("lamina_width", 2)).alias("lamina_width"),
+        between(base, point("petiole_tip", 1)).alias("petiole_length"), trace("midvein_trace").alias("midvein_length"), trace("petiole_trace").alias("petiole_trace_length"),
+        angle("apex_angle").alias("apex_angle"), angle("base_angle").alias("base_angle"), angle("deepest_sinus_angle").alias("deepest_sinus_angle"),
+    )
+
+
 def angle_points(points: DataFrame, sides: DataFrame, tips: DataFrame, leaf: str = "leaf") -> DataFrame:
     """Centre, left and right point of an angle: nearest to the tip, and farthest from that on either side.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from traitloom.functions.naming import specimen_names
 from traitloom.operators.filters import first_rows
+from traitloom.operators.lineage import in_ranges
 
 
 def combined(images: DataFrame, occurrences: DataFrame, on_null: str = "blank") -> DataFrame:
@@ -63,10 +64,10 @@ def merged_with_suffixes(left: DataFrame, right: DataFrame, key: str, suffixes:
 def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
     """Rows numbered from 1 in a total order, without bringing them to one task.
 
-    Rows are range-partitioned and sorted; the partitions' counts (one small
-    row each) give every partition its offset.
+    Rows are range-partitioned, sorted and written; the partitions' counts (one
+    small row each) give every partition its offset.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id() % (1 << 33))
+    ranged = in_ranges(df, order)
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_rows"))
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
     return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")

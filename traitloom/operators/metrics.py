@@ -6,11 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from traitloom.operators.lineage import cut, in_ranges
+
+
+def _running(hits: DataFrame, cls: str, score: str, order: list[str]) -> DataFrame:
+    """Rows with tp, fp and the number of their range partition (``_part``).
+
+    A class is spread over range partitions of falling score: sums run inside
+    each, and what lies in the partitions before is added from one small row
+    per partition and class.
+    """
+    ranged = in_ranges(hits, [F.col(cls), F.desc(score), *order]).drop("_nth")
+    w = W.partitionBy("_part", cls).orderBy(F.desc(score), *order).rowsBetween(W.unboundedPreceding, 0)
+    true, false = F.sum(F.col("hit").cast("long")), F.sum((~F.col("hit")).cast("long"))
+    ahead = W.partitionBy(cls).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = ranged.groupBy("_part", cls).agg(true.alias("_t"), false.alias("_f"))
+    before = before.select("_part", cls, *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ("_t", "_f")])
+    rows = ranged.withColumns({"tp": true.over(w), "fp": false.over(w)}).join(before, ["_part", cls])
+    return rows.withColumns({"tp": F.col("tp") + F.col("_t"), "fp": F.col("fp") + F.col("_f")}).drop("_t", "_f")
+
 
 def running_hits(predictions: DataFrame, cls: str, score: str, order: list[str]) -> DataFrame:
     """Running true and false positives per class by falling score; ``hit`` says which a row is."""
-    w = W.partitionBy(cls).orderBy(F.desc(score), *order).rowsBetween(W.unboundedPreceding, 0)
-    return predictions.withColumns({"tp": F.sum(F.col("hit").cast("long")).over(w), "fp": F.sum((~F.col("hit")).cast("long")).over(w)})
+    return _running(predictions, cls, score, order).drop("_part")
 
 
 def matched(pairs: DataFrame, image: str, prediction: str, label: str, value: str) -> DataFrame:
@@ -20,6 +38,24 @@ def matched(pairs: DataFrame, image: str, prediction: str, label: str, value: st
     return pairs.withColumn("_a", F.row_number().over(best)).where("_a = 1").withColumn("_b", F.row_number().over(own)).where("_b = 1").drop("_a", "_b")
 
 
+def handed_over(pairs: DataFrame, image: str, prediction: str, label: str, value: str) -> DataFrame:
+    """One-to-one matches taken from all pairs of an image by falling ``value``.
+
+    A pair that is the best of both its ends is taken, its ends leave, and the
+    rest is looked at again until no pair is left: what walking all pairs by
+    falling value takes, ties in order of prediction and label.
+    """
+    best = lambda end: F.row_number().over(W.partitionBy(image, end).orderBy(F.desc(value), prediction, label))
+    rest, taken = cut(pairs), None
+    while not rest.isEmpty():
+        both = cut(rest.withColumns({"_a": best(prediction), "_b": best(label)}).where("_a = 1 and _b = 1").drop("_a", "_b"))
+        taken = both if taken is None else taken.unionByName(both)
+        for end in (prediction, label):
+            rest = rest.join(both.select(image, end), [image, end], "left_anti")
+        rest = cut(rest)
+    return rest if taken is None else taken
+
+
 def nearest_both_ways(predicted: DataFrame, truth: DataFrame, image: str) -> DataFrame:
     """Distance from every predicted point to the nearest true one, and the other way (image, side, distance).
 
@@ -67,17 +103,21 @@ def precision_recall(hits: DataFrame, totals: DataFrame, cls: str, order: list[s
 
     ``totals`` has the class and its number of true boxes.
     """
-    rows = running_hits(hits, cls, score, order).join(totals, cls)
+    rows = _running(hits, cls, score, order).join(totals, cls)
     rows = rows.withColumns({"precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.col("tp") / F.col("total"), "_turn": F.col("tp") + F.col("fp")})
-    tail = W.partitionBy(cls).orderBy("_turn").rowsBetween(0, W.unboundedFollowing)
-    return rows.withColumn("envelope", F.max("precision").over(tail))
+    # from the end of the class, so that the frame only grows
+    own = F.max("precision").over(W.partitionBy("_part", cls).orderBy(F.desc("_turn")).rowsBetween(W.unboundedPreceding, 0))
+    beyond = F.max("_best").over(W.partitionBy(cls).orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1))
+    later = rows.groupBy("_part", cls).agg(F.max("precision").alias("_best")).select("_part", cls, beyond.alias("_beyond"))
+    return rows.withColumn("envelope", own).join(later, ["_part", cls]).withColumn("envelope", F.greatest("envelope", "_beyond")).drop("_part", "_beyond")
 
 
 def average_precision(curve: DataFrame, cls: str, grid: int = 101) -> DataFrame:
-    """Area under the envelope by steps of recall, and its mean over a grid of recalls."""
-    line = W.partitionBy(cls).orderBy("_turn")
-    steps = curve.withColumn("_step", F.col("recall") - F.lag("recall", 1, 0.0).over(line))
-    exact = steps.groupBy(cls).agg(F.sum(F.col("_step") * F.col("envelope")).alias("ap"))
+    """Area under the envelope by steps of recall, and its mean over a grid of recalls.
+
+    Recall rises by one over the class's total at every hit, and only there.
+    """
+    exact = curve.groupBy(cls).agg(F.sum(F.when(F.col("hit"), F.col("envelope") / F.col("total")).otherwise(0.0)).alias("ap"))
     best = curve.groupBy(cls, F.floor(F.col("recall") * (grid - 1) + 1e-9).alias("upto")).agg(F.max("envelope").alias("envelope"))
     # the envelope at a grid recall is the best precision at that recall or beyond
     grids = curve.select(cls).distinct().withColumn("upto", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("upto", F.col("upto").cast("long"))
@@ -104,6 +144,21 @@ def confusion(predicted: DataFrame, truth: DataFrame, matches: DataFrame) -> Dat
     return rows.groupBy(ground("predicted").alias("predicted"), ground("true").alias("true")).agg(F.count("*").alias("n"))
 
 
+def mean_average_precision(predictions: DataFrame, totals: DataFrame, order: list[str], thresholds: list[int]) -> DataFrame:
+    """Average precision per class and overlap threshold in percent (cls, threshold, ap).
+
+    ``predictions`` has cls, score, ``order`` and iou, the overlap with the
+    label that it is matched with (null without one); ``totals`` cls and total.
+    """
+    rows = predictions.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    key = F.concat_ws(":", "cls", "threshold")
+    hits = rows.withColumns({"hit": F.coalesce(F.round(F.col("iou") * 100, 7) >= F.col("threshold"), F.lit(False)), "_key": key})
+    each = totals.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).select(key.alias("_key"), "total")
+    found = average_precision(precision_recall(hits, each, "_key", order), "_key")
+    parts = F.split("_key", ":")
+    return found.select(F.get(parts, F.lit(0)).alias("cls"), F.get(parts, F.lit(1)).cast("int").alias("threshold"), "ap")
+
+
 def fitness(map50: Column, map95: Column) -> Column:
     return 0.1 * map50 + 0.9 * map95
 

@@ -42,6 +42,13 @@ def correctness_forest(df: DataFrame, columns: list[str], label: str, trees: int
     return model, model.transform(rows)
 
 
+def forest_report(model, scored: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """Accuracy and the importance of every feature (name, value), one row each."""
+    right = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("value")).select(F.lit("accuracy").alias("name"), "value")
+    weights = scored.sparkSession.createDataFrame([(f"importance_{c}", float(w)) for c, w in zip(columns, model.featureImportances.toArray(), strict=True)], "name string, value double")
+    return right.unionByName(weights)
+
+
 def with_fallback(scored: DataFrame, value: str, fallback: Column) -> DataFrame:
     """Predicted mean: the measured one where it is judged right, else the fallback."""
     return scored.withColumn("pred_mean", F.when(F.col("prediction") == 0, fallback).otherwise(F.col(value)))

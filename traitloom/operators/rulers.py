@@ -120,6 +120,66 @@ def consensus(spacings: DataFrame, units: DataFrame, predicted: str, share: floa
     return trimmed(near, ["ruler_id"], "cm").groupBy("ruler_id").agg(F.avg("cm").alias("cm"), F.count("*").alias("n"), F.countDistinct("unit").alias("n_units"))
 
 
+def line_readings(points: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:
+    """Every labelled unit line read in pixels per centimetre: keys, unit, cm, sd (of all gaps) and n gaps.
+
+    ``points`` has keys, unit, seq, x and y; gaps lie between neighbours in
+    order of seq.  A line of one point has no gap and is left out.
+    """
+    line = W.partitionBy(*keys).orderBy("seq")
+    gap = F.hypot(F.lead("x").over(line) - F.col("x"), F.lead("y").over(line) - F.col("y"))
+    lines = points.withColumn("_gap", gap).where("_gap is not null").groupBy(*keys, "unit").agg(F.avg("_gap").alias("_mean"), F.stddev_pop("_gap").alias("sd"), F.count("*").alias("n"))
+    return to_centimetres(lines, units, "_mean").select(*keys, "unit", F.col("px_per_cm").alias("cm"), "sd", "n")
+
+
+def label_rollup(readings: DataFrame, sizes: DataFrame, image: str) -> DataFrame:
+    """Readings of each image rolled up: mean cm, all gaps, pooled deviation, relative deviation in percent, largest dimension."""
+    pooled = F.sqrt(F.sum((F.col("n") - 1) * F.col("sd") * F.col("sd")) / F.greatest((F.sum("n") - F.count("*")).cast("double"), F.lit(1e-15)))
+    rsd = F.when(F.count("*") > 1, F.stddev_samp("cm") / F.avg("cm") * 100).otherwise(F.lit(0.0))
+    out = readings.groupBy(image).agg(F.avg("cm").alias("cm"), F.sum("n").alias("n"), pooled.alias("pooled_sd"), rsd.alias("rsd"))
+    return out.join(sizes.select(image, F.greatest("width", "height").alias("max_dim")), image)
+
+
+# Kinds of ruler blocks in the order in which they are tried, with the mean
+# axis ratio that tells them and its band.
+BLOCK_KINDS = (("bigCM", 1.75, 0.1), ("smallCM", 4.5, 0.25), ("halfCM", 2.2, 0.1), ("mm", 6.8, 0.1))
+# Per kind, blocks' spacing in centimetres is spacing times this, and the spacing
+# must lie within these shares of the mean major (mm: minor) axis.
+BLOCK_SPACING = {"bigCM": (1.0, 0.8, 1.2), "smallCM": (0.5, 1.6, 2.4), "halfCM": (2.0, 0.8, 1.2), "mm": (10.0, 0.1, 1.1)}
+
+
+def block_kinds(blobs: DataFrame, ruler: str = "ruler_id") -> DataFrame:
+    """Kind of every group of blobs of one size rank, by its mean axis ratio; groups of 2 to 10 only, others and unclear ones go.
+
+    ``blobs`` has ruler, rank, x, major and minor.
+    """
+    groups = blobs.groupBy(ruler, "rank").agg(F.count("*").alias("n"), F.avg(F.col("major") / F.col("minor")).alias("ratio"), F.avg("major").alias("major"), F.avg("minor").alias("minor"))
+    kind = F.coalesce(*[F.when(F.col("ratio").between((1 - band) * ratio, (1 + band) * ratio), name) for name, ratio, band in BLOCK_KINDS])
+    return groups.where(F.col("n").between(2, 10)).withColumn("kind", kind).where("kind is not null")
+
+
+def block_factors(blobs: DataFrame, predicted: DataFrame, ruler: str = "ruler_id", share: float = 0.1) -> DataFrame:
+    """Pixels per centimetre of block rulers (ruler, factor, location, options).
+
+    A group's spacing is the mean distance of its blobs to their nearest
+    neighbours in x (above one pixel); it must fit the blobs' axes.  Groups are
+    taken by size rank up to the first whose kind was met before.  Factors
+    within ``share`` of the predicted one (``predicted``: ruler, predicted) are
+    valid: one is taken as it is, several are averaged, none gives 0 and ``fail``.
+    """
+    spacing = nearest_gaps(blobs, [ruler, "rank"], 1.0).groupBy(ruler, "rank").agg(F.avg("gap").alias("spacing"))
+    groups = block_kinds(blobs, ruler).join(spacing, [ruler, "rank"])
+    fits = lambda name: F.col("spacing").between(BLOCK_SPACING[name][1] * F.col("minor" if name == "mm" else "major"), BLOCK_SPACING[name][2] * F.col("minor" if name == "mm" else "major"))
+    factor = F.coalesce(*[F.when((F.col("kind") == name) & fits(name), F.col("spacing") * BLOCK_SPACING[name][0]) for name in BLOCK_SPACING])
+    found = groups.withColumn("factor", factor).where("factor is not null")
+    again = found.withColumn("_nth", F.row_number().over(W.partitionBy(ruler, "kind").orderBy("rank"))).withColumn("_stop", F.min(F.when(F.col("_nth") > 1, F.col("rank"))).over(W.partitionBy(ruler)))
+    valid = again.where("_stop is null or rank < _stop").join(predicted, ruler).where(F.abs(F.col("factor") - F.col("predicted")) <= share * F.col("predicted"))
+    place = F.coalesce(*[F.when(F.col("kind") == name, i) for i, name in enumerate(BLOCK_SPACING)])
+    names = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("i"), "kind"))), lambda s: s["kind"])
+    best = valid.groupBy(ruler).agg(F.avg("factor").alias("factor"), F.when(F.count("*") > 1, "average").otherwise(F.first("kind")).alias("location"), F.array_join(names, ", ").alias("options"))
+    return predicted.select(ruler).join(best, ruler, "left").select(ruler, F.coalesce("factor", F.lit(0.0)).alias("factor"), F.coalesce("location", F.lit("fail")).alias("location"), F.coalesce("options", F.lit("")).alias("options"))
+
+
 def converted(value: Column, factor: Column, area: bool = False) -> Column:
     """Pixels to metric with two digits; unchanged without a factor."""
     return F.when(factor > 0, F.round(value / (factor * factor if area else factor), 2)).otherwise(value)

@@ -66,7 +66,17 @@ def fn04_overlaps(spark, sf_dir):
     return out
 
 
-@R.add()
+_MET = "list_transform(w.kept, lambda k: {'x1': k.x1, 'y1': k.y1, 'x2': k.x2, 'y2': k.y2, 'i': CAST(greatest(least(k.x2, r.x2) - greatest(k.x1, r.x1), 0) * greatest(least(k.y2, r.y2) - greatest(k.y1, r.y1), 0) AS DOUBLE)})"
+
+
+# the kept boxes of an image walk along its boxes by rank
+@R.add(f""", b AS (SELECT filename, x1, y1, x2, y2, score, row_number() OVER (PARTITION BY filename ORDER BY score DESC, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS rn FROM pixel_boxes)
+  SELECT filename, s.x1, s.y1, s.x2, s.y2, b.score FROM (WITH RECURSIVE w(filename, rn, kept) AS (
+      SELECT filename, 1::BIGINT, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'rn': rn}}] FROM b WHERE rn = 1
+      UNION ALL SELECT r.filename, r.rn, CASE WHEN len(list_filter({_MET}, lambda k: k.i / ((k.x2 - k.x1) * (k.y2 - k.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - k.i) >= 0.3)) = 0
+        THEN list_append(w.kept, {{'x1': r.x1, 'y1': r.y1, 'x2': r.x2, 'y2': r.y2, 'rn': r.rn}}) ELSE w.kept END
+      FROM w JOIN b r ON r.filename = w.filename AND r.rn = w.rn + 1 WHERE r.rn <= 50)
+    SELECT filename, unnest(arg_max(kept, rn)) AS s FROM w GROUP BY filename) JOIN b USING (filename) WHERE b.rn = s.rn""", ("pixel_boxes",))
 def fn05_suppressed(spark, sf_dir):
     return G.suppressed(view(spark, sf_dir, "pixel_boxes"), "filename", ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"], 0.3)
 
@@ -83,11 +93,18 @@ def fn06_polygon_measures(spark, sf_dir):
     return _rounded(_rounded(out, "area", "perimeter", digits=4), "circularity", "aspect_ratio", "aspect_ratio_wh")
 
 
-@R.add()
+# a hull edge has all points on its left; of edges in one direction the longest is the whole one
+@R.add(f"""WITH {_CLOSED}, u AS (SELECT DISTINCT component, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y FROM p),
+  e AS (SELECT a.component, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS byy FROM u a JOIN u b ON a.component = b.component AND (a.x <> b.x OR a.y <> b.y)
+    WHERE NOT EXISTS (SELECT 1 FROM u c WHERE c.component = a.component AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < 0)),
+  h AS (SELECT component, arg_max(ax * byy - bx * ay, abs(bx - ax) + abs(byy - ay)) AS part FROM e GROUP BY component, (bx - ax) // gcd(bx - ax, byy - ay), (byy - ay) // gcd(bx - ax, byy - ay)),
+  hull AS (SELECT component, CAST(sum(part) AS DOUBLE) / 2 AS convex_hull FROM h GROUP BY component), m AS (SELECT component, abs(sum(x * ny - nx * y)) / 2 AS area FROM c GROUP BY component)
+  SELECT component, round(convex_hull, 4) AS convex_hull, round(CASE WHEN convex_hull > 0 THEN area / convex_hull ELSE -1 END, 6) AS convexity, round(CASE WHEN convex_hull > 0 THEN 1 - area / convex_hull ELSE -1 END, 6) AS concavity FROM hull JOIN m USING (component)""")
 def fn07_convex_hull(spark, sf_dir):
     shapes = points(spark, sf_dir)
     both = G.convex_hulls(shapes, "component").join(G.polygon_measures(shapes, "component").select("component", "area"), "component")
-    return both.select("component", "convex_hull", *[c.alias(k) for k, c in G.convexity(F.col("area"), F.col("convex_hull")).items()])
+    ratios = G.convexity(F.col("area"), F.col("convex_hull"))
+    return both.select("component", F.round("convex_hull", 4).alias("convex_hull"), *[F.round(c, 6).alias(k) for k, c in ratios.items()])
 
 
 @R.add("""SELECT component, round(CASE WHEN convex_hull > 0 THEN area / convex_hull ELSE -1 END, 6) AS convexity, round(CASE WHEN convex_hull > 0 THEN 1 - area / convex_hull ELSE -1 END, 6) AS concavity FROM measurements""", ("measurements",))
@@ -116,10 +133,19 @@ def fn12_rotated_points(spark, sf_dir):
     return G.rotated_points(points(spark, sf_dir), 30, F.lit(500), F.lit(500)).select("component", "seq", "rx", "ry")
 
 
+def _unsigned_sql(sql):
+    """Engines differ in the sign of a rounded zero, so it is dropped."""
+    return re.sub(r"(round\(.*?, \d\)) AS (\w)\b", r"\1 + 0.0 AS \2", sql)
+
+
+def _unsigned_zero(df, *columns):
+    return df.withColumns({c: F.col(c) + 0.0 for c in columns})
+
+
 _ARCS = f"""{_CLOSED}, e AS (SELECT *, nx - x AS dx, ny - y AS dy, CASE WHEN nx = x AND ny = y THEN 1e-9 ELSE sqrt((nx - x) ** 2 + (ny - y) ** 2) END AS dt FROM c),
   arcs AS (SELECT *, sum(dt) OVER (PARTITION BY component ORDER BY seq) AS t, sum(dt) OVER (PARTITION BY component) AS period FROM e)"""
 _EFD = f"""{_ARCS}, w AS (SELECT component, n, period, dx / dt AS sx, dy / dt AS sy, cos(2 * pi() * n * t / period) - cos(2 * pi() * n * (t - dt) / period) AS co, sin(2 * pi() * n * t / period) - sin(2 * pi() * n * (t - dt) / period) AS si
-    FROM arcs, (SELECT unnest(range(1, 11)) AS n)),
+    FROM arcs, (SELECT unnest(range(1, 41)) AS n)),
   efd AS (SELECT component, CAST(n AS INTEGER) AS harmonic, max(period) / (2 * n * n * pi() ** 2) * sum(sx * co) AS a, max(period) / (2 * n * n * pi() ** 2) * sum(sx * si) AS b, max(period) / (2 * n * n * pi() ** 2) * sum(sy * co) AS c, max(period) / (2 * n * n * pi() ** 2) * sum(sy * si) AS d FROM w GROUP BY component, n)"""
 
 
@@ -128,42 +154,27 @@ def wn13_arc_length(spark, sf_dir):
     return _rounded(G.arc_length(points(spark, sf_dir), "component").select("component", "seq", "t"), "t", digits=4)
 
 
-@R.add(f"WITH {_EFD} SELECT component, harmonic, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c, round(d, 4) AS d FROM efd")
+@R.add(_unsigned_sql(f"WITH {_EFD} SELECT component, harmonic, round(a, 4) AS a, round(b, 4) AS b, round(c, 4) AS c, round(d, 4) AS d FROM efd"))
 def fn13_fourier_descriptors(spark, sf_dir):
-    return _rounded(G.fourier_descriptors(points(spark, sf_dir), "component", 10), "a", "b", "c", "d", digits=4)
+    return _unsigned_zero(_rounded(G.fourier_descriptors(points(spark, sf_dir), "component"), "a", "b", "c", "d", digits=4), "a", "b", "c", "d")
+
 
+R.also("fn13_fourier_descriptors_whole", "fn13_fourier_descriptors")
 
-@R.add(f"""WITH {_EFD}, one AS (SELECT component, 0.5 * atan2(2 * (a * b + c * d), a * a - b * b + c * c - d * d) AS theta, a AS a1, b AS b1, c AS c1, d AS d1 FROM efd WHERE harmonic = 1),
+
+@R.add(_unsigned_sql(f"""WITH {_EFD}, one AS (SELECT component, 0.5 * atan2(2 * (a * b + c * d), a * a - b * b + c * c - d * d) AS theta, a AS a1, b AS b1, c AS c1, d AS d1 FROM efd WHERE harmonic = 1),
   two AS (SELECT component, theta, a1 * cos(theta) + b1 * sin(theta) AS sx, c1 * cos(theta) + d1 * sin(theta) AS sy FROM one),
   three AS (SELECT component, theta, atan2(sy, sx) AS psi, sqrt(sx * sx + sy * sy) AS size FROM two),
   f AS (SELECT component, harmonic, psi, size, a * cos(harmonic * theta) + b * sin(harmonic * theta) AS a_, -a * sin(harmonic * theta) + b * cos(harmonic * theta) AS b_, c * cos(harmonic * theta) + d * sin(harmonic * theta) AS c_, -c * sin(harmonic * theta) + d * cos(harmonic * theta) AS d_ FROM efd JOIN three USING (component))
-  SELECT component, harmonic, round((cos(psi) * a_ + sin(psi) * c_) / size, 6) AS a, round((cos(psi) * b_ + sin(psi) * d_) / size, 6) AS b, round((-sin(psi) * a_ + cos(psi) * c_) / size, 6) AS c, round((-sin(psi) * b_ + cos(psi) * d_) / size, 6) AS d FROM f WHERE harmonic > 1""")
+  SELECT component, harmonic, round((cos(psi) * a_ + sin(psi) * c_) / size, 6) AS a, round((cos(psi) * b_ + sin(psi) * d_) / size, 6) AS b, round((-sin(psi) * a_ + cos(psi) * c_) / size, 6) AS c, round((-sin(psi) * b_ + cos(psi) * d_) / size, 6) AS d FROM f WHERE harmonic > 1"""))
 def fn14_normalised_descriptors(spark, sf_dir):
-    out = G.normalised_descriptors(G.fourier_descriptors(points(spark, sf_dir), "component", 10), "component")
-    return _rounded(out.where("harmonic > 1"), "a", "b", "c", "d")
-
-
-def _whole_sql(name):
-    """SQL of a query at 40 harmonics and 300 samples, as production has them; engines differ in the sign of a rounded zero, so it is dropped."""
-    sql = ORACLE_SQL[name].replace("range(1, 11)", "range(1, 41)").replace("range(0, 50)", "range(0, 300)").replace("step / 49", "step / 299")
-    return re.sub(r"(round\(.*?, \d\)) AS (\w)\b", r"\1 + 0.0 AS \2", sql)
-
-
-def _unsigned_zero(df, *columns):
-    return df.withColumns({c: F.col(c) + 0.0 for c in columns})
-
-
-@R.add(_whole_sql("fn13_fourier_descriptors"))
-def fn13_fourier_descriptors_whole(spark, sf_dir):
-    return _unsigned_zero(_rounded(G.fourier_descriptors(points(spark, sf_dir), "component"), "a", "b", "c", "d", digits=4), "a", "b", "c", "d")
-
-
-@R.add(_whole_sql("fn14_normalised_descriptors"))
-def fn14_normalised_descriptors_whole(spark, sf_dir):
     out = G.normalised_descriptors(G.fourier_descriptors(points(spark, sf_dir), "component"), "component")
     return _unsigned_zero(_rounded(out.where("harmonic > 1"), "a", "b", "c", "d"), "a", "b", "c", "d")
 
 
+R.also("fn14_normalised_descriptors_whole", "fn14_normalised_descriptors")
+
+
 _DC = f"""{_ARCS}, k AS (SELECT component, seq, x, y, t, dt, dx / dt AS sx, dy / dt AS sy, sum(dx) OVER w - dx / dt * t AS xi, sum(dy) OVER w - dy / dt * t AS yi FROM arcs WINDOW w AS (PARTITION BY component ORDER BY seq)),
   dc AS (SELECT component, sum(sx / 2 * (t * t - (t - dt) * (t - dt)) + xi * dt) / max(t) + min_by(x, seq) AS a0, sum(sy / 2 * (t * t - (t - dt) * (t - dt)) + yi * dt) / max(t) + min_by(y, seq) AS c0 FROM k GROUP BY component)"""
 
@@ -173,22 +184,18 @@ def fn15_dc_coefficients(spark, sf_dir):
     return _rounded(G.dc_coefficients(points(spark, sf_dir), "component"), "a0", "c0", digits=4)
 
 
-@R.add(f"""WITH {_EFD}, {_DC[len(_ARCS) + 2:]},
-  z AS (SELECT component, step, sum(a * cos(2 * pi() * harmonic * step / 49) + b * sin(2 * pi() * harmonic * step / 49)) AS sx, sum(c * cos(2 * pi() * harmonic * step / 49) + d * sin(2 * pi() * harmonic * step / 49)) AS sy FROM efd, (SELECT unnest(range(0, 50)) AS step) GROUP BY component, step)
-  SELECT component, CAST(step AS INTEGER) AS step, round(sx + a0, 3) AS x, round(sy + c0, 3) AS y FROM z JOIN dc USING (component)""")
+@R.add(_unsigned_sql(f"""WITH {_EFD}, {_DC[len(_ARCS) + 2:]},
+  z AS (SELECT component, step, sum(a * cos(2 * pi() * harmonic * step / 299) + b * sin(2 * pi() * harmonic * step / 299)) AS sx, sum(c * cos(2 * pi() * harmonic * step / 299) + d * sin(2 * pi() * harmonic * step / 299)) AS sy FROM efd, (SELECT unnest(range(0, 300)) AS step) GROUP BY component, step)
+  SELECT component, CAST(step AS INTEGER) AS step, round(sx + a0, 3) AS x, round(sy + c0, 3) AS y FROM z JOIN dc USING (component)"""))
 def fn16_reconstructed(spark, sf_dir):
-    shapes = points(spark, sf_dir)
-    out = G.reconstructed(G.fourier_descriptors(shapes, "component", 10), G.dc_coefficients(shapes, "component"), "component", 50)
-    return _rounded(out, "x", "y", digits=3)
-
-
-@R.add(_whole_sql("fn16_reconstructed"))
-def fn16_reconstructed_whole(spark, sf_dir):
     shapes = points(spark, sf_dir)
     out = G.reconstructed(G.fourier_descriptors(shapes, "component"), G.dc_coefficients(shapes, "component"), "component")
     return _unsigned_zero(_rounded(out, "x", "y", digits=3), "x", "y")
 
 
+R.also("fn16_reconstructed_whole", "fn16_reconstructed")
+
+
 _WIDE = f"""{_POINTS}, q AS (SELECT component, """ + ", ".join(f"max(CASE WHEN seq = {i} THEN {c} END) AS {c}{i}" for i in range(4) for c in "xy") + " FROM p GROUP BY component)"
 
 

@@ -13,14 +13,18 @@ from .views import view
 R = Registry()
 QUERIES, ORACLE_SQL = R.QUERIES, R.ORACLE_SQL
 
-_LEAF = f"WITH {_POINTS}, m AS (SELECT component AS leaf, seq, x, y, CAST((seq * 7 + component) % 9 AS INTEGER) AS k FROM p WHERE (seq + component) % 4 > 0)"
+# kinds that some leaves lack give their points to another kind: (kind, leaves that lack it, kind instead)
+_LACKING = ((4, 4, 2), (8, 5, 7), (3, 3, 5), (6, 7, 5))
+_KIND = "CASE " + " ".join(f"WHEN k = {k} AND leaf % {n} = 0 THEN {other}" for k, n, other in _LACKING) + " ELSE k END"
+_LEAF = f"WITH {_POINTS}, m AS (SELECT leaf, seq, x, y, {_KIND} AS k FROM (SELECT component AS leaf, seq, x, y, CAST((seq * 7 + component) % 9 AS INTEGER) AS k FROM p))"
 _NAMES = "[" + ", ".join(f"'{k}'" for k in K.KINDS) + "]"
 
 
 def _leaf_points(spark, sf_dir):
     kinds = F.array(*[F.lit(k) for k in K.KINDS])
-    rows = points(spark, sf_dir).where((F.col("seq") + F.col("component")) % 4 > 0)
-    return rows.select(F.col("component").alias("leaf"), "seq", "x", "y", F.get(kinds, ((F.col("seq") * 7 + F.col("component")) % 9).cast("int")).alias("kind"))
+    rows = points(spark, sf_dir).select(F.col("component").alias("leaf"), "seq", "x", "y").withColumn("k", ((F.col("seq") * 7 + F.col("leaf")) % 9).cast("int"))
+    k = F.coalesce(*[F.when((F.col("k") == kind) & (F.col("leaf") % n == 0), other) for kind, n, other in _LACKING], F.col("k"))
+    return rows.select("leaf", "seq", "x", "y", F.get(kinds, k).alias("kind"))
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (k = {i}) AS n_{k}" for i, k in enumerate(K.KINDS))
@@ -78,31 +82,40 @@ def fn30_to_sheet(spark, sf_dir):
     return K.to_sheet(_leaf_points(spark, sf_dir).withColumn("component_name", name)).select("leaf", "seq", "sheet_x", "sheet_y")
 
 
-_SLOTS = "[" + ", ".join(f"'{s}'" for s in K.SLOT_LINE[:4]) + "]"
-
-
-@R.add(f"""{_LEAF}, g AS (SELECT leaf, arg_min(x, (seq)) AS x, arg_min(y, (seq)) AS y, CAST(k % 4 AS BIGINT) AS slot FROM m WHERE k < 3 GROUP BY leaf, k % 4), a AS (SELECT DISTINCT leaf FROM m), gr AS (SELECT leaf, unnest(range(0, 4)) AS slot FROM a)
-  SELECT leaf, string_agg(coalesce(CAST(x AS BIGINT), 0) || ' ' || coalesce(CAST(y AS BIGINT), 0) || ' ' || CASE WHEN x IS NULL THEN 0 ELSE 2 END, ' ' ORDER BY slot) AS line FROM gr LEFT JOIN g USING (leaf, slot) GROUP BY leaf""")
-def prj20_keypoint_lines(spark, sf_dir):
-    slots = F.array(*[F.lit(s) for s in K.SLOT_LINE[:4]])
-    rows = _leaf_points(spark, sf_dir)
-    index = F.coalesce(*[F.when(F.col("kind") == k, i) for i, k in enumerate(K.KINDS)])
-    given = rows.withColumn("k", index).where("k < 3").withColumn("kind", F.get(slots, (F.col("k") % 4).cast("int")))
-    return K.keypoint_lines(given, rows.select("leaf").distinct(), K.SLOT_LINE[:4])
-
-
 _SLOT_OF = ", ".join(f"({K.SLOT_LINE_31.index(s)}, {K.KINDS.index(k)}, {i})" for k, names in K.SLOTS_OF_KIND.items() for i, s in enumerate(names, 1))
 
 
 @R.add(f"""WITH {_POINTS}, m AS (SELECT component AS leaf, x, y, CAST((seq * 7 + component) % 9 AS INTEGER) AS k, row_number() OVER (PARTITION BY component, (seq * 7 + component) % 9 ORDER BY seq) AS nth FROM p), s(slot, k, nth) AS (VALUES {_SLOT_OF})
   SELECT leaf, string_agg(coalesce(CAST(x AS BIGINT), 0) || ' ' || coalesce(CAST(y AS BIGINT), 0) || ' ' || CASE WHEN x IS NULL THEN 0 ELSE 2 END, ' ' ORDER BY slot) AS line FROM (SELECT DISTINCT leaf FROM m) CROSS JOIN s LEFT JOIN m USING (leaf, k, nth) GROUP BY leaf""")
-def prj20_keypoint_lines_whole(spark, sf_dir):
+def prj20_keypoint_lines(spark, sf_dir):
     kinds = F.array(*[F.lit(k) for k in K.KINDS])
     rows = points(spark, sf_dir).select(F.col("component").alias("leaf"), "seq", "x", "y", F.get(kinds, ((F.col("seq") * 7 + F.col("component")) % 9).cast("int")).alias("kind"))
     return K.keypoint_lines(K.slotted(rows), rows.select("leaf").distinct(), K.SLOT_LINE_31)
 
 
+R.also("prj20_keypoint_lines_whole", "prj20_keypoint_lines")
+
+
 @R.add("""SELECT id, l_linenumber, round(CASE WHEN xr > 1 THEN 2 - xr ELSE xr END, 8) AS xc, round(s / width, 8) AS w FROM (SELECT *, l_suppkey * 40.0::DOUBLE / width AS xr, CASE WHEN greatest(width, height) > 2000 THEN 27 WHEN greatest(width, height) > 1000 THEN 15 ELSE 9 END AS s FROM multimedia)""", ("multimedia",))
 def fn35_training_box(spark, sf_dir):
     box = K.training_box(F.col("l_suppkey") * 40.0, F.lit(1.0), F.col("width"), F.col("height"))
     return view(spark, sf_dir, "multimedia").select("id", "l_linenumber", F.round(box["xc"], 8).alias("xc"), F.round(box["w"], 8).alias("w"))
+
+
+@R.add(f"""{_LEAF}, n AS (SELECT *, row_number() OVER w AS nth, sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2) AS step FROM m WINDOW w AS (PARTITION BY leaf, k ORDER BY seq)),
+  f AS (SELECT leaf, {", ".join(f"max(CASE WHEN k = {k} AND nth = {i} THEN {c} END) AS {c}{k}_{i}" for k, i in ((3, 1), (2, 1), (4, 1), (4, 2), (7, 1), (0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 3)) for c in "xy")},
+    sum(CASE WHEN k = 6 THEN step END) AS vein, sum(CASE WHEN k = 8 THEN step END) AS trace FROM n GROUP BY leaf)
+  SELECT leaf, round(coalesce(sqrt((x3_1 - x2_1) ** 2 + (y3_1 - y2_1) ** 2), 0), 5) AS lamina_length, round(coalesce(sqrt((x4_1 - x4_2) ** 2 + (y4_1 - y4_2) ** 2), 0), 5) AS lamina_width, round(coalesce(sqrt((x2_1 - x7_1) ** 2 + (y2_1 - y7_1) ** 2), 0), 5) AS petiole_length,
+    round(coalesce(vein, 0), 5) AS midvein_length, round(coalesce(trace, 0), 5) AS petiole_trace_length, {", ".join(f"round(coalesce(degrees(acos(greatest(least(((x{k}_1 - x{k}_2) * (x{k}_3 - x{k}_2) + (y{k}_1 - y{k}_2) * (y{k}_3 - y{k}_2)) / greatest(sqrt((x{k}_1 - x{k}_2) ** 2 + (y{k}_1 - y{k}_2) ** 2) * sqrt((x{k}_3 - x{k}_2) ** 2 + (y{k}_3 - y{k}_2) ** 2), 1e-9), 1.0), -1.0))), 0), 4) AS {name}_angle" for k, name in ((0, "apex"), (1, "base")))} FROM f""")
+def fn31_label_measurements(spark, sf_dir):
+    out = K.label_measurements(_leaf_points(spark, sf_dir)).drop("deepest_sinus_angle")
+    return out.select("leaf", *[F.round(c, 4 if c.endswith("angle") else 5).alias(c) for c in out.columns[1:]])
+
+
+@R.add(f"""{_LEAF}, v AS (SELECT DISTINCT leaf FROM m WHERE k = 6), q AS (SELECT a.leaf, a.x AS lx, a.y AS ly, b.x AS rx, b.y AS ry, a.leaf IN (SELECT leaf FROM v) AS veined FROM m a JOIN m b USING (leaf) WHERE a.k = 4 AND b.k = 4 AND a.x < 0 AND b.x >= 0)
+  SELECT leaf, lx, ly, rx, ry, round(sqrt((rx - lx) ** 2 + (ry - ly) ** 2), 6) AS width FROM (
+    SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY CASE WHEN veined THEN -abs(rx - lx + ry - ly) ELSE (lx - rx) ** 2 + (ly - ry) ** 2 END, CASE WHEN veined THEN -lx ELSE lx END, CASE WHEN veined THEN -ly ELSE ly END, CASE WHEN veined THEN -rx ELSE rx END, CASE WHEN veined THEN -ry ELSE ry END) AS rn FROM q) WHERE rn = 1""")
+def fn29_lamina_width(spark, sf_dir):
+    rows = _leaf_points(spark, sf_dir)
+    sides = rows.select("leaf", "seq", F.when(F.col("x") < 0, "left").otherwise("right").alias("side"))
+    return K.lamina_width(rows.where("kind = 'lamina_width'"), sides, rows.where("kind = 'midvein_trace'")).withColumn("width", F.round("width", 6))

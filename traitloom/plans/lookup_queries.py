@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from traitloom.operators import geometry as G
 from traitloom.operators import landmarks as K
 from traitloom.operators import rulers as U
 from traitloom.operators.detections import PLANT_CLASSES
 
 from ._register import Registry
-from .geometry_queries import _WIDE, _wide
-from .linkage_queries import _POINTS, points
+from .geometry_queries import _CLOSED, _WIDE, _wide
+from .linkage_queries import points
 from .views import read, view
 
 R = Registry()
@@ -79,10 +80,12 @@ def fn32_prickle_traits(spark, sf_dir):
     return traits.select("obj", *[F.round(c, 5).alias(c) for c in ("base_width", "direct_length", "curl")])
 
 
-@R.add(f"""WITH {_POINTS} SELECT component, min(x) AS x, min(y) AS y, max(x) AS max_x, max(y) AS max_y, string_agg(CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT), ',' ORDER BY seq) AS segmentation FROM p GROUP BY component""")
+@R.add(f"""WITH {_CLOSED} SELECT component, min(x) AS x, min(y) AS y, max(x) AS max_x, max(y) AS max_y, round(abs(sum(x * ny - nx * y)) / 2, 4) AS area, string_agg(CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT), ',' ORDER BY seq) AS segmentation FROM c GROUP BY component""")
 def fn38_polygon_annotations(spark, sf_dir):
     pair = F.concat_ws(",", F.col("x").cast("long"), F.col("y").cast("long"))
     lists = F.array_sort(F.collect_list(F.struct("seq", pair.alias("p"))))
-    return points(spark, sf_dir).groupBy("component").agg(
+    shapes = points(spark, sf_dir)
+    out = shapes.groupBy("component").agg(
         F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"), F.array_join(F.transform(lists, lambda s: s["p"]), ",").alias("segmentation")
     )
+    return out.join(G.polygon_measures(shapes, "component").select("component", F.round("area", 4).alias("area")), "component")

@@ -126,10 +126,33 @@ def ag25_confusion(spark, sf_dir):
     return _matrix(spark, sf_dir)
 
 
-@R.add(f", {_CURVE}, x AS (SELECT cls, sum((recall - coalesce(prev, 0)) * envelope) AS ap FROM (SELECT *, lag(recall) OVER (PARTITION BY cls ORDER BY turn) AS prev FROM env) GROUP BY cls) SELECT round(0.1 * max(ap) + 0.9 * avg(ap), 6) AS fitness FROM x", ("detections",))
+_HITS = f"""{_PAIRS}, hit AS (SELECT filename, pa, pb, max(round(iou, 9)) AS iou FROM o WHERE iou >= 0.5 AND pa % 11 = pb % 11 GROUP BY ALL), ma AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY filename, pa ORDER BY iou DESC, pb) AS r FROM hit) WHERE r = 1),
+  mb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY filename, pb ORDER BY iou DESC, pa) AS q FROM ma) WHERE q = 1), pr AS (SELECT filename, l_partkey AS pa, cls, max(score) AS score FROM pixel_boxes WHERE l_linenumber % 2 = 1 GROUP BY ALL),
+  tot AS (SELECT cls, count(*) AS total FROM (SELECT DISTINCT filename, l_partkey, cls FROM pixel_boxes WHERE l_linenumber % 2 = 0) GROUP BY cls), h AS (SELECT pr.*, t, coalesce(round(iou * 100, 7) >= t, false) AS hit FROM pr LEFT JOIN mb USING (filename, pa), (SELECT unnest(range(50, 100, 5)) AS t)),
+  w AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER v AS tp, count(*) OVER v AS turn FROM h WINDOW v AS (PARTITION BY cls, t ORDER BY score DESC, filename, pa ROWS UNBOUNDED PRECEDING)),
+  env AS (SELECT *, max(tp / CAST(turn AS DOUBLE)) OVER (PARTITION BY cls, t ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS envelope FROM w), x AS (SELECT cls, t, sum(CASE WHEN hit THEN envelope / total ELSE 0 END) AS ap FROM env JOIN tot USING (cls) GROUP BY cls, t)"""
+
+
+def _overlap_precision(spark, sf_dir):
+    """Average precision per class at overlaps of 50, 55, .. 95 percent of odd boxes with even ones of their class."""
+    pairs = box_pairs(spark, sf_dir).withColumn("iou", G.overlaps("a", "b")["iou"]).where("iou >= 0.5 and pa % 11 = pb % 11").withColumn("iou", F.round("iou", 9))
+    found = M.matched(pairs.groupBy("filename", "pa", "pb").agg(F.max("iou").alias("iou")), "filename", "pa", "pb", "iou").select("filename", "pa", "iou")
+    boxes = view(spark, sf_dir, "pixel_boxes").withColumnRenamed("l_partkey", "pa")
+    said = boxes.where("l_linenumber % 2 = 1").groupBy("filename", "pa", "cls").agg(F.max("score").alias("score"))
+    totals = boxes.where("l_linenumber % 2 = 0").select("filename", "pa", "cls").distinct().groupBy("cls").agg(F.count("*").alias("total"))
+    return M.mean_average_precision(said.join(found, ["filename", "pa"], "left"), totals, ["filename", "pa"], list(range(50, 100, 5)))
+
+
+@R.add(f", {_HITS} SELECT round(0.1 * avg(ap) FILTER (t = 50) + 0.9 * avg(ap), 6) AS fitness FROM x", ("pixel_boxes",))
 def ag26_fitness(spark, sf_dir):
-    ap = M.average_precision(_curve(spark, sf_dir), "cls")
-    return ap.agg(F.max("ap").alias("a"), F.avg("ap").alias("b")).select(F.round(M.fitness(F.col("a"), F.col("b")), 6).alias("fitness"))
+    ap = _overlap_precision(spark, sf_dir)
+    means = ap.agg(F.avg(F.when(F.col("threshold") == 50, F.col("ap"))).alias("a"), F.avg("ap").alias("b"))
+    return means.select(F.round(M.fitness(F.col("a"), F.col("b")), 6).alias("fitness"))
+
+
+@R.add(f", {_HITS} SELECT CAST(cls AS VARCHAR) AS cls, CAST(t AS INTEGER) AS threshold, round(ap, 6) AS ap FROM x", ("pixel_boxes",))
+def ag24_precision_by_overlap(spark, sf_dir):
+    return _rounded(_overlap_precision(spark, sf_dir), "ap")
 
 
 @R.add(f""", {_MATRIX}, tr AS (SELECT "true" AS cls, sum(n) AS pos, sum(CASE WHEN predicted = "true" THEN n ELSE 0 END) AS tp FROM cm GROUP BY 1), sd AS (SELECT predicted AS cls, sum(n) AS said FROM cm GROUP BY 1),
@@ -149,7 +172,7 @@ def vd12_keypoint_similarity(spark, sf_dir):
 
 
 @R.add("""SELECT state, count(*) AS n FROM (SELECT CASE WHEN bad IS NULL THEN 'missing' WHEN bad THEN 'corrupt' ELSE 'found' END AS state FROM (SELECT id FROM occurrence) o
-  FULL JOIN (SELECT filename, bool_or(least(xc, yc, w, h) < 0 OR greatest(xc, yc, w, h) > 0.98) AS bad FROM (SELECT filename, cls, xc, yc, w + 0.02 AS w, h FROM detections) GROUP BY filename) d ON d.filename = o.id) GROUP BY state""".replace("> 0.98", "> 1").replace("w + 0.02 AS w", "w * 2.1 AS w"), ("detections", "occurrence"))
+  FULL JOIN (SELECT filename, bool_or(least(xc, yc, w, h) < 0 OR greatest(xc, yc, w, h) > 1) AS bad FROM (SELECT filename, cls, xc, yc, w * 2.1 AS w, h FROM detections) GROUP BY filename) d ON d.filename = o.id) GROUP BY state""", ("detections", "occurrence"))
 def vd01_label_quality(spark, sf_dir):
     boxes = view(spark, sf_dir, "detections").withColumn("w", F.col("w") * 2.1)
     return D.label_quality(boxes, view(spark, sf_dir, "occurrence").select(F.col("id").alias("filename")), "filename")
@@ -226,9 +249,16 @@ def vd13_box_checks(spark, sf_dir):
     return D.box_checks(view(spark, sf_dir, "pixel_boxes"), 1000, 1000, 5).select("filename", "l_partkey", "l_linenumber", "area", "cx1", "cy1", "cx2", "cy2", "nonempty", "inside")
 
 
-@R.add(f""", {_MATCH} SELECT filename, pb AS track, pa AS identity FROM mb""", ("pixel_boxes",))
+# all pairs of a sheet by falling overlap; a pair is taken where neither end was taken before
+@R.add(f""", {_PAIRS}, hit AS (SELECT filename, pa, pb, max(round(iou, 9)) AS iou FROM o WHERE iou > 0.3 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY iou DESC, pa, pb) AS rn FROM hit)
+  SELECT filename, pb AS track, pa AS identity FROM (WITH RECURSIVE w(filename, rn, used_a, used_b, took) AS (
+      SELECT filename, 1::BIGINT, [pa], [pb], true FROM r WHERE rn = 1
+      UNION ALL SELECT r.filename, r.rn, CASE WHEN list_contains(used_a, pa) OR list_contains(used_b, pb) THEN used_a ELSE list_append(used_a, pa) END,
+        CASE WHEN list_contains(used_a, pa) OR list_contains(used_b, pb) THEN used_b ELSE list_append(used_b, pb) END, NOT (list_contains(used_a, pa) OR list_contains(used_b, pb)) FROM w JOIN r ON r.filename = w.filename AND r.rn = w.rn + 1)
+    SELECT filename, rn FROM w WHERE took) JOIN r USING (filename, rn)""", ("pixel_boxes",))
 def vd14_handed_over(spark, sf_dir):
-    return _matches(spark, sf_dir).select("filename", F.col("pb").alias("track"), F.col("pa").alias("identity"))
+    pairs = box_pairs(spark, sf_dir).withColumn("iou", G.overlaps("a", "b")["iou"]).where("iou > 0.3").groupBy("filename", "pa", "pb").agg(F.round(F.max("iou"), 9).alias("iou"))
+    return M.handed_over(pairs, "filename", "pa", "pb", "iou").select("filename", F.col("pb").alias("track"), F.col("pa").alias("identity"))
 
 
 @R.add("SELECT filename, cls, round(xc, 6) AS xc, l_linenumber FROM detections", ("detections",))
@@ -247,11 +277,11 @@ def snk05_label_lines(spark, sf_dir):
     return view(spark, sf_dir, "detections").groupBy("filename").agg(F.array_join(F.transform(lines, lambda s: s["line"]), "\n").alias("text"))
 
 
-@R.add("SELECT host, count(*) FILTER (status <> 'ok') AS failures FROM download_log GROUP BY host", ("download_log",))
+@R.add("""SELECT host, CAST(id // 10000 AS BIGINT) AS part, '[' || string_agg('{"id":' || id || ',"status":"' || status || '"}', ',' ORDER BY id) || ']' AS failures FROM download_log WHERE status <> 'ok' GROUP BY ALL""", ("download_log",))
 def snk08_failures_by_host(spark, sf_dir):
     from traitloom.operators.stats import failures_by_host
 
-    return failures_by_host(view(spark, sf_dir, "download_log")).select("host", F.json_array_length("failures").cast("long").alias("failures"))
+    return failures_by_host(view(spark, sf_dir, "download_log"))
 
 
 @R.add("SELECT coalesce(a.k, b.k) AS archive, coalesce(n, 0) AS occurrences, coalesce(m, 0) AS images FROM (SELECT family AS k, count(*) AS n FROM occurrence GROUP BY 1) a FULL JOIN (SELECT family AS k, count(*) AS m FROM multimedia JOIN occurrence USING (id) GROUP BY 1) b ON a.k = b.k", ("occurrence", "multimedia"))

@@ -32,7 +32,7 @@ _POLY = f""", t AS (SELECT component, image_height * image_width / 1e6 AS mp, co
 @R.add(_POLY + " SELECT round(p0, 4) AS p0, round(p1, 4) AS p1, round(p2, 5) AS p2 FROM g", ("conversion_training",))
 def ml01_polynomial(spark, sf_dir):
     p = M.fit_polynomial(_training(spark, sf_dir), "mp", "conversion_mean")
-    return view(spark, sf_dir, "conversion_training").limit(1).select(*[F.round(F.lit(float(p[k])), d).alias(k) for k, d in (("p0", 4), ("p1", 4), ("p2", 5))])
+    return spark.createDataFrame([tuple(float(p[k]) for k in ("p0", "p1", "p2"))], "p0 double, p1 double, p2 double").select(*[F.round(k, d).alias(k) for k, d in (("p0", 4), ("p1", 4), ("p2", 5))])
 
 
 @R.add(_POLY + " SELECT component, round(p0 + p1 * mp + p2 * mp * mp, 3) AS predicted FROM t, g", ("conversion_training",))
@@ -48,6 +48,13 @@ def ml03_correctness_forest(spark, sf_dir):
     return scored.select("component", "correct", "prediction")
 
 
+@R.add()
+def ml09_forest_report(spark, sf_dir):
+    columns = ["image_height", "image_width", "conversion_mean", "mp"]
+    model, scored = M.correctness_forest(_training(spark, sf_dir), columns, "correct")
+    return M.forest_report(model, scored, columns, "correct")
+
+
 @R.add()
 def ml04_fallback(spark, sf_dir):
     rows = _training(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from traitloom.operators import detections as D
@@ -291,3 +292,42 @@ def fn22_converted(spark, sf_dir):
   SELECT event_id, coalesce(x <= cut, true) AS low FROM ticks LEFT JOIN c USING (ruler_id)""", ("ticks",))
 def ml08_two_clusters(spark, sf_dir):
     return U.two_clusters(view(spark, sf_dir, "ticks"), "ruler_id", "x").select("event_id", "low")
+
+
+@R.add(f""", {UNITS_SQL}, t AS (SELECT ruler_id, strip, x, event_id, ['mm', '8th', 'halfcm'][strip % 3 + 1] AS unit FROM ticks), g AS (SELECT ruler_id, strip, unit, lead(x) OVER (PARTITION BY ruler_id, strip ORDER BY x, event_id) - x AS gap FROM t),
+  l AS (SELECT ruler_id, strip, avg(gap) * max(factor) / max(divisor) AS cm, stddev_pop(gap) AS sd, count(*) AS n FROM g JOIN u USING (unit) WHERE gap IS NOT NULL GROUP BY ruler_id, strip)
+  SELECT ruler_id, round(avg(cm), 5) AS cm, CAST(sum(n) AS BIGINT) AS n, round(sqrt(sum((n - 1) * sd * sd) / greatest(CAST(sum(n) - count(*) AS DOUBLE), 1e-15)), 5) AS pooled_sd, round(CASE WHEN count(*) > 1 THEN stddev_samp(cm) / avg(cm) * 100 ELSE 0 END, 5) AS rsd, max_dim
+  FROM l JOIN (SELECT ruler_id, greatest(max(x), CAST(max(strip) AS DOUBLE)) AS max_dim FROM ticks GROUP BY ruler_id) USING (ruler_id) GROUP BY ruler_id, max_dim""", ("ticks",))
+def ag12_label_rollup(spark, sf_dir):
+    ticks = view(spark, sf_dir, "ticks")
+    unit = F.get(F.array(F.lit("mm"), F.lit("8th"), F.lit("halfcm")), F.col("strip") % 3)
+    line = W.partitionBy("ruler_id", "strip").orderBy("x", "event_id")
+    points = ticks.select("ruler_id", "strip", unit.alias("unit"), F.row_number().over(line).alias("seq"), "x", F.lit(0.0).alias("y"))
+    sizes = ticks.groupBy("ruler_id").agg(F.max("x").alias("width"), F.max("strip").cast("double").alias("height"))
+    out = U.label_rollup(U.line_readings(points, U.units_table(spark), ["ruler_id", "strip"]), sizes, "ruler_id")
+    return _rounded(out, "cm", "pooled_sd", "rsd", digits=5)
+
+
+_BLOBS = """b AS (SELECT l_orderkey AS ruler_id, CAST(l_linenumber % 2 AS INTEGER) AS rank, CAST(l_partkey % 97 AS DOUBLE) AS x, CAST(20 + l_orderkey % 40 AS DOUBLE) AS major,
+    (20 + l_orderkey % 40) / (CASE (l_orderkey + l_linenumber % 2) % 5 WHEN 0 THEN 1.75 WHEN 1 THEN 4.5 WHEN 2 THEN 2.2 WHEN 3 THEN 6.8 ELSE 3.0 END + CAST(l_tax AS DOUBLE)) AS minor FROM lineitem),
+  pred AS (SELECT o_orderkey AS ruler_id, CAST(15 + o_orderkey % 60 AS DOUBLE) AS predicted FROM orders)"""
+
+
+# spacing shares and factors of each kind of block, as in the operator
+@R.add(f"""WITH {_BLOBS}, n AS (SELECT *, least(coalesce(x - lag(x) OVER w, 1e9), coalesce(lead(x) OVER w - x, 1e9)) AS gap FROM b WINDOW w AS (PARTITION BY ruler_id, rank ORDER BY x)),
+  s AS (SELECT ruler_id, rank, avg(gap) AS spacing FROM n WHERE gap > 1 AND gap < 1e9 GROUP BY ALL), g AS (SELECT ruler_id, rank, count(*) AS n, avg(major / minor) AS ratio, avg(major) AS major, avg(minor) AS minor FROM b GROUP BY ALL),
+  k AS (SELECT *, CASE WHEN ratio BETWEEN 0.9 * 1.75::DOUBLE AND (1 + 0.1::DOUBLE) * 1.75 THEN 'bigCM' WHEN ratio BETWEEN 0.75 * 4.5 AND 1.25 * 4.5 THEN 'smallCM' WHEN ratio BETWEEN 0.9 * 2.2 AND 1.1 * 2.2 THEN 'halfCM' WHEN ratio BETWEEN 0.9 * 6.8 AND 1.1 * 6.8 THEN 'mm' END AS kind FROM g WHERE n BETWEEN 2 AND 10),
+  f AS (SELECT ruler_id, rank, kind, CASE WHEN kind = 'bigCM' AND spacing BETWEEN 0.8 * major AND 1.2 * major THEN spacing WHEN kind = 'smallCM' AND spacing BETWEEN 1.6 * major AND 2.4 * major THEN spacing * 0.5
+      WHEN kind = 'halfCM' AND spacing BETWEEN 0.8 * major AND 1.2 * major THEN spacing * 2 WHEN kind = 'mm' AND spacing BETWEEN 0.1 * minor AND 1.1 * minor THEN spacing * 10 END AS factor FROM k JOIN s USING (ruler_id, rank) WHERE kind IS NOT NULL),
+  d AS (SELECT *, row_number() OVER (PARTITION BY ruler_id, kind ORDER BY rank) AS nth FROM f WHERE factor IS NOT NULL), e AS (SELECT *, min(CASE WHEN nth > 1 THEN rank END) OVER (PARTITION BY ruler_id) AS stop FROM d),
+  v AS (SELECT e.*, CASE kind WHEN 'bigCM' THEN 0 WHEN 'smallCM' THEN 1 WHEN 'halfCM' THEN 2 ELSE 3 END AS i FROM e JOIN pred USING (ruler_id) WHERE (stop IS NULL OR rank < stop) AND abs(factor - predicted) <= 0.1 * predicted),
+  r AS (SELECT ruler_id, avg(factor) AS factor, CASE WHEN count(*) > 1 THEN 'average' ELSE min(kind) END AS location, string_agg(kind, ', ' ORDER BY i) AS options FROM v GROUP BY ruler_id)
+  SELECT ruler_id, round(coalesce(factor, 0), 6) AS factor, coalesce(location, 'fail') AS location, coalesce(options, '') AS options FROM pred LEFT JOIN r USING (ruler_id)""")
+def ag17_block_factors(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem")
+    turn = (F.col("l_orderkey") + F.col("l_linenumber") % 2) % 5
+    ratio = F.get(F.array(*[F.lit(r) for r in (1.75, 4.5, 2.2, 6.8, 3.0)]), turn.cast("int")) + F.col("l_tax").cast("double")
+    major = (20 + F.col("l_orderkey") % 40).cast("double")
+    blobs = rows.select(F.col("l_orderkey").alias("ruler_id"), (F.col("l_linenumber") % 2).cast("int").alias("rank"), (F.col("l_partkey") % 97).cast("double").alias("x"), major.alias("major"), (major / ratio).alias("minor"))
+    predicted = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ruler_id"), (15 + F.col("o_orderkey") % 60).cast("double").alias("predicted"))
+    return _rounded(U.block_factors(blobs, predicted), "factor")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitloom.operators.detections import parsed_labels
+from traitloom.operators.linkage import stacked
 
 SEPARATORS = ("\t", ",", "|", ";")
 
@@ -16,10 +19,30 @@ def separator_of(header: str, extension: str) -> str:
     return best if header.count(best) else ("," if extension == "csv" else "\t")
 
 
-def read_delimited(spark: SparkSession, path: str, skip_bad_lines: bool = False) -> DataFrame:
-    """A delimited table with a header, all columns strings."""
-    head = spark.read.text(path).limit(1).collect()
-    sep = separator_of(head[0]["value"] if head else "", path.rsplit(".", 1)[-1].lower())
+def separators_of(header: str, extension: str) -> list[str]:
+    """All separators in the order in which they are tried: the most frequent in the header first, then by extension."""
+    rest = (",", "\t", "|", ";") if extension == "csv" else SEPARATORS
+    return sorted(rest, key=lambda s: -header.count(s))
+
+
+def fitting_separator(lines: list[str], extension: str) -> str:
+    """The first separator that gives the header line at least two fields and all others as many; else the first tried.
+
+    Fields in double quotes may hold separators.
+    """
+    fields = lambda line, sep: len(next(csv.reader([line], delimiter=sep), []))
+    tried = separators_of(lines[0] if lines else "", extension)
+    for sep in tried:
+        width = fields(lines[0], sep) if lines else 0
+        if width > 1 and all(fields(line, sep) == width for line in lines[1:]):
+            return sep
+    return tried[0]
+
+
+def read_delimited(spark: SparkSession, path: str, skip_bad_lines: bool = False, probe: int = 20) -> DataFrame:
+    """A delimited table with a header, all columns strings; the separator is the one that fits the first ``probe`` lines."""
+    lines = [r["value"] for r in spark.read.text(path).limit(probe).collect()]
+    sep = fitting_separator(lines, path.rsplit(".", 1)[-1].lower())
     mode = "DROPMALFORMED" if skip_bad_lines else "PERMISSIVE"
     return spark.read.option("header", True).option("sep", sep).option("mode", mode).option("inferSchema", False).csv(path)
 
@@ -28,10 +51,36 @@ def read_archive(spark: SparkSession, occurrence: str, multimedia: str) -> tuple
     return read_delimited(spark, occurrence), read_delimited(spark, multimedia)
 
 
-def read_archives(spark: SparkSession, pattern: str, sep: str = "\t") -> DataFrame:
-    """One table over a glob of archive folders, with the folder's name as ``archive``."""
-    rows = spark.read.option("header", True).option("sep", sep).csv(pattern)
-    return rows.withColumn("archive", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+def read_archives(spark: SparkSession, pattern: str, sep: str | None = None) -> DataFrame:
+    """One table over a glob of archive folders, with the folder's name as ``archive``.
+
+    Without ``sep`` every file is read by its own separator (of its header
+    line; one small row per file reaches the driver) and the columns that a
+    file lacks are null.
+    """
+    archive = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+
+    def rows(paths, sep):
+        return spark.read.option("header", True).option("sep", sep).csv(paths).withColumn("archive", archive)
+
+    if sep is not None:
+        return rows(pattern, sep)
+    lines = spark.read.text(pattern).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), "value")
+    heads = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "at").alias("head")).collect()
+    groups: dict[tuple, list[str]] = {}
+    for r in sorted(heads, key=lambda r: r["path"]):
+        groups.setdefault((separator_of(r["head"], r["path"].rsplit(".", 1)[-1].lower()), r["head"]), []).append(r["path"])
+    return stacked(*[rows(paths, sep) for (sep, _), paths in groups.items()])
+
+
+def read_colour_profile(spark: SparkSession, path: str) -> DataFrame:
+    """Colours of a profile table ``name,r,g,b[,hex]`` without a header (name, r, g, b, hex); hex is filled in where it is missing."""
+    cells = F.split("value", r"\s*,\s*")
+    at = lambda i: F.get(cells, F.lit(i))
+    rows = spark.read.text(path).where(F.size(cells) >= 4)
+    named = rows.select(F.trim(at(0)).alias("name"), *[at(i + 1).try_cast("int").alias(c) for i, c in enumerate("rgb")], F.lower(F.trim(at(4))).alias("hex"))
+    own = F.format_string("%02x%02x%02x", "r", "g", "b")
+    return named.withColumn("hex", F.coalesce(F.when(F.col("hex") != "", F.col("hex")), own))
 
 
 def read_url_table(spark: SparkSession, path: str, url: str, name: str) -> DataFrame:

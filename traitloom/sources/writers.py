@@ -23,14 +23,38 @@ def write_per_file(df: DataFrame, path: str, name: str = "filename") -> None:
 
 
 def write_combined(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("header", True).csv(path)
+    """Append to a combined table whose header is kept once: ``path/header`` beside ``path/rows``; appends are atomic per job."""
+    spark = df.sparkSession
+    header = spark.createDataFrame([(",".join(df.columns),)], "value string")
+    header.coalesce(1).write.mode("ignore").text(f"{path}/header")
+    df.write.mode("append").option("header", False).csv(f"{path}/rows")
 
 
-def coco_packets(images: DataFrame, annotations: DataFrame) -> DataFrame:
-    """One JSON text per image with its annotations."""
+def read_combined(spark: SparkSession, path: str) -> DataFrame:
+    """The table that :func:`write_combined` keeps, all columns strings."""
+    names = spark.read.text(f"{path}/header").first()["value"].split(",")
+    return spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(f"{path}/rows")
+
+
+def save_project(tables: dict[str, DataFrame], project: str, path: str | None = None) -> None:
+    """Project tables (images, components, ...) under names of the catalog, ``<project>_<table>``; in ``path`` if it is given."""
+    for name, df in tables.items():
+        sink = df.write.mode("overwrite").format("parquet")
+        (sink.option("path", f"{path}/{name}") if path else sink).saveAsTable(f"{project}_{name}")
+
+
+def project_rows(spark: SparkSession, project: str, table: str, names: DataFrame, key: str = "name") -> DataFrame:
+    """Look-up by name in a project table, for many names at once."""
+    return spark.table(f"{project}_{table}").join(names.select(key), key, "left_semi")
+
+
+def coco_packets(images: DataFrame, annotations: DataFrame, categories: list[str] | tuple[str, ...] = (), info: str = "") -> DataFrame:
+    """One JSON text per image: info, categories (numbered in order), the image and its annotations with area and box."""
     boxes = annotations.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("id", "category_id", "area", "bbox"))).alias("annotations"))
     rows = images.join(boxes, F.col("id") == F.col("image_id"), "left")
-    return rows.select("file_name", F.to_json(F.struct("file_name", "width", "height", "annotations")).alias("packet"))
+    named = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(name).alias("name")) for i, name in enumerate(categories)])
+    extra = [F.struct(F.lit(info).alias("description")).alias("info"), named.alias("categories")] if categories or info else []
+    return rows.select("file_name", F.to_json(F.struct(*extra, "file_name", "width", "height", "annotations")).alias("packet"))
 
 
 def trackers(log: DataFrame, path: str) -> None:

@@ -33,7 +33,9 @@ def live_quota(log: DataFrame, cap: int) -> DataFrame:
 
     def accept(key, frames: Iterator[pd.DataFrame], state: GroupState):
         taken = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["ts", "id"]).head(max(0, cap - taken))
+        rows, free = pd.DataFrame(columns=["id", "fullname", "ts"]), max(0, cap - taken)
+        for frame in frames:  # never more than a frame and what is still free
+            rows = (pd.concat([rows, frame]) if len(rows) else frame).sort_values(["ts", "id"]).head(free)
         state.update((taken + len(rows),))
         yield rows[["id", "fullname", "ts"]]
 
@@ -53,10 +55,11 @@ def windowed_strikes(log: DataFrame, late: str = "1 hour", window: str = "1 day"
 
 
 def routed(log: DataFrame, path: str, checkpoint: str):
-    """Append every micro-batch to one folder per status."""
+    """Write every micro-batch to one folder per status and batch; a batch that is retried replaces its own."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("status").parquet(path)
+        rows = batch.withColumn("batch_id", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("status", "batch_id").parquet(path)
 
     return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
