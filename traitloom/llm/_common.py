@@ -230,8 +230,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds, each a pre-aggregated minimum
     joined back on the node, until every edge leads from a node without other
-    edges to its smallest one.  The minima are written before they are joined,
-    so that adaptive execution can split the edges of a hub.  Nothing but one
+    edges to its smallest one.  The minima of the large star are written before
+    they are joined, so that adaptive execution can split the edges of a hub
+    (in the small star the hub is on the other side).  Nothing but one
     flag per round reaches the driver.  Returns (id, component); nodes without
     links are absent, links with a null end are left out.
     """
@@ -243,8 +244,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
