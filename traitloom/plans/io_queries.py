@@ -42,7 +42,7 @@ def src03_archives(spark, sf_dir):
     for i, family in enumerate(families):
         mine = rows.where(F.col("family") == family).select("id", "genus")
         mine.write.option("header", True).option("sep", S.SEPARATORS[i % len(S.SEPARATORS)]).csv(f"{folder}/{family}")
-    return S.read_archives(spark, f"{folder}/*/*.csv").select(F.regexp_replace("archive", "%20", " ").alias("archive"), "id")
+    return S.read_archives(spark, f"{folder}/*/*.csv").select("archive", "id")
 
 
 @R.add("SELECT id, genus, 'a' AS part FROM occurrence UNION ALL SELECT id, genus, 'b' FROM occurrence WHERE year > 1995", ("occurrence",))

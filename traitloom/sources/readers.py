@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,8 @@ def read_archives(spark: SparkSession, pattern: str, sep: str | None = None) ->
     line; one small row per file reaches the driver) and the columns that a
     file lacks are null.
     """
-    archive = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # Spark names files by URL
+    archive = F.element_at(F.split(whole, "/"), -2)
 
     def rows(paths, sep):
         return spark.read.option("header", True).option("sep", sep).csv(paths).withColumn("archive", archive)
@@ -69,7 +71,7 @@ def read_archives(spark: SparkSession, pattern: str, sep: str | None = None) ->
     heads = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "at").alias("head")).collect()
     groups: dict[tuple, list[str]] = {}
     for r in sorted(heads, key=lambda r: r["path"]):
-        groups.setdefault((separator_of(r["head"], r["path"].rsplit(".", 1)[-1].lower()), r["head"]), []).append(r["path"])
+        groups.setdefault((separator_of(r["head"], r["path"].rsplit(".", 1)[-1].lower()), r["head"]), []).append(unquote(r["path"]))
     return stacked(*[rows(paths, sep) for (sep, _), paths in groups.items()])
 
 
