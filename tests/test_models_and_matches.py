@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traitloom.operators import geometry as G
+from traitloom.operators import landmarks as K2
 from traitloom.operators import linkage as L
 from traitloom.operators import metrics as M
 from traitloom.operators import models as P
@@ -130,6 +131,26 @@ def test_hulls_of_lines_and_squares(spark):
     assert got == {"s": 16.0, "l": 0.0}
 
 
+def test_armatures_by_hand(spark):
+    from math import atan2, degrees, hypot
+
+    def armature(name, left, right):
+        middle = [(name, "middle", i, float(i), 0.0) for i in range(4)]
+        return middle + [(name, "outer", 10 * j + i, float(x), float(y)) for j, side in enumerate((left, right)) for i, (x, y) in enumerate(side)]
+
+    below = [(1, -1), (2, -2), (3, -3)]
+    rows = armature("upright", below, [(1, 1), (2, 2), (3, 3)]) + armature("tilted", below, [(1, 1), (2, 2), (5, 5)]) + armature("short", below, [(1, 1), (2, 2)])
+    got = {r["obj"]: tuple(r)[1:] for r in K2.armature_traits(spark.createDataFrame(rows, "obj string, part string, seq int, x double, y double")).collect()}
+    assert got["upright"][:4] == pytest.approx((6, 3, 0, 90)) and got["upright"][4:] == (None, None)
+    assert got["tilted"] == pytest.approx((hypot(2, 8), 30 / hypot(2, 8), degrees(atan2(2, 8)), 90, 3.75, 0), abs=1e-6)
+    assert got["short"] == (None,) * 6
+
+
+@pytest.mark.parametrize("terms,root", [((1, -3, 2), 1), ((0, 2, -4), 2), ((1, 0, 1), None), ((1, 0, -4), 2), ((-1, 0, 4), 2), ((0, 0, 0), 0), ((0, 0, 1), None), ((2, 0, 0), 0)])
+def test_the_root_nearer_to_zero(spark, terms, root):
+    assert spark.range(1).select(K2.nearer_root(*[F.lit(float(t)) for t in terms])).first()[0] == root
+
+
 def test_block_groups_stop_at_a_repeated_kind(spark):
     def group(rank, ratio, gap, n=4, major=20.0):
         return [("r", rank, float(i * gap), major, major / ratio) for i in range(n)]

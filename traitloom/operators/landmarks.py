@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from traitloom.operators.geometry import line_fit, quadratic_fit
 from traitloom.operators.linkage import chosen_pair
 
 # Landmark kinds in class-index order.
@@ -157,3 +158,52 @@ def prickle_traits(curves: DataFrame, key: str = "obj") -> DataFrame:
     slope = lambda ax, ay, bx, by: F.degrees(F.atan2(by - ay, bx - ax))
     curl = F.abs(slope(mid("x"), mid("y"), F.col("mx"), F.col("my")) - slope(F.col("mx"), F.col("my"), F.col("tx"), F.col("ty")))
     return curves.select(key, width.alias("base_width"), length.alias("direct_length"), F.least(curl, 360 - curl).alias("curl"))
+
+
+def nearer_root(a: Column, b: Column, c: Column) -> Column:
+    """The real root of ax^2 + bx + c with the smaller absolute value, the positive one of two alike; null without one."""
+    d = b * b - 4 * a * c
+    q = -(b + F.when(b < 0, -F.sqrt(d)).otherwise(F.sqrt(d))) / 2
+    return F.when(d >= 0, F.when(q != 0, F.when(b == 0, F.abs(c / q)).otherwise(c / q)).when(c == 0, F.lit(0.0)))
+
+
+def armature_traits(points: DataFrame, key: str = "obj") -> DataFrame:
+    """Base width, direct length, curl, tangent angle and base crossing of armatures.
+
+    ``points`` has ``part`` (outer or middle), seq, x and y; the first middle
+    point is the tip.  Outer points above the middle parabola are its right
+    side, the others its left.  The base joins both sides' last points; the
+    direct length is the tip's distance from it, the curl the angle between its
+    perpendicular and the line of the first three middle points.  The tangent
+    angle is taken where the parabolas of both sides cross, and the base meets
+    the middle parabola at (base_x, base_y); of two roots the one nearer to 0
+    counts.  Sides of under three points give nulls; so does a missing root.
+    """
+    middle, outer = points.where("part = 'middle'"), points.where("part = 'outer'")
+    curve = quadratic_fit(middle, key).select(key, *[F.col(f"p{i}").alias(f"m{i}") for i in range(3)])
+    above = F.col("y") > F.col("m2") * F.col("x") ** 2 + F.col("m1") * F.col("x") + F.col("m0")
+    sides = outer.join(curve, key).withColumn("side", F.when(above, "r").otherwise("l"))
+    rows = middle.select(key).distinct().join(curve, key, "left")
+    for side in "lr":
+        mine = sides.where(F.col("side") == side).select(key, "seq", "x", "y")
+        last = mine.groupBy(key).agg(F.max_by(F.struct("x", "y"), "seq").alias("e"), F.count("*").alias("n")).where("n >= 3")
+        fit = quadratic_fit(mine, key).select(key, *[F.col(f"p{i}").alias(f"{side}{i}") for i in range(3)])
+        rows = rows.join(last.select(key, F.col("e.x").alias(f"{side}x"), F.col("e.y").alias(f"{side}y")).join(fit, key), key, "left")
+    first = middle.withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy("seq"))).where("_nth <= 3")
+    tip = first.groupBy(key).agg(F.min_by("x", "seq").alias("tx"), F.min_by("y", "seq").alias("ty"))
+    rows = rows.join(tip, key, "left").join(line_fit(first, key).select(key, F.col("slope").alias("m")), key, "left")
+
+    dx, dy = F.col("rx") - F.col("lx"), F.col("ry") - F.col("ly")
+    width = F.hypot(dx, dy)
+    length = F.when(width > 0, F.abs(dx * (F.col("ly") - F.col("ty")) - (F.col("lx") - F.col("tx")) * dy) / width)
+    curl = F.degrees(F.atan2(F.abs(dx + dy * F.col("m")), F.abs(dx * F.col("m") - dy)))
+    cross = nearer_root(*[F.col(f"l{i}") - F.col(f"r{i}") for i in (2, 1, 0)])
+    left, right = (2 * F.col(f"{s}2") * F.col("_cross") + F.col(f"{s}1") for s in "lr")
+    tangent = F.degrees(F.atan2(F.abs(right - left), F.abs(1 + left * right)))
+    slope = F.when(dx != 0, dy / dx)
+    base = nearer_root(F.col("m2"), F.col("m1") - slope, F.col("m0") - F.col("ly") + slope * F.col("lx"))
+    rows = rows.withColumns({"_cross": cross, "base_x": base})
+    return rows.select(
+        key, width.alias("base_width"), length.alias("direct_length"), F.when(width > 0, curl).alias("angle_curl"), tangent.alias("angle_tangent"),
+        "base_x", (F.col("ly") + slope * (F.col("base_x") - F.col("lx"))).alias("base_y"),
+    )

@@ -11,7 +11,7 @@ from traitloom.operators.detections import PLANT_CLASSES
 
 from ._register import Registry
 from .geometry_queries import _CLOSED, _WIDE, _wide
-from .linkage_queries import points
+from .linkage_queries import _POINTS, points
 from .views import read, view
 
 R = Registry()
@@ -80,6 +80,36 @@ def fn32_prickle_traits(spark, sf_dir):
     return traits.select("obj", *[F.round(c, 5).alias(c) for c in ("base_width", "direct_length", "curl")])
 
 
+def _parabola(source, name):
+    return f"""{name}a AS (SELECT component, avg(x) AS mx, avg(y) AS my, greatest(max(x) - min(x), 1e-9) AS sx FROM {source} GROUP BY component),
+  {name}b AS (SELECT component, mx, my, sx, (x - mx) / sx AS u, y - my AS v FROM {source} JOIN {name}a USING (component)),
+  {name}c AS (SELECT component, mx, my, sx, CAST(count(*) AS DOUBLE) AS n, sum(u ** 2) AS s2, sum(u ** 3) AS s3, sum(u ** 4) AS s4, sum(u * v) AS t1, sum(u * u * v) AS t2 FROM {name}b GROUP BY component, mx, my, sx),
+  {name}d AS (SELECT *, (s4 - s2 ** 2 / n) * s2 - s3 ** 2 AS det FROM {name}c),
+  {name}e AS (SELECT *, CASE WHEN abs(det) > 1e-12 THEN (t2 * s2 - t1 * s3) / det END AS q2, CASE WHEN abs(det) > 1e-12 THEN ((s4 - s2 ** 2 / n) * t1 - s3 * t2) / det END AS q1 FROM {name}d),
+  {name} AS (SELECT component, n, q2 / sx ** 2 AS {name}2, q1 / sx - 2 * q2 * mx / sx ** 2 AS {name}1, my - q2 * s2 / n - q1 * mx / sx + q2 * mx ** 2 / sx ** 2 AS {name}0 FROM {name}e)"""
+
+
+def _root(a, b, c):
+    q = f"(-({b} + CASE WHEN {b} < 0 THEN -1 ELSE 1 END * sqrt(greatest({b} ** 2 - 4 * {a} * {c}, 0))) / 2)"
+    return f"CASE WHEN {b} ** 2 - 4 * {a} * {c} >= 0 THEN CASE WHEN {q} <> 0 AND {b} = 0 THEN abs({c} / {q}) WHEN {q} <> 0 THEN {c} / {q} WHEN {c} = 0 THEN 0 END END"
+
+
+@R.add(f"""WITH {_POINTS}, mid AS (SELECT * FROM p WHERE seq % 4 = 0), {_parabola('mid', 'm')},
+  o AS (SELECT p.*, y > m2 * x ** 2 + m1 * x + m0 AS above FROM p JOIN m USING (component) WHERE seq % 4 > 0),
+  ol AS (SELECT * FROM o WHERE NOT coalesce(above, false)), {_parabola('ol', 'l')}, orr AS (SELECT * FROM o WHERE above), {_parabola('orr', 'r')},
+  el AS (SELECT component, arg_max(x, seq) AS lx, arg_max(y, seq) AS ly FROM ol GROUP BY component HAVING count(*) >= 3), er AS (SELECT component, arg_max(x, seq) AS rx, arg_max(y, seq) AS ry FROM orr GROUP BY component HAVING count(*) >= 3),
+  tip AS (SELECT component, arg_min(x, seq) AS tx, arg_min(y, seq) AS ty, CASE WHEN max(x) > min(x) THEN regr_slope(y, x) END AS k FROM mid WHERE seq < 12 GROUP BY component),
+  j AS (SELECT *, rx - lx AS dx, ry - ly AS dy, (ry - ly) / nullif(rx - lx, 0) AS slope FROM tip JOIN m USING (component) LEFT JOIN (el JOIN l USING (component)) USING (component) LEFT JOIN (er JOIN r USING (component)) USING (component)),
+  z AS (SELECT *, {_root('(l2 - r2)', '(l1 - r1)', '(l0 - r0)')} AS cx, {_root('m2', '(m1 - slope)', '(m0 - ly + slope * lx)')} AS bx FROM j)
+  SELECT component AS obj, round(sqrt(dx ** 2 + dy ** 2), 3) AS base_width, round(abs(dx * (ly - ty) - (lx - tx) * dy) / nullif(sqrt(dx ** 2 + dy ** 2), 0), 3) AS direct_length,
+    round(CASE WHEN dx <> 0 OR dy <> 0 THEN degrees(atan2(abs(dx + dy * k), abs(dx * k - dy))) END, 3) AS angle_curl,
+    round(degrees(atan2(abs(2 * r2 * cx + r1 - 2 * l2 * cx - l1), abs(1 + (2 * l2 * cx + l1) * (2 * r2 * cx + r1)))), 3) AS angle_tangent, round(bx, 2) AS base_x, round(ly + slope * (bx - lx), 2) AS base_y FROM z""")
+def fn32_armature_traits(spark, sf_dir):
+    rows = points(spark, sf_dir).withColumns({"part": F.when(F.col("seq") % 4 == 0, "middle").otherwise("outer"), "obj": F.col("component")})
+    traits = K.armature_traits(rows)
+    return traits.select("obj", *[F.round(c, d).alias(c) for c, d in (("base_width", 3), ("direct_length", 3), ("angle_curl", 3), ("angle_tangent", 3), ("base_x", 2), ("base_y", 2))])
+
+
 @R.add(f"""WITH {_CLOSED} SELECT component, min(x) AS x, min(y) AS y, max(x) AS max_x, max(y) AS max_y, round(abs(sum(x * ny - nx * y)) / 2, 4) AS area, string_agg(CAST(x AS BIGINT) || ',' || CAST(y AS BIGINT), ',' ORDER BY seq) AS segmentation FROM c GROUP BY component""")
 def fn38_polygon_annotations(spark, sf_dir):
     pair = F.concat_ws(",", F.col("x").cast("long"), F.col("y").cast("long"))
