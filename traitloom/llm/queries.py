@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import crf_langid, entropy_mix, license_scan, markov_secrets, odd_minhash, sp_lattice, substring_dedup, topk_search, url_rules, wav_media
+from . import crf_langid, entropy_mix, license_scan, markov_secrets, odd_minhash, quality_rules, sp_lattice, substring_dedup, topk_search, url_rules, wav_media
 from ._common import table
 
 QUERIES: dict = {}
@@ -174,3 +174,12 @@ def op8_sp_lattice(spark, sf_dir):
 
 
 QUERIES["op8_sp_lattice"] = op8_sp_lattice
+
+
+def op13_quality_rules(spark, sf_dir):
+    """Counts and verdict of the learned decision list for every text of ``documents``."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+QUERIES["op13_quality_rules"] = op13_quality_rules
