@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import crf_langid, entropy_mix, license_scan, markov_secrets, odd_minhash, quality_rules, sp_lattice, substring_dedup, topk_search, url_rules, wav_media
+from . import crf_langid, entropy_mix, lexical_search, license_scan, markov_secrets, odd_minhash, quality_rules, sp_lattice, substring_dedup, topk_search, url_rules, wav_media
 from ._common import table
 
 QUERIES: dict = {}
@@ -183,3 +183,26 @@ def op13_quality_rules(spark, sf_dir):
 
 
 QUERIES["op13_quality_rules"] = op13_quality_rules
+
+
+def op12_lexical_search(spark, sf_dir):
+    """The 20 highest-scoring documents of every ``benchmark`` item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op12_lexical_search"] = op12_lexical_search
+ORACLE_SQL["op12_lexical_search"] = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+held AS (SELECT doc_id, r, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM held),
+asked AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+tf AS (SELECT doc_id, r, n, term, count(*) AS times FROM (SELECT doc_id, r, n, unnest(w) AS term FROM held) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, total GROUP BY term, n_docs),
+scored AS (SELECT item_id, doc_id, r, sum(repeats * weight * ((1000000000 * times) // (1000 * times + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms))))) AS score
+           FROM tf JOIN weight USING (term) JOIN asked USING (term), total GROUP BY item_id, doc_id, r)
+SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM scored WHERE score > 0) WHERE k <= 20
+"""
