@@ -17,8 +17,6 @@ Scores are integers, so that any order of addition gives the same result.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
