@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import crf_langid, entropy_mix, lexical_search, license_scan, markov_secrets, odd_minhash, quality_rules, sp_lattice, substring_dedup, topk_search, url_rules, wav_media
+from . import crf_langid, entropy_mix, lexical_search, license_scan, markov_secrets, odd_minhash, quality_rules, sp_lattice, substring_dedup, token_alignment, topk_search, url_rules, wav_media
 from ._common import table
 
 QUERIES: dict = {}
@@ -206,3 +206,14 @@ scored AS (SELECT item_id, doc_id, r, sum(repeats * weight * ((1000000000 * time
 SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM scored WHERE score > 0) WHERE k <= 20
 """
+
+
+def op11_token_alignment(spark, sf_dir):
+    """Groups and links of two tokenizers over every text of ``documents``."""
+    aligned = token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    digested = aligned.withColumn("groups_sha256", digest).drop("groups")
+    return token_alignment.score_links(digested).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES["op11_token_alignment"] = op11_token_alignment
