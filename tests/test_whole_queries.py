@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_image_id_is_looked_up(spark):
-    got = [tuple(r) for r in QUERIES["jn07_prefix_lookup_whole"](spark, SF).collect()]
+    got = [tuple(r) for r in QUERIES["jn07_prefix_lookup"](spark, SF).collect()]
     images = set(pd.read_parquet(f"{SF}/lineitem.parquet", columns=["l_orderkey"])["l_orderkey"].astype(str))
     occurrences = pd.read_parquet(f"{SF}/orders.parquet", columns=["o_orderkey"])["o_orderkey"].astype(str)
     want = [(i, o) for o in occurrences for i in images if o.startswith(i)]
@@ -27,7 +27,7 @@ def test_every_image_id_is_looked_up(spark):
 
 
 def test_spacings_of_all_strips_agree_within_the_default_tolerance(spark):
-    got = [(r["ruler_id"], r["strip_a"], r["unit_a"], r["strip_b"], r["unit_b"]) for r in QUERIES["jn19_consistent_spacings_whole"](spark, SF).collect()]
+    got = [(r["ruler_id"], r["strip_a"], r["unit_a"], r["strip_b"], r["unit_b"]) for r in QUERIES["jn19_consistent_spacings"](spark, SF).collect()]
     events = pd.read_parquet(f"{SF}/events.parquet").dropna(subset=["value"])
     means = events.assign(value=events["value"].astype(float), ruler=events["user_id"].astype(str), strip=pd.to_datetime(events["ts"], utc=True).dt.day).groupby(["ruler", "strip"])["value"].mean()
     readings = defaultdict(list)
@@ -53,8 +53,8 @@ def contours():
 
 
 def test_point_pairs_take_all_points(spark):
-    pairs = {r["component"]: r for r in QUERIES["jn18_closest_pair_whole"](spark, SF).collect()}
-    nearest = {(r["component"], r["seq"]): r for r in QUERIES["jn20_nearest_point_whole"](spark, SF).collect()}
+    pairs = {r["component"]: r for r in QUERIES["jn18_closest_pair"](spark, SF).collect()}
+    nearest = {(r["component"], r["seq"]): r for r in QUERIES["jn20_nearest_point"](spark, SF).collect()}
     shapes = contours()
     assert set(pairs) == set(shapes) and set(nearest) == {(c, s) for c in shapes for s in range(16)}
     for c, xy in shapes.items():
@@ -78,15 +78,15 @@ def descriptors(xy, order=40):
 
 def test_descriptors_have_40_harmonics(spark):
     shapes = contours()
-    got = QUERIES["fn13_fourier_descriptors_whole"](spark, SF).toPandas().sort_values(["component", "harmonic"])
+    got = QUERIES["fn13_fourier_descriptors"](spark, SF).toPandas().sort_values(["component", "harmonic"])
     assert len(got) == 40 * len(shapes)
     want = np.concatenate([descriptors(shapes[c]) for c in sorted(shapes)])
     assert np.abs(got[list("abcd")].to_numpy(float) - want).max() < 1e-3
-    assert set(QUERIES["fn14_normalised_descriptors_whole"](spark, SF).toPandas()["harmonic"]) == set(range(2, 41))
+    assert set(QUERIES["fn14_normalised_descriptors"](spark, SF).toPandas()["harmonic"]) == set(range(2, 41))
 
 
 def test_reconstruction_has_300_samples_of_40_harmonics(spark):
-    got = QUERIES["fn16_reconstructed_whole"](spark, SF).toPandas().sort_values(["component", "step"])
+    got = QUERIES["fn16_reconstructed"](spark, SF).toPandas().sort_values(["component", "step"])
     shapes = contours()
     assert len(got) == 300 * len(shapes)
     phase = 2 * np.pi * np.arange(1, 41) * np.arange(300)[:, None] / 299
@@ -118,7 +118,7 @@ def test_forests_have_100_trees(spark, monkeypatch, name):
 
 
 def test_keypoint_lines_fill_all_slots_and_kinds(spark):
-    got = {r["leaf"]: r["line"] for r in QUERIES["prj20_keypoint_lines_whole"](spark, SF).collect()}
+    got = {r["leaf"]: r["line"] for r in QUERIES["prj20_keypoint_lines"](spark, SF).collect()}
     used = set()
     for leaf, xy in contours().items():
         line = [(0, 0, 0)] * 31

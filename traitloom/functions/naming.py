@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Id columns in the order they are looked for.
@@ -51,9 +50,8 @@ def herbarium_code(columns: list[str]) -> Column:
     if "institutionID" in there:
         for institution, fixed in HERBARIUM_OVERRIDES.items():
             code = F.when(F.col("institutionID") == institution, fixed).otherwise(code)
-    for derived, fixed in HERBARIUM_REWRITES.items():
-        code = F.when(code == derived, fixed).otherwise(code)
-    return code
+    rewrites = F.create_map(*[F.lit(x) for pair in HERBARIUM_REWRITES.items() for x in pair])
+    return F.get(F.transform(F.array(code), lambda c: F.coalesce(F.element_at(rewrites, c), c)), F.lit(0))  # the code is named once
 
 
 def legal(text: Column) -> Column:
@@ -105,14 +103,6 @@ def name_parts(name: Column) -> dict[str, Column]:
     return out
 
 
-def unique_file_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """Valid file names, told apart by a number where cleaning makes them clash."""
-    clean = F.regexp_replace(name, "[^a-zA-Z0-9_-]", "-")
-    df = df.withColumn("valid_name", clean)
-    turn = F.row_number().over(W.partitionBy("valid_name").orderBy(*order))
-    return df.withColumn("valid_name", F.when(turn > 1, F.concat_ws("_", "valid_name", (turn - 1).cast("string"))).otherwise(F.col("valid_name")))
-
-
 def megapixels(height: Column, width: Column, digits: int | None = None) -> Column:
     exact = height * width / F.lit(1e6)
     return exact if digits is None else F.round(exact, digits)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from traitloom.functions.naming import specimen_names
 from traitloom.operators.filters import first_rows
-from traitloom.operators.lineage import in_ranges
+from traitloom.operators.lineage import cut, in_ranges
 
 
 def combined(images: DataFrame, occurrences: DataFrame, on_null: str = "blank") -> DataFrame:
@@ -32,19 +32,20 @@ def first_match(left: DataFrame, right: DataFrame, key: str, order: list) -> Dat
     return left.join(first_rows(right, [key], order), key, "left")
 
 
-def id_lookup(images: DataFrame, occurrences: DataFrame, prefix: bool = False, length: int = 3) -> DataFrame:
+def id_lookup(images: DataFrame, occurrences: DataFrame, prefix: bool = False) -> DataFrame:
     """Occurrences of each image id (columns id, occurrence_id).
 
-    ``prefix`` also finds ids that only begin with the image's id; such a pair
-    agrees in the first ``length`` characters (shorter image ids meet each of
-    their own lengths), which makes it an equi join.
+    ``prefix`` also finds ids that only begin with the image's id: an
+    occurrence brings its prefixes of the lengths that image ids have, and
+    these meet whole image ids.  Empty and null ids find nothing.
     """
     found = occurrences.select(F.col("id").alias("occurrence_id"))
     if not prefix:
         return images.select("id").join(found, F.col("id") == F.col("occurrence_id"))
-    ids = images.select("id").withColumn("stem", F.substring("id", 1, length))
-    stems = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(length)), lambda n: F.substr("occurrence_id", F.lit(1), n))))
-    return ids.join(found.withColumn("stem", stems), "stem").where(F.startswith("occurrence_id", F.col("id"))).select("id", "occurrence_id")
+    lengths = images.where("id <> ''").agg(F.collect_set(F.length("id")).alias("_lengths"))  # one row, no longer than the longest id
+    fitting = F.filter("_lengths", lambda n: n <= F.length("occurrence_id"))
+    prefixes = F.explode(F.transform(fitting, lambda n: F.substr("occurrence_id", F.lit(1), n)))
+    return images.select("id").join(found.crossJoin(F.broadcast(lengths)).select("occurrence_id", prefixes.alias("id")), "id")
 
 
 def wish_counts(wishes: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -73,6 +74,41 @@ def numbered(df: DataFrame, order: list[str], name: str = "position") -> DataFra
     return ranged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")
 
 
+def positions_in_groups(df: DataFrame, keys: list[str], order: list[str], name: str = "position") -> DataFrame:
+    """Rows numbered from 1 within groups, in a total order; a group spreads over as many range partitions as it fills.
+
+    Only each group's first position (one row per group) meets the rows again.
+    """
+    ranged = numbered(df, [*keys, *order], "_at")
+    first = ranged.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.min("_at").alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    return ranged.join(first, same).withColumn(name, F.col("_at") - F.col("_first") + 1).drop("_at", *first.columns)
+
+
+def unique_file_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """Valid file names, no two alike: ``valid_name``.
+
+    Every cleaned name stays with one row, with one that had it from the start
+    if there is such a row, else with the first.  The others get the lowest
+    numbers behind an underscore that no cleaned name takes: the rth of them
+    gets r and as many more as taken numbers lie at or before it, which is its
+    place among both in a common order.  Null names stay null.
+    """
+    rows = df.withColumn("valid_name", F.regexp_replace(name, "[^a-zA-Z0-9_-]", "-")).withColumn("_changed", F.col("valid_name") != F.col(name))
+    null = rows.where("valid_name is null").drop("_changed")
+    turns = cut(positions_in_groups(rows.where("valid_name is not null"), ["valid_name"], ["_changed", *order], "_turn").drop("_changed"))
+    rest = turns.where("_turn > 1")
+    number = r"^(.*)_([1-9][0-9]{0,17})$"
+    bases = turns.where("_turn = 1").select("valid_name").where(F.regexp_like("valid_name", F.lit(number)))
+    taken = bases.select(F.regexp_extract("valid_name", number, 1).alias("valid_name"), F.regexp_extract("valid_name", number, 2).cast("long").alias("_number"))
+    taken = positions_in_groups(taken.join(rest.select("valid_name"), "valid_name", "left_semi"), ["valid_name"], ["_number"], "_turn")
+    at = taken.select("valid_name", (F.col("_number") - F.col("_turn") + 1).alias("_at"), F.lit(0).alias("_kind"))
+    both = rest.withColumns({"_at": F.col("_turn") - 1, "_kind": F.lit(1)}).unionByName(at, allowMissingColumns=True)
+    numbers = positions_in_groups(both, ["valid_name"], ["_at", "_kind"], "_place").where("_kind = 1")
+    named = numbers.withColumn("valid_name", F.concat_ws("_", "valid_name", F.col("_place").cast("string")))
+    return turns.where("_turn = 1").select(*null.columns).unionByName(named.select(*null.columns)).unionByName(null)
+
+
 def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str]) -> DataFrame:
     """Rows side by side by their position in an explicit order; the longer side keeps its rest."""
     return numbered(left, left_order).join(numbered(right, right_order), "position", "full_outer")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from traitloom.operators.filters import first_rows
-from traitloom.operators.linkage import numbered
+from traitloom.operators.linkage import numbered, positions_in_groups
 
 
 def ticket(key: str, seed: int) -> Column:
@@ -47,8 +47,8 @@ def one_or_middle_of_three(df: DataFrame, key: str, order: list[str]) -> DataFra
 
 def split_overflow(df: DataFrame, keys: list[str], n: int, key: str = "id", seed: int = 2023) -> DataFrame:
     """All rows, marked target (the first n of a group) or overflow."""
-    turn = F.row_number().over(W.partitionBy(*keys).orderBy(ticket(key, seed), key))
-    return df.withColumn("part", F.when(turn <= n, "target").otherwise("overflow"))
+    turns = positions_in_groups(df.withColumn("_ticket", ticket(key, seed)), keys, ["_ticket", key], "_turn")
+    return turns.withColumn("part", F.when(F.col("_turn") <= n, "target").otherwise("overflow")).drop("_ticket", "_turn")
 
 
 def swapped(chosen: DataFrame, pool: DataFrame, out: DataFrame, group: str, key: str = "id", seed: int = 2023) -> DataFrame:
@@ -56,9 +56,9 @@ def swapped(chosen: DataFrame, pool: DataFrame, out: DataFrame, group: str, key:
     out = out.select(key)
     removed = chosen.join(out, key, "left_semi")
     free = pool.join(chosen.select(key), key, "left_anti")
-    ranked = free.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(ticket(key, seed), key)))
     wanted = removed.groupBy(group).agg(F.count("*").alias("_n"))
-    new = ranked.join(wanted, group).where(F.col("_rn") <= F.col("_n")).select(*chosen.columns)
+    asked = free.join(wanted, group, "left_semi").withColumn("_ticket", ticket(key, seed))
+    new = positions_in_groups(asked, [group], ["_ticket", key], "_rn").join(wanted, group).where(F.col("_rn") <= F.col("_n")).select(*chosen.columns)
     return chosen.join(out, key, "left_anti").unionByName(new)
 
 
@@ -91,7 +91,8 @@ def split(df: DataFrame, shares: dict[str, float], key: str = "id", seed: int =
 def sample(df: DataFrame, amount: float, key: str = "id", seed: int = 2023) -> DataFrame:
     """``amount`` rows, or that share of all rows if it is below 1."""
     n = int(df.count() * amount) if amount < 1 else int(amount)
-    return df.orderBy(ticket(key, seed), key).limit(n)
+    drawn = numbered(df.withColumn("_ticket", ticket(key, seed)), ["_ticket", key], "_turn").where(F.col("_turn") <= n)
+    return drawn.drop("_ticket", "_turn")
 
 
 def sequential_ids(df: DataFrame, order: list[str], offset: int) -> DataFrame:

@@ -10,10 +10,6 @@ class Registry:
         self.QUERIES: dict = {}
         self.ORACLE_SQL: dict[str, str] = {}
 
-    def also(self, name: str, of: str):
-        """Register a query under a second name."""
-        self.QUERIES[name], self.ORACLE_SQL[name] = self.QUERIES[of], self.ORACLE_SQL[of]
-
     def add(self, sql: str | None = None, views: tuple[str, ...] = ()):
         """Register the decorated query under its own name; ``views`` become CTEs in front of ``sql``."""
 

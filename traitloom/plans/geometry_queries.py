@@ -159,9 +159,6 @@ def fn13_fourier_descriptors(spark, sf_dir):
     return _unsigned_zero(_rounded(G.fourier_descriptors(points(spark, sf_dir), "component"), "a", "b", "c", "d", digits=4), "a", "b", "c", "d")
 
 
-R.also("fn13_fourier_descriptors_whole", "fn13_fourier_descriptors")
-
-
 @R.add(_unsigned_sql(f"""WITH {_EFD}, one AS (SELECT component, 0.5 * atan2(2 * (a * b + c * d), a * a - b * b + c * c - d * d) AS theta, a AS a1, b AS b1, c AS c1, d AS d1 FROM efd WHERE harmonic = 1),
   two AS (SELECT component, theta, a1 * cos(theta) + b1 * sin(theta) AS sx, c1 * cos(theta) + d1 * sin(theta) AS sy FROM one),
   three AS (SELECT component, theta, atan2(sy, sx) AS psi, sqrt(sx * sx + sy * sy) AS size FROM two),
@@ -172,9 +169,6 @@ def fn14_normalised_descriptors(spark, sf_dir):
     return _unsigned_zero(_rounded(out.where("harmonic > 1"), "a", "b", "c", "d"), "a", "b", "c", "d")
 
 
-R.also("fn14_normalised_descriptors_whole", "fn14_normalised_descriptors")
-
-
 _DC = f"""{_ARCS}, k AS (SELECT component, seq, x, y, t, dt, dx / dt AS sx, dy / dt AS sy, sum(dx) OVER w - dx / dt * t AS xi, sum(dy) OVER w - dy / dt * t AS yi FROM arcs WINDOW w AS (PARTITION BY component ORDER BY seq)),
   dc AS (SELECT component, sum(sx / 2 * (t * t - (t - dt) * (t - dt)) + xi * dt) / max(t) + min_by(x, seq) AS a0, sum(sy / 2 * (t * t - (t - dt) * (t - dt)) + yi * dt) / max(t) + min_by(y, seq) AS c0 FROM k GROUP BY component)"""
 
@@ -193,9 +187,6 @@ def fn16_reconstructed(spark, sf_dir):
     return _unsigned_zero(_rounded(out, "x", "y", digits=3), "x", "y")
 
 
-R.also("fn16_reconstructed_whole", "fn16_reconstructed")
-
-
 _WIDE = f"""{_POINTS}, q AS (SELECT component, """ + ", ".join(f"max(CASE WHEN seq = {i} THEN {c} END) AS {c}{i}" for i in range(4) for c in "xy") + " FROM p GROUP BY component)"
 
 

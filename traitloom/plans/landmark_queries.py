@@ -93,9 +93,6 @@ def prj20_keypoint_lines(spark, sf_dir):
     return K.keypoint_lines(K.slotted(rows), rows.select("leaf").distinct(), K.SLOT_LINE_31)
 
 
-R.also("prj20_keypoint_lines_whole", "prj20_keypoint_lines")
-
-
 @R.add("""SELECT id, l_linenumber, round(CASE WHEN xr > 1 THEN 2 - xr ELSE xr END, 8) AS xc, round(s / width, 8) AS w FROM (SELECT *, l_suppkey * 40.0::DOUBLE / width AS xr, CASE WHEN greatest(width, height) > 2000 THEN 27 WHEN greatest(width, height) > 1000 THEN 15 ELSE 9 END AS s FROM multimedia)""", ("multimedia",))
 def fn35_training_box(spark, sf_dir):
     box = K.training_box(F.col("l_suppkey") * 40.0, F.lit(1.0), F.col("width"), F.col("height"))

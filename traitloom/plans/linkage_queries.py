@@ -61,9 +61,6 @@ def jn07_prefix_lookup(spark, sf_dir):
     return L.id_lookup(view(spark, sf_dir, "multimedia").select("id").distinct(), view(spark, sf_dir, "occurrence"), prefix=True)
 
 
-R.also("jn07_prefix_lookup_whole", "jn07_prefix_lookup")
-
-
 @R.add(f"""WITH {_WISHES.format(nation="nation", region="region")}, c AS (SELECT family, taxon, unnest(string_split(taxon, ', ')) AS candidate FROM wishes),
   w AS (SELECT family, regexp_split_to_array(candidate, '[_ ]')[1] AS wish_genus, regexp_split_to_array(candidate, '[_ ]')[2] AS wish_species FROM c
         WHERE (NOT contains(taxon, ', ') OR length(candidate) > 5) AND len(regexp_split_to_array(candidate, '[_ ]')) = 2),
@@ -140,16 +137,14 @@ def jn18_closest_pair(spark, sf_dir):
     return L.closest_pair(all_points.where("seq < 16"), all_points.where("seq >= 16"), "component")
 
 
-R.also("jn18_closest_pair_whole", "jn18_closest_pair")
-
-
 # Units with the cm they hold and their system's divisor.
 UNITS = [("cm", 1, 1.0), ("halfcm", 2, 1.0), ("4thcm", 4, 1.0), ("mm", 10, 1.0), ("halfmm", 20, 1.0), ("inch", 1, 2.54), ("halfinch", 2, 2.54), ("4th", 4, 2.54), ("8th", 8, 2.54), ("16th", 16, 2.54), ("32nd", 32, 2.54)]
 UNITS_SQL = "u(unit, factor, divisor) AS (VALUES " + ", ".join(f"('{u}', {f}, CAST({d} AS DOUBLE))" for u, f, d in UNITS) + ")"
 
 
-@R.add(f""", {UNITS_SQL}, s AS (SELECT ruler_id, strip, avg(x) AS mean FROM ticks GROUP BY ALL), r AS (SELECT ruler_id, strip, unit, mean * factor / divisor AS cm FROM s, u)
-  SELECT a.ruler_id, a.strip AS strip_a, a.unit AS unit_a, round(a.cm, 6) AS cm_a, b.strip AS strip_b, b.unit AS unit_b, round(b.cm, 6) AS cm_b FROM r a JOIN r b USING (ruler_id)
+@R.add(f""", {UNITS_SQL}, s AS MATERIALIZED (SELECT ruler_id, strip, avg(x) AS mean FROM ticks GROUP BY ALL), r AS MATERIALIZED (SELECT ruler_id, strip, unit, mean * factor / divisor AS cm, floor(mean * factor / divisor / 5.005) AS bucket FROM s, u),
+  near AS MATERIALIZED (SELECT ruler_id, strip, unit, cm, unnest([bucket - 1, bucket, bucket + 1]) AS bucket FROM r)
+  SELECT a.ruler_id, a.strip AS strip_a, a.unit AS unit_a, round(a.cm, 6) AS cm_a, b.strip AS strip_b, b.unit AS unit_b, round(b.cm, 6) AS cm_b FROM r a JOIN near b USING (ruler_id, bucket)
   WHERE (a.strip < b.strip OR (a.strip = b.strip AND a.unit < b.unit)) AND abs(a.cm - b.cm) < 5""", ("ticks",))
 def jn19_consistent_spacings(spark, sf_dir):
     units = spark.createDataFrame(UNITS, "unit string, factor int, divisor double")
@@ -157,9 +152,6 @@ def jn19_consistent_spacings(spark, sf_dir):
     return L.consistent_spacings(spacings, units).withColumns({c: F.round(c, 6) for c in ("cm_a", "cm_b")})
 
 
-R.also("jn19_consistent_spacings_whole", "jn19_consistent_spacings")
-
-
 @R.add(f"""WITH {_POINTS}, q AS (SELECT a.component, a.seq, b.seq AS ref_seq, b.x AS bx, b.y AS byy, (a.x - b.x) ** 2 + (a.y - b.y) ** 2 AS d2 FROM p a JOIN p b USING (component) WHERE a.seq < 16 AND b.seq >= 16)
   SELECT component, seq, ref_seq, round(sqrt(d2), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY component, seq ORDER BY d2, ref_seq) AS rn FROM q) WHERE rn = 1""")
 def jn20_nearest_point(spark, sf_dir):
@@ -167,9 +159,6 @@ def jn20_nearest_point(spark, sf_dir):
     return L.nearest_point(all_points.where("seq < 16"), all_points.where("seq >= 16"), "component").withColumn("distance", F.round("distance", 6))
 
 
-R.also("jn20_nearest_point_whole", "jn20_nearest_point")
-
-
 @R.add("SELECT filename, cls, score, NULL AS confidence FROM detections UNION ALL SELECT filename, NULL, NULL, confidence FROM ruler_records", ("detections", "ruler_records"))
 def so01_stacked(spark, sf_dir):
     return L.stacked(view(spark, sf_dir, "detections").select("filename", "cls", "score"), view(spark, sf_dir, "ruler_records").select("filename", "confidence"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from traitloom.functions import naming as N
 from traitloom.operators import filters as X
+from traitloom.operators import linkage as L
 
 from ._register import Registry
 from .views import view
@@ -64,11 +65,18 @@ def prj07_name_parts(spark, sf_dir):
     return names.select(F.col("id").alias("row_id"), *[c.alias(k) for k, c in N.name_parts(F.col("filename_image")).items()])
 
 
-@R.add("""SELECT p_partkey, CASE WHEN n > 1 THEN v || '_' || CAST(n - 1 AS VARCHAR) ELSE v END AS valid_name FROM (
-  SELECT p_partkey, v, row_number() OVER (PARTITION BY v ORDER BY p_partkey) AS n FROM (SELECT p_partkey, regexp_replace(p_brand, '[^a-zA-Z0-9_-]', '-', 'g') AS v FROM part))""")
+# every third name looks like a cleaned and numbered one from the start
+@R.add(r"""WITH f AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN regexp_replace(p_brand, '[^a-zA-Z0-9_-]', '-', 'g') || '_' || CAST(p_partkey % 40 AS VARCHAR) ELSE p_brand END AS name FROM part),
+  c AS (SELECT p_partkey, name, regexp_replace(name, '[^a-zA-Z0-9_-]', '-', 'g') AS v FROM f),
+  t AS (SELECT p_partkey, v, row_number() OVER (PARTITION BY v ORDER BY v <> name, p_partkey) - 1 AS r FROM c),
+  taken AS (SELECT regexp_extract(v, '^(.*)_([1-9][0-9]*)$', 1) AS v, CAST(regexp_extract(v, '^(.*)_([1-9][0-9]*)$', 2) AS BIGINT) AS number FROM (SELECT DISTINCT v FROM c) WHERE regexp_matches(v, '^(.*)_([1-9][0-9]*)$')),
+  gap AS (SELECT v, number - row_number() OVER (PARTITION BY v ORDER BY number) + 1 AS g FROM taken)
+  SELECT p_partkey, CASE WHEN r = 0 THEN v ELSE v || '_' || CAST(r + (SELECT count(*) FROM gap WHERE gap.v = t.v AND g <= r) AS VARCHAR) END AS valid_name FROM t""")
 def prj08_unique_file_names(spark, sf_dir):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand")
-    return N.unique_file_names(part, "p_brand", ["p_partkey"]).select("p_partkey", "valid_name")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    natural = F.concat(F.regexp_replace("p_brand", "[^a-zA-Z0-9_-]", "-"), F.lit("_"), (F.col("p_partkey") % 40).cast("string"))
+    files = part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, natural).otherwise(F.col("p_brand")).alias("name"))
+    return L.unique_file_names(files, "name", ["p_partkey"]).select("p_partkey", "valid_name")
 
 
 @R.add("SELECT component, image_height * image_width / 1e6 AS mp, round(image_height * image_width / 1e6, 1) AS mp_rounded FROM conversion_training", ("conversion_training",))
