@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 
 from ._common import cut
 
+#: The largest score; none is below its negative.
+TOP = 2**63 - 1
+_MOST = 1.7976931348623157e308
+
 
 def _pack(rows: int, numbers: tuple[str, ...]):
     """Rows as blocks of at most ``rows``: each of ``numbers`` as one binary, the vectors as a zero-padded matrix."""
@@ -53,11 +57,36 @@ def _scores(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     dim = min(q.shape[1], c.shape[1])
     q, c = q[:, :dim], c[:, :dim]
     bound = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * dim
-    if bound < 2**52:
-        s = (q @ c.T).astype(np.int64)
-    else:  # beyond what doubles add exactly
-        s = np.array(q.astype(np.int64).astype(object) @ c.astype(np.int64).astype(object).T, dtype=np.int64).reshape(len(q), len(c))
-    return q_ids, c_ids, s
+    return q_ids, c_ids, (q @ c.T).astype(np.int64) if bound < 2**52 else _large(q, c)
+
+
+def _large(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products beyond what doubles add exactly, held at the ends of the long range.
+
+    Sums modulo 2**64 are exact where the true score fits a long.  Whether it
+    does, doubles tell but for a margin of rounding, and there whole numbers do.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        near, size = q @ c.T, np.abs(q) @ np.abs(c).T
+        margin = size * (q.shape[1] + 2) * 2.0**-52
+        s = (_wrapped(q) @ _wrapped(c).T).view(np.int64)
+        outside = np.abs(near) - margin > 2.0**63
+        s[outside] = np.where(near[outside] > 0, TOP, -TOP)
+        unsure = ~outside & ~(np.abs(near) + margin < TOP)
+    for i, j in zip(*np.nonzero(unsure)):
+        s[i, j] = max(-TOP, min(TOP, sum(int(a) * int(b) for a, b in zip(q[i], c[j]))))
+    return s
+
+
+def _wrapped(x: np.ndarray) -> np.ndarray:
+    """Whole numbers modulo 2**64."""
+    low = np.fmod(x, 2.0**64)
+    return np.where(low < 0, np.uint64(0) - np.abs(low).astype(np.uint64), np.abs(low).astype(np.uint64))
+
+
+def _rank(s: np.ndarray) -> np.ndarray:
+    """Longs as unsigned numbers of the same order, whose differences do not overflow."""
+    return s.view(np.uint64) + np.uint64(2**63)
 
 
 def _count(k: int, bins: int):
@@ -71,7 +100,8 @@ def _count(k: int, bins: int):
                 n = min(k, masked.shape[1])
                 best = np.partition(masked, masked.shape[1] - n, axis=1)[:, masked.shape[1] - n :]
                 real = best > np.iinfo(np.int64).min
-                slot = np.clip((best - low[:, None]) // width[:, None], -1, bins)
+                at, ends = _rank(np.ascontiguousarray(best)), _rank(low)[:, None]
+                slot = np.where(at < ends, -1, np.minimum((at - ends) // width.astype(np.uint64)[:, None], np.uint64(bins)).astype(np.int64))
                 q = np.repeat(np.arange(len(q_ids)), n)[real.ravel()]
                 keys, counts = np.unique(q * (bins + 2) + slot.ravel()[real.ravel()] + 1, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -117,16 +147,21 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, bins
     null vec_id takes no part.  Empty vectors score 0; vectors of unlike
     lengths are compared over the shorter one.  Rows that repeat a vec_id are
     candidates each on its own, but never for a query of the same id; they ask
-    once, with the least of their vectors in array order.
+    once, with the least of their vectors in array order.  Scores beyond the
+    long range count as its ends (``TOP`` and ``-TOP``), and scaled components
+    beyond the largest double as that.  Other columns are ignored; empty
+    tables, and tables without a query, give an empty result.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
+    whole = lambda v: F.when(F.abs(v) < 2.0**52, F.floor(v).cast("double")).otherwise(F.greatest(F.least(v, F.lit(_MOST)), F.lit(-_MOST)))
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = vectors.where(usable).select(
-        F.col("vec_id").cast("long").alias("id"), is_query.alias("asks"), F.concat(F.transform(x, lambda v: F.floor(v * scale).cast("double")), F.array(F.lit(0.0))).alias("vector")
+        F.col("vec_id").cast("long").alias("id"), is_query.alias("asks"), F.concat(F.transform(x, lambda v: whole(v * scale)), F.array(F.lit(0.0))).alias("vector")
     )
     blocks = cut(rows.select("id", "vector").mapInArrow(_pack(block_rows, ("id",)), "id binary, vectors binary, narrow boolean"))
     norm = rows.select(F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)).alias("n")).first()["n"]
-    top = int(norm or 0) + 1  # no score is larger, by Cauchy and Schwarz
+    top = int(min((norm or 0.0) * (1 + 1e-9) + 1, float(TOP)))  # no score is larger, by Cauchy and Schwarz
+    top = min(top, TOP)
     width = -(-(2 * top + 1) // bins)
     asked = cut(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")))
     groups = asked.count() // query_rows + 1
@@ -138,7 +173,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, bins
         held = counts.withColumn("reached", running).groupBy("query_id").agg(F.max(F.when(F.col("reached") >= k, F.col("bin"))).alias("bin"), F.min("bin").alias("last"))
         held = held.select(F.col("query_id").alias("id"), F.coalesce("bin", "last").alias("bin"))
         narrower = -(-width // bins)
-        states = cut(states.join(held, "id").select("id", "vector", (F.col("low") + F.col("bin") * F.col("width")).alias("low"), F.lit(narrower).cast("long").alias("width")))
+        states = cut(states.join(held, "id").select("id", "vector", (F.col("low").cast("decimal(20,0)") + F.col("bin") * F.col("width").cast("decimal(20,0)")).cast("long").alias("low"), F.lit(narrower).cast("long").alias("width")))
         if width == 1:
             break
         width = narrower
