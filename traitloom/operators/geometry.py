@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from math import pi
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from traitloom.operators.extension import Aggregator, aggregate_by
+
 
 def _int(c: Column) -> Column:
     """Truncation towards zero."""
@@ -122,36 +125,60 @@ def polygon_measures(points: DataFrame, key: str) -> DataFrame:
     )
 
 
-def convex_hulls(points: DataFrame, key: str) -> DataFrame:
-    """Area of the convex hull, by monotone chains over each object's sorted points.
+def hull_of(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Vertices of the convex hull, counter-clockwise from the lowest x; points on an edge are none.
 
-    Only each column's lowest and highest point can be on the hull, which
-    bounds an object's list by its width in distinct x.
+    One pass over the sorted points per side; every point is taken off the stack once at most.
     """
-    ends = points.groupBy(key, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    lists = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("x", "lo", "hi"))).alias("columns"))
+    ordered = sorted(set(points))
+    if len(ordered) < 3:
+        return ordered
 
-    def chain(side: str, sign: int):
-        point = lambda c: F.struct(c["x"].alias("x"), c[side].alias("y"))
-        empty = F.transform(F.slice("columns", 1, 0), point)
+    def side(run):
+        stack: list[tuple[float, float]] = []
+        for p in run:
+            while len(stack) > 1 and (stack[-1][0] - stack[-2][0]) * (p[1] - stack[-2][1]) - (stack[-1][1] - stack[-2][1]) * (p[0] - stack[-2][0]) <= 0:
+                stack.pop()
+            stack.append(p)
+        return stack
 
-        def turn(a, b, c):
-            return sign * ((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+    return side(ordered)[:-1] + side(reversed(ordered))[:-1]
 
-        def drop_last(stack, p):
-            # the longest prefix of the stack whose last turn to p bends the right way
-            keep = F.filter(F.sequence(F.lit(2), F.size(stack)), lambda m: turn(F.get(stack, m - 2), F.get(stack, m - 1), p) > 0)
-            n = F.when(F.size(stack) < 2, F.size(stack)).otherwise(F.coalesce(F.array_max(keep), F.lit(1)))
-            return F.slice(stack, F.lit(1), n)
 
-        return F.aggregate("columns", empty, lambda stack, c: F.concat(drop_last(stack, point(c)), F.array(point(c))))
+class Hull(Aggregator):
+    """The convex hull of points (x, y); the hull of two sets' hulls is the hull of both.
 
-    under = lambda hull: F.aggregate(
-        F.sequence(F.lit(1), F.size(hull) - 1), F.lit(0.0), lambda acc, i: acc + (F.get(hull, i)["x"] - F.get(hull, i - 1)["x"]) * (F.get(hull, i)["y"] + F.get(hull, i - 1)["y"]) / 2
-    )
-    hulls = lists.select(key, chain("lo", 1).alias("lower"), chain("hi", -1).alias("upper"))
-    area = lambda c: F.when(F.size(c) > 1, under(F.col(c))).otherwise(F.lit(0.0))
-    return hulls.select(key, (area("upper") - area("lower")).alias("convex_hull"))
+    Rows with a null coordinate do not count.
+    """
+
+    state = result = "x array<double>, y array<double>"
+
+    def reduce(self, rows: pa.Table) -> dict:
+        rows = rows.select(["x", "y"]).drop_null()
+        ends = rows.group_by("x", use_threads=False).aggregate([("y", "min"), ("y", "max")]).to_pydict()
+        found = hull_of([(float(x), float(y)) for x, *both in zip(ends["x"], ends["y_min"], ends["y_max"]) for y in both])
+        return {"x": [p[0] for p in found], "y": [p[1] for p in found]}
+
+    def merge(self, states: pa.Table) -> dict:
+        found = hull_of([p for x, y in zip(states["x"].to_pylist(), states["y"].to_pylist()) for p in zip(x, y)])
+        return {"x": [p[0] for p in found], "y": [p[1] for p in found]}
+
+    def finish(self, state: dict) -> dict:
+        return state
+
+
+def hull_points(points: DataFrame, key: str) -> DataFrame:
+    """The hull's vertices of every object (key, x, y), in order round it."""
+    hulls = aggregate_by(points.select(key, "x", "y"), [key], Hull())
+    return hulls.select(key, F.explode(F.arrays_zip("x", "y")).alias("_p")).select(key, "_p.x", "_p.y")
+
+
+def convex_hulls(points: DataFrame, key: str) -> DataFrame:
+    """Area of the convex hull: partial hulls of what each task reads, and the hull of these."""
+    hulls = aggregate_by(points.select(key, "x", "y"), [key], Hull())
+    ahead = lambda c: F.concat(F.slice(c, F.lit(2), F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 1, 1))
+    cross = F.zip_with(F.arrays_zip("x", "y"), F.arrays_zip(ahead("x").alias("x"), ahead("y").alias("y")), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    return hulls.select(key, (F.aggregate(cross, F.lit(0.0), lambda n, v: n + v) / 2).alias("convex_hull"))
 
 
 def convexity(area: Column, hull: Column) -> dict[str, Column]:
@@ -170,11 +197,12 @@ def smallest_box(points: DataFrame, key: str, centre: DataFrame) -> DataFrame:
     """Box with the largest long side over all whole-degree rotations about the centroid.
 
     ``centre`` has the key, cx and cy.  Rotated points are truncated, as
-    pixels are; ties go to the smallest angle.
+    pixels are; ties go to the smallest angle.  Truncation keeps the order of
+    coordinates, so only the hull's vertices are rotated.
     """
     angle = F.radians(F.col("angle").cast("double"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    rotated = points.join(centre.select(key, "cx", "cy"), key).withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(180))))
+    rotated = hull_points(points, key).join(centre.select(key, "cx", "cy"), key).withColumn("angle", F.explode(F.sequence(F.lit(0), F.lit(180))))
     rotated = rotated.select(key, "angle", _int(F.col("cx") + F.cos(angle) * dx - F.sin(angle) * dy).alias("rx"), _int(F.col("cy") + F.sin(angle) * dx + F.cos(angle) * dy).alias("ry"))
     sides = rotated.groupBy(key, "angle").agg((F.max("rx") - F.min("rx") + 1).alias("a"), (F.max("ry") - F.min("ry") + 1).alias("b"))
     best = sides.groupBy(key).agg(F.max(F.struct(F.greatest("a", "b").alias("long"), (-F.col("angle")).alias("turn"), F.least("a", "b").alias("short"))).alias("m"))

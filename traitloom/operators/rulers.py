@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from traitloom.operators.filters import first_rows
+from traitloom.operators.quantiles import exact_quantiles
 
 # Units with the parts of their system's base unit they count, and the system's divisor.
 UNITS = (
@@ -49,7 +52,7 @@ def geometric_spacing(gaps: DataFrame, keys: list[str]) -> DataFrame:
 
 def trimmed(df: DataFrame, keys: list[str], value: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
     """Rows strictly inside the quantiles widened by their distance; quantiles are exact."""
-    cuts = df.groupBy(*keys).agg(F.percentile(value, low).alias("_lo"), F.percentile(value, high).alias("_hi"))
+    cuts = exact_quantiles(df, keys, value, {"_lo": low, "_hi": high})
     width = F.col("_hi") - F.col("_lo")
     inside = (F.col(value) > F.col("_lo") - width) & (F.col(value) < F.col("_hi") + width)
     return df.join(cuts, keys).where(inside).drop("_lo", "_hi")
@@ -213,3 +216,73 @@ def two_clusters(df: DataFrame, key: str, value: str) -> DataFrame:
     gain = F.col("_s") ** 2 / F.col("_n") + (F.col("_total") - F.col("_s")) ** 2 / (F.col("_all") - F.col("_n"))
     cuts = sums.where((F.col("_n") < F.col("_all")) & (F.col("_next") > F.col(value))).groupBy(key).agg(F.max(F.struct(F.round(gain, 6).alias("g"), (-F.col(value)).alias("v"))).alias("_cut"))
     return df.join(cuts, key, "left").withColumn("low", F.coalesce(F.col(value) <= -F.col("_cut.v"), F.lit(True))).drop("_cut")
+
+
+def _segments(values: np.ndarray, weights: np.ndarray, k: int) -> list[int]:
+    """Last index of every cluster of the exact one-dimensional k-means of sorted values.
+
+    The least squares of the first j values in c clusters follow from prefix
+    sums and the least squares in c - 1.  The best last cut moves up with j, so
+    the middle j's cut bounds those of both halves: k n log n steps.  Equal
+    squares take the lower cut.
+    """
+    n, k = len(values), min(k, len(values))
+    w, s, q = (np.append(0.0, np.cumsum(x)) for x in (weights, weights * values, weights * values**2))
+
+    def squares(i, j):
+        """Within-cluster squares of values i up to j, both included."""
+        total = w[j + 1] - w[i]
+        return q[j + 1] - q[i] - (s[j + 1] - s[i]) ** 2 / total
+
+    best = squares(np.zeros(n, int), np.arange(n))
+    cuts = []
+    for c in range(1, k):
+        now, cut = np.full(n, np.inf), np.zeros(n, int)
+        todo = [(c, n - 1, c, n - 1)]
+        while todo:
+            low, high, first, last = todo.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            i = np.arange(first, min(last, j) + 1)
+            cost = np.round(best[i - 1] + squares(i, np.full(len(i), j)), 6)
+            at = int(np.argmin(cost))
+            now[j], cut[j] = best[i[at] - 1] + squares(i[at], j), i[at]
+            todo += [(low, j - 1, first, i[at]), (j + 1, high, i[at], last)]
+        cuts.append(cut)
+        best = now
+    ends, j = [n - 1], n - 1
+    for cut in reversed(cuts):
+        j = int(cut[j]) - 1
+        ends.append(j)
+    return ends[::-1]
+
+
+def k_clusters(df: DataFrame, key: str, value: str, k: str) -> DataFrame:
+    """Exact one-dimensional k-means per group: the partition with the least within-cluster squares.
+
+    ``k`` names a column with the group's number of clusters (the largest of a
+    group counts); with fewer distinct values, each is a cluster.  Adds cluster
+    (from 0 by rising centre), centre, and dominant (the cluster of most rows,
+    of equal ones the lowest).  Rows with a null value are in no cluster.
+
+    A group's distinct values with their numbers meet in one task, its rows do
+    not; one row of cuts per group meets the rows again.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(value).cast("double").alias("_value")).agg(F.count("*").alias("_n"), F.max(k).alias("_k"))
+    kind = dict(counts.dtypes)["_key"]
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_value")
+        values, weights = frame["_value"].to_numpy(), frame["_n"].to_numpy(float)
+        ends = _segments(values, weights, max(int(frame["_k"].max()), 1))
+        begins = [0, *(e + 1 for e in ends[:-1])]
+        sizes = np.array([weights[a : b + 1].sum() for a, b in zip(begins, ends)])
+        centres = [float((weights[a : b + 1] * values[a : b + 1]).sum() / size) for a, b, size in zip(begins, ends, sizes)]
+        return pd.DataFrame({"_key": frame["_key"].iloc[:1], "_ends": [[float(values[e]) for e in ends]], "_centres": [centres], "_most": [int(sizes.argmax())]})
+
+    cuts = counts.groupBy("_key").applyInPandas(cut, f"_key {kind}, _ends array<double>, _centres array<double>, _most int")
+    rows = df.join(cuts, F.col(key).eqNullSafe(F.col("_key")), "left")
+    cluster = F.when(F.col(value).isNotNull(), F.size(F.filter("_ends", lambda e: e < F.col(value))))
+    rows = rows.withColumn("cluster", cluster)
+    return rows.withColumns({"centre": F.get("_centres", F.col("cluster")), "dominant": F.col("cluster") == F.col("_most")}).drop("_key", "_ends", "_centres", "_most")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traitloom.operators.quantiles import exact_quantiles
 
 def counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -23,9 +24,14 @@ def spread(df: DataFrame, key: str, one: str, two: str) -> DataFrame:
 
 
 def medians(df: DataFrame, key: str, values: list[str], accuracy: int | None = None) -> DataFrame:
-    """Medians per group: exact, which keeps a group's distinct values together, or to a rank error of 1 / ``accuracy`` in bounded memory."""
-    median = (lambda v: F.percentile(v, 0.5)) if accuracy is None else (lambda v: F.percentile_approx(v, 0.5, accuracy))
-    return df.groupBy(key).agg(*[median(v).alias(f"median_{v}") for v in values])
+    """Medians per group: exact, or to a rank error of 1 / ``accuracy`` in one pass; null for a group without values."""
+    if accuracy is not None:
+        return df.groupBy(key).agg(*[F.percentile_approx(v, 0.5, accuracy).alias(f"median_{v}") for v in values])
+    out = df.select(F.col(key).alias("_key")).distinct()
+    for v in values:
+        found = exact_quantiles(df, [key], v, {f"median_{v}": 0.5}).withColumnRenamed(key, "_of")
+        out = out.join(found, F.col("_key").eqNullSafe(F.col("_of")), "left").drop("_of")
+    return out.withColumnRenamed("_key", key)
 
 
 def anova(df: DataFrame, key: str, value: str) -> DataFrame:

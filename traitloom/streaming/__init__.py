@@ -1 +1,11 @@
+"""Structured Streaming jobs.
 
+Classes that run in Python workers are pickled by value, so executors need no
+copy of the package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
