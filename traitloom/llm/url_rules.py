@@ -12,15 +12,18 @@ A URL of many tokens that occurs often has exponentially many frequent
 combinations, nearly all of which say nothing new.  What says nothing new is
 taken away before the search, without loss: single tokens are counted exactly
 by an aggregation, and those whose rows all have one label need no company;
-tokens that occur in exactly the same rows are one item.  Of what is left, a
-row brings its ``WIDEST`` most telling items to the search, and combinations
-of up to ``LONGEST`` are rules; support and confidence of the found
-combinations are then counted over all rows and all tokens.
+tokens that occur in exactly the same rows are one item; an item of all rows
+tells nothing.  Where rows still have more than ``WIDEST`` items, the search
+goes on in projections: the rows that hold an item, with the more frequent
+items beside it.  More says nothing new there, and is taken away again: after
+two or three items, a hot URL's others are mostly in all rows.
+Every combination belongs to one projection, so none is lost.  All projections
+of one depth are handled by the same jobs.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -36,10 +39,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Tokens that a mined rule has at most.
-LONGEST = 4
-#: Items that one labelled row brings to the search at most, after those that need no company are gone.
-WIDEST = 12
+#: Items of a row up to which FP-growth searches a projection; wider ones are projected further.  Rules do not depend on it.
+WIDEST = 10
 _LABEL = "="  # no token holds it
 _COPIES = 10_000  # of one token set that one row is spread to
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,11 +79,11 @@ def tokens_of(url: Column) -> Column:
 
 
 def _counted(sets: DataFrame, sought: DataFrame) -> DataFrame:
-    """(rule, tokens, n, bad): rows of ``sets(set_id, tokens, n, bad)`` that hold all tokens of each combination."""
+    """(tokens, n, bad): rows of ``sets(set_id, tokens, n, bad)`` that hold all tokens of each combination."""
     index = sought.select("rule", F.size("tokens").alias("needed"), F.explode("tokens").alias("token"))
     met = sets.select("set_id", "n", "bad", F.explode("tokens").alias("token")).join(index, "token")
     whole = met.groupBy("set_id", "rule", "needed").agg(F.count("*").alias("met"), F.first("n").alias("n"), F.first("bad").alias("bad")).where("met = needed")
-    return sought.join(whole.groupBy("rule").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "rule")
+    return sought.join(whole.groupBy("rule").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "rule").select("tokens", "n", "bad")
 
 
 def _rules(counted: DataFrame, rows: int, support: float, confidence: float, least: int) -> DataFrame:
@@ -92,57 +93,92 @@ def _rules(counted: DataFrame, rows: int, support: float, confidence: float, lea
     return out.where((F.col("hits") >= least) & (F.col("hits") >= support * rows) & (F.col("confidence") >= confidence)).select("rule", "verdict", "tokens", "confidence", (F.col("hits") / rows).alias("support"))
 
 
+def _named(tokens: Column) -> Column:
+    """One text for a combination; spaces in tokens are escaped, so that no two share it."""
+    return F.array_join(F.transform(tokens, lambda t: F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit(" "), F.lit("\\ "))), " ")
+
+
 def _pruned(rules: DataFrame) -> DataFrame:
-    """Rules without those that a rule on fewer of their tokens makes needless: it says the same at the same confidence or better."""
-    parts = [F.array_compact(F.array(*[F.get("tokens", F.lit(i)) for i in places])) for n in range(1, LONGEST) for places in combinations(range(LONGEST), n)]
-    inner = rules.where(F.size("tokens") > 1).select("rule", "verdict", F.col("confidence").alias("own"), F.size("tokens").alias("size"), F.explode(F.array_distinct(F.array(*parts))).alias("part"))
-    inner = inner.where((F.size("part") > 0) & (F.size("part") < F.col("size"))).select("rule", "verdict", "own", F.array_join("part", " ").alias("short"))
-    short = rules.select(F.col("rule").alias("short"), "verdict", F.col("confidence").alias("reached"))
-    return rules.join(inner.join(short, ["short", "verdict"]).where("reached >= own").select("rule", "verdict"), ["rule", "verdict"], "left_anti")
+    """Rules without those that a rule on fewer of their tokens makes needless: it says the same at the same confidence or better.
+
+    A rule is looked up under the one of its tokens that fewest rules hold.
+    """
+    tokens = rules.select("rule", "verdict", "tokens", "confidence", F.explode("tokens").alias("token"))
+    use = tokens.groupBy("token").agg(F.count("*").alias("uses"))
+    rare = tokens.join(use, "token").groupBy("rule", "verdict").agg(F.min_by("token", F.struct("uses", "token")).alias("token"), F.first("tokens").alias("part"), F.first("confidence").alias("reached"))
+    met = tokens.join(rare.select("verdict", "token", "part", "reached"), ["token", "verdict"])
+    needless = met.where((F.size("part") < F.size("tokens")) & (F.col("reached") >= F.col("confidence")) & (F.size(F.array_intersect("part", "tokens")) == F.size("part")))
+    return rules.join(needless.select("rule", "verdict").distinct(), ["rule", "verdict"], "left_anti")
+
+
+def _projected(rows: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """One depth of the search in ``rows(prefix, set_id, n, bad, items)``: exact counts (tokens, n, bad) of prefixes with
+    one more item, and the rows with the items that can still tell something beside others, most frequent first."""
+    each = rows.select("prefix", "set_id", "n", "bad", F.explode("items").alias("token"))
+    whole = rows.groupBy("prefix").agg(F.sum("n").alias("whole"))
+    tokens = each.groupBy("prefix", "token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("mark"))
+    tokens = cut(tokens.where(F.greatest(F.col("bad"), F.col("n") - F.col("bad")) >= least).join(whole, "prefix"))
+    alike = F.when(F.size("prefix") == 0, F.struct("bad", "mark"))  # tokens of the same rows are one item, in the whole table only
+    telling = tokens.where("bad > 0 and bad < n and n < whole").groupBy("prefix", "n", alike.alias("alike"), F.when(F.size("prefix") > 0, F.col("token")).alias("own"))
+    telling = telling.agg(F.min("token").alias("token"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("all")).alias("a"), "token")))
+    items = each.join(telling.select("prefix", "token", F.col("n").alias("all")), ["prefix", "token"])
+    left = items.groupBy("prefix", "set_id").agg(F.first("n").alias("n"), F.first("bad").alias("bad"), order["token"].alias("items"))
+    return tokens.select(F.array_sort(F.array_append("prefix", F.col("token"))).alias("tokens"), "n", "bad"), cut(left.where(F.size("items") > 1))
+
+
+def _transactions(rows: DataFrame) -> DataFrame:
+    """A row of items per labelled URL, as FP-growth knows no weights; items carry their prefix, so that projections stay apart."""
+    label = lambda said: F.concat("marked", F.array(F.lit(_LABEL + said)))
+    prefix = F.col("prefix")
+    marked = rows.withColumn("marked", F.transform("items", lambda t: F.to_json(F.struct(prefix.alias("prefix"), t.alias("token")))))
+    both = marked.select(F.col("bad").alias("copies"), label("block").alias("items")).unionAll(marked.select(F.col("n") - F.col("bad"), label("allow")))
+    # blocks keep one set's copies apart
+    block = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / _COPIES)))
+    spread = both.where("copies > 0").select("items", "copies", block.alias("block")).repartition(F.col("items"), F.col("block"))
+    return cut(spread.select("items", F.explode(F.sequence(F.lit(1), F.least(F.lit(_COPIES), F.col("copies") - F.col("block") * _COPIES))).alias("nth")).select("items"))
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.9, least: int = 10) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.9, least: int = 10, widest: int = WIDEST) -> DataFrame:
     """Pruned rules (rule, verdict, tokens, confidence, support) from ``labelled(tokens, label)``.
 
     Labels are ``allow`` and ``block``; ``support`` is a share of the labelled
     rows, and of at least ``least`` rows.  A rule is dropped where a rule on
     fewer of its tokens says the same at the same confidence or better.
 
-    Rules on one token are complete.  Rules on up to ``LONGEST`` are so for
-    rows of up to ``WIDEST`` items; an item stands for all tokens that occur in
-    the same rows, and rules name the first of these in code point order.  Null
-    labels and rows without tokens teach nothing; an empty table gives no rules.
+    Rules are complete, however many tokens they or rows have, and do not
+    depend on ``widest``.  Of tokens that occur in exactly the same rows, rules
+    of several tokens name the first in code point order.  Null labels and rows
+    without tokens teach nothing; an empty table gives no rules.
     """
     rows = labelled.where("label is not null").select(F.array_sort(F.array_distinct("tokens")).alias("tokens"), (F.col("label") == "block").cast("long").alias("bad"))
     sets = rows.groupBy("tokens").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     sets = cut(sets.select(F.xxhash64("tokens").alias("set_id"), "tokens", "n", "bad"))
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    support = min(1.0, max(support, least / max(1, total)))
-
-    each = sets.select("set_id", "n", "bad", F.explode("tokens").alias("token"))
-    mark = F.sum(F.xxhash64("set_id").cast("decimal(20,0)"))
-    tokens = cut(each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), mark.alias("mark")).where(F.col("n") >= support * total))
-    single = _rules(tokens.select(F.col("token").alias("rule"), F.array("token").alias("tokens"), "n", "bad"), total, support, confidence, least)
-    telling = F.greatest("bad", F.col("n") - F.col("bad")) / F.col("n")
-    items = cut(tokens.where("bad > 0 and bad < n").groupBy("n", "bad", "mark").agg(F.min("token").alias("token")).select("token", telling.alias("telling"), "n"))
-
-    order = F.array_sort(F.collect_list(F.struct((-F.col("telling")).alias("a"), (-F.col("n")).alias("b"), "token")))
-    few = each.select("set_id", "token").join(items, "token").groupBy("set_id").agg(F.slice(order, 1, WIDEST)["token"].alias("items"))
-    few = cut(sets.select("set_id", "n", "bad").join(few.where(F.size("items") > 1), "set_id"))
-    label = lambda said: F.concat("items", F.array(F.lit(_LABEL + said)))
-    both = few.select(F.col("bad").alias("copies"), label("block").alias("items")).unionAll(few.select(F.col("n") - F.col("bad"), label("allow")))
-    # a row per labelled URL, as FP-growth knows no weights; blocks keep one set's copies apart
-    block = F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / _COPIES)))
-    spread = both.where("copies > 0").select("items", "copies", block.alias("block")).repartition(F.col("items"), F.col("block"))
-    transactions = cut(spread.select("items", F.explode(F.sequence(F.lit(1), F.least(F.lit(_COPIES), F.col("copies") - F.col("block") * _COPIES))).alias("nth")).select("items"))
+    hits = max(least, ceil(support * total - 1e-9))
+
+    counted, ready, depth = None, None, sets.select(F.array().cast("array<string>").alias("prefix"), "set_id", "n", "bad", F.col("tokens").alias("items"))
+    while True:
+        single, left = _projected(depth, hits)
+        counted = single if counted is None else counted.unionByName(single)
+        wide = left.groupBy("prefix").agg(F.max(F.size("items")).alias("width")).where(F.col("width") > widest).select("prefix")
+        narrow = left.join(wide, "prefix", "left_anti")
+        ready = narrow if ready is None else ready.unionByName(narrow)
+        at = F.posexplode("items").alias("at", "last")
+        depth = left.join(wide, "prefix", "left_semi").select("prefix", "set_id", "n", "bad", "items", at).where("at > 0")
+        depth = cut(depth.select(F.array_append("prefix", F.col("last")).alias("prefix"), "set_id", "n", "bad", F.expr("slice(items, 1, at)").alias("items")))
+        if depth.isEmpty():
+            break
+    transactions = _transactions(ready)
     there = transactions.count()
-    if not there:
-        return _pruned(single)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * total / there), minConfidence=0.0).fit(transactions)
-    found = model.freqItemsets.select(F.array_sort(F.filter("items", lambda t: ~t.startswith(_LABEL))).alias("tokens"), "items")
-    found = found.where((F.size("tokens") < F.size("items")) & F.size("tokens").between(2, LONGEST)).select("tokens").distinct()
-    combined = _counted(sets, cut(found.select(F.array_join("tokens", " ").alias("rule"), "tokens")))
-    return _pruned(cut(single.unionByName(_rules(combined, total, support, confidence, least))))
+    if there:
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, (hits - 0.5) / there), minConfidence=0.0).fit(transactions)
+        marks = F.transform(F.filter("items", lambda t: ~t.startswith(_LABEL)), lambda t: F.from_json(t, "prefix array<string>, token string"))
+        found = model.freqItemsets.select(marks.alias("marks"), "items").where((F.size("marks") < F.size("items")) & (F.size("marks") > 1))
+        found = found.select(F.array_sort(F.concat(F.col("marks")[0]["prefix"], F.col("marks")["token"])).alias("tokens")).distinct()
+        counted = counted.unionByName(_counted(sets, cut(found.select(_named(F.col("tokens")).alias("rule"), "tokens"))))
+    named = counted.withColumn("rule", _named(F.col("tokens"))).dropDuplicates(["rule"])
+    return _pruned(cut(_rules(named, total, support, confidence, least)))
 
 
 def fire(urls: DataFrame, rules: DataFrame) -> DataFrame:
