@@ -1,18 +1,20 @@
 """Edges of the corpus operators: hot rows, planted cases, ties, clashing columns, executors without the package."""
 
 import base64
-import os
+import pickle
 import random
 import string
 import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from traitloom.llm import crf_langid, entropy_mix, license_scan, markov_secrets, sp_lattice, topk_search, url_rules, wav_media
+from traitloom.llm import crf_langid, entropy_mix, lexical_search, license_scan, markov_secrets, sp_lattice, token_alignment, topk_search, url_rules, wav_media
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,25 +23,65 @@ SF = "/root/testdata/sf0.001"
 
 
 ELSEWHERE = """
-import sys
-sys.path.insert(0, {repo!r})
-from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {shared!r}).getOrCreate()
-from traitloom.llm import crf_langid, sp_lattice
-docs = spark.createDataFrame([(i, w, l) for i, (w, l) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20)], "doc_id long, text string, lang string")
-assert crf_langid.identify(docs, crf_langid.train(docs)).where("lang_pred <> 'und'").count() == 40
-assert sp_lattice.round_trip(docs).join(docs.withColumnRenamed("text", "was"), "doc_id").where("text = was").count() == 40
-assert sp_lattice.decode(sp_lattice.encode(docs)).count() == 40
-print("whole")
+import pickle, sys
+import pyarrow as pa
+from pyspark.core import broadcast
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+with open(sys.argv[1], "rb") as f:
+    shared, calls = pickle.load(f)
+broadcast._broadcastRegistry.update({i: Held(pickle.loads(v)) for i, v in shared.items()})
+for name, function, rows in calls:
+    got = list(pickle.loads(function)(iter(pa.ipc.open_stream(rows).read_all().to_batches())))
+    print(name, sum(b.num_rows for b in got))
+assert not [m for m in sys.modules if m.startswith("traitloom")]
 """
 
 
-def test_executors_need_no_package(tmp_path):
-    script = tmp_path / "job.py"
-    script.write_text(ELSEWHERE.format(repo=os.getcwd(), shared=str(tmp_path)))
-    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
-    assert "whole" in done.stdout, done.stderr[-2000:]
+def shipped(spark, monkeypatch, jobs):
+    """What jobs send to Python workers: functions and broadcast values as they are pickled, and the rows they get."""
+    calls, shared, kind = [], {}, type(spark.range(0))
+    plain = kind.mapInArrow
+
+    def kept(self, function, *rest, **named):
+        pickled = cloudpickle.dumps(function)
+        for b in spark.sparkContext._pickled_broadcast_vars:
+            shared[b._jbroadcast.id()] = cloudpickle.dumps(b.value)
+        spark.sparkContext._pickled_broadcast_vars.clear()
+        rows = self.toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        calls.append((function.__qualname__, pickled, sink.getvalue().to_pybytes()))
+        return plain(self, function, *rest, **named)
+
+    with monkeypatch.context() as patched:
+        patched.setattr(kind, "mapInArrow", kept)
+        jobs()
+    return shared, calls
+
+
+def test_workers_need_no_package(spark, monkeypatch, tmp_path):
+    rows = [(i, w, x) for i, (w, x) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    items = docs.limit(2).selectExpr("doc_id AS item_id", "text")
+
+    def jobs():
+        crf_langid.identify(docs, crf_langid.train(docs)).count()
+        sp_lattice.round_trip(docs).count()
+        sp_lattice.decode(sp_lattice.encode(docs)).count()
+        token_alignment.score_links(token_alignment.align(docs)).count()
+        lexical_search.search(docs, items).count()
+
+    sent = tmp_path / "calls"
+    shared, calls = shipped(spark, monkeypatch, jobs)
+    sent.write_bytes(pickle.dumps((shared, calls)))
+    done = subprocess.run([sys.executable, "-I", "-c", ELSEWHERE, str(sent)], cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert len(calls) >= 8 and len(done.stdout.splitlines()) == len(calls)
 
 
 # language identification

@@ -172,20 +172,20 @@ def _cell(value: Column, bounds: list[float]) -> Column:
 
 
 def learn(labelled: DataFrame, precision: float = 0.95, least: int = 10, longest: int = 4) -> list[list[Literal]]:
-    """A decision list for the rows to drop, from ``labelled``: the counts and ``bad`` (boolean).
+    """A decision list for the rows to drop, from ``labelled``: doc_id, the counts and ``bad`` (boolean).
 
     A rule has up to ``longest`` literals, covers ``least`` wanted rows in both
     parts together, and reaches ``precision`` in both.  A literal's bound lies midway between
     neighbours among ``CELLS`` quantiles of its statistic.  Rows whose label is null teach nothing; without rows, or
-    without rows of either kind, the list is empty.  A third of the rows, by a hash of the
-    counts, prunes and the others grow, so that repeated rows are on one side.
+    without rows of either kind, the list is empty.  A third of the rows, by a hash of doc_id,
+    prunes and the others grow.
     """
     stats = statistics()
     names = list(stats)
-    prunes = F.pmod(F.xxhash64(*COUNTS), F.lit(3)) == 0
-    # labels repeat over equal counts: one weighted row for each
-    rows = labelled.where("bad is not null").groupBy(*COUNTS).agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n"))
-    rows = cut(rows.select("p", "n", prunes.alias("prunes"), *[c.alias(k) for k, c in stats.items()]))
+    prunes = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(3)) == 0
+    # equal counts become one weighted row on either side
+    rows = labelled.where("bad is not null").groupBy(prunes.alias("prunes"), *COUNTS).agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n"))
+    rows = cut(rows.select("p", "n", "prunes", *[c.alias(k) for k, c in stats.items()]))
     asked = [F.percentile_approx(k, [i / CELLS for i in range(CELLS + 1)], 10_000).alias(k) for k in names]
     found = rows.agg(*asked).first()
     bounds = {k: _between(sorted(set(found[k] or []))) for k in names}
