@@ -10,6 +10,8 @@ from traitloom.functions import registered
 from traitloom.operators import extension as E
 from traitloom.operators import judges as J
 from traitloom.operators import rulers as U
+from traitloom.sources import writers as W_
+from traitloom.streaming import retries as Y
 from traitloom.streaming import tracking as K
 
 from ._register import Registry
@@ -156,3 +158,60 @@ def vd14_tracked(spark, sf_dir):
         done = _finished(spark, K.tracked(stream, threshold=0.3, hold=31 * 86_400_000, late="800 days"))
     month = lambda c: (F.year(c) * 12 + F.month(c)).cast("int")
     return done.select("source", month("ts").alias("frame"), "box", month("since").alias("since"), "first_box")
+
+
+@R.add(""", t AS (SELECT id, status, [k FOR k IN [2, 3, 4] IF (id + k) % 4 = 0] AS ok FROM download_log WHERE status = 'retry')
+  SELECT id, CAST(CASE WHEN len(ok) > 0 THEN ok[1] ELSE 4 END AS INTEGER) AS attempts, CASE WHEN len(ok) > 0 THEN 'ok' ELSE 'given_up' END AS action FROM t""", ("download_log",))
+def st04_retried(spark, sf_dir):
+    """Failed downloads offered again until they succeed or have been tried four times; every micro-batch's offers are taken and reported back."""
+    folder = _folder(spark)
+    first = view(spark, sf_dir, "download_log").where("status = 'retry'").select("id", F.lit(1).alias("attempt"), "status")
+    first.write.parquet(f"{folder}/results")
+    asked = first.select("id").distinct().count()
+    results = spark.readStream.schema("id long, attempt int, status string").parquet(f"{folder}/results")
+
+    def take(batch, batch_id):
+        batch = batch.persist()
+        batch.where("action <> 'offer'").write.mode("overwrite").parquet(f"{folder}/ended/batch={batch_id}")
+        offers = batch.where("action = 'offer'")
+        if not offers.isEmpty():
+            took = F.when((F.col("id") + F.col("attempt")) % 4 == 0, "ok").otherwise("retry")
+            offers.select("id", "attempt", took.alias("status")).write.mode("append").parquet(f"{folder}/results")
+        batch.unpersist()
+
+    with K.state_store(spark):
+        stream = Y.retried(results, most=4, delay_ms=0).writeStream.foreachBatch(take).option("checkpointLocation", f"{folder}/state").start()
+    ended = spark.createDataFrame([], Y.OUTPUT)
+    try:
+        while stream.isActive and ended.count() < asked:  # timers keep the stream alive, so it is stopped from here
+            stream.awaitTermination(1)
+            if stream.lastProgress is not None:
+                ended = spark.read.schema(Y.OUTPUT).parquet(f"{folder}/ended")
+    finally:
+        stream.stop()
+    return spark.read.schema(Y.OUTPUT).parquet(f"{folder}/ended").select("id", F.col("attempt").alias("attempts"), "action")
+
+
+@R.add(""", e AS (SELECT 'Ruler' AS entity, filename, CAST(l_linenumber % 3 AS INTEGER) AS batch, CAST(conversion_mean AS VARCHAR) AS value, 16 AS columns FROM ruler_records
+    UNION ALL SELECT 'Measurements', component, CAST(CAST(component AS INTEGER) % 3 AS INTEGER), CAST(area AS VARCHAR), 44 FROM measurements
+    UNION ALL SELECT 'EFD', component, CAST(CAST(component AS INTEGER) % 3 AS INTEGER), '[1.5,2.5]', 58 FROM measurements
+    UNION ALL SELECT 'Landmarks', component, CAST(CAST(component AS INTEGER) % 3 AS INTEGER), CAST(lobes AS VARCHAR), 65 FROM (SELECT component, CAST(component AS INTEGER) % 7 AS lobes FROM measurements))
+  SELECT entity, filename, 'run__' || entity || '__' || CAST(batch + 1 AS VARCHAR) || 'of3.csv' AS file, CASE WHEN entity IN ('Ruler', 'Measurements') THEN CAST(round(CAST(value AS DOUBLE), 6) AS VARCHAR) ELSE value END AS value, columns FROM e""", ("ruler_records", "measurements"))
+def snk01_entity_layouts(spark, sf_dir):
+    """The four batch tables written in their fixed layouts and read back."""
+    folder, out = _folder(spark), None
+    rulers = view(spark, sf_dir, "ruler_records").select("filename", "conversion_mean", (F.col("l_linenumber") % 3).alias("batch"))
+    leaves = view(spark, sf_dir, "measurements").select(F.col("component").alias("filename"), (F.col("component").cast("int") % 3).alias("batch"), "area")
+    tables = {
+        "Ruler": (rulers, "conversion_mean"),
+        "Measurements": (leaves, "area"),
+        "EFD": (leaves.select("filename", "batch", F.array(F.lit(1.5), F.lit(2.5)).alias("coeffs_0")), "coeffs_0"),
+        "Landmarks": (leaves.select("filename", "batch", (F.col("filename").cast("int") % 7).alias("lobe_count")), "lobe_count"),
+    }
+    for entity, (rows, value) in tables.items():
+        W_.write_entity(rows, f"{folder}/{entity}", "run", entity, "batch", 3)
+        found = W_.read_entity(spark, f"{folder}/{entity}", entity)
+        text = F.round(F.col(value).cast("double"), 6).cast("string") if entity in ("Ruler", "Measurements") else F.col(value)
+        found = found.select(F.lit(entity).alias("entity"), "filename", "file", text.alias("value"), F.lit(len(found.columns) - 1).alias("columns"))
+        out = found if out is None else out.unionByName(found)
+    return out
