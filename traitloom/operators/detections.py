@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The plant vocabulary, in class-index order.
@@ -10,6 +10,15 @@ PLANT_CLASSES = (
     "leaf_whole", "leaf_partial", "leaflet", "seed_fruit_one", "seed_fruit_many",
     "flower_one", "flower_many", "bud", "specimen", "roots", "wood",
 )
+# The other vocabularies, in class-index order.
+VOCABULARIES = {
+    "plant": PLANT_CLASSES,
+    "archival": ("ruler", "barcode", "colorcard", "label", "map", "envelope", "photo", "attached_item", "weights"),
+    "prep": ("ruler", "barcode", "colorcard", "label", "map", "envelope", "photo", "attached_item", "weights"),
+    "acacia": ("prickles", "prickles_skip", "spines", "spines_skip"),
+    "landmark": ("apex_angle", "base_angle", "lamina_base", "lamina_tip", "lamina_width", "lobe_tip", "midvein_trace", "petiole_tip", "petiole_trace"),
+    "armature": ("tip", "middle", "outer"),
+}
 FERTILE_CLASSES = ("seed_fruit_one", "seed_fruit_many", "flower_one", "flower_many")
 
 
@@ -26,6 +35,18 @@ def phenology(boxes: DataFrame, image: str = "filename", minimum: int = 0, ideal
     return out.withColumns({"has_leaves": leaves > 0, "is_fertile": fertile})
 
 
+def class_name(cls: Column, vocabulary: str) -> Column:
+    """Name of a class index; ``invalid class`` for an index that the vocabulary lacks, null for null."""
+    names = F.array(*[F.lit(n) for n in VOCABULARIES[vocabulary]])
+    return F.when(cls.isNotNull(), F.coalesce(F.get(names, F.when(cls >= 0, cls).otherwise(F.lit(-1))), F.lit("invalid class")))
+
+
+def class_index(name: Column, vocabulary: str) -> Column:
+    """Class index of a name, A-Z in either case; null for others."""
+    place = F.array_position(F.array(*[F.lit(n) for n in VOCABULARIES[vocabulary]]), F.lower(name)).cast("int") - 1
+    return F.when(place >= 0, place)
+
+
 def crop_box(boxes: DataFrame, image: str, classes: tuple[int, ...], pad: int, width: int, height: int) -> DataFrame:
     """Union of the boxes of some classes per image, padded and clipped to the image."""
     return (
@@ -52,6 +73,18 @@ def label_quality(labels: DataFrame, images: DataFrame, image: str) -> DataFrame
     return images.select(image).join(per, image, "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
+def image_statistics(boxes: DataFrame, images: DataFrame, image: str) -> DataFrame:
+    """Per split: boxes, images, and images without a box; ``images`` has image and split."""
+    counts = boxes.groupBy(image).agg(F.count("*").alias("_boxes"))
+    rows = images.select(image, "split").distinct().join(counts, image, "left")
+    return rows.groupBy("split").agg(F.coalesce(F.sum("_boxes"), F.lit(0)).alias("instances"), F.count("*").alias("images"), F.count_if(F.col("_boxes").isNull()).alias("unlabelled"))
+
+
+def side_distances(x: Column, y: Column, box: dict[str, Column]) -> dict[str, Column]:
+    """Distances of a point to the left, top, right and bottom side of a box; all positive inside."""
+    return {"left": x - box["x1"], "top": y - box["y1"], "right": box["x2"] - x, "bottom": box["y2"] - y}
+
+
 def split_statistics(boxes: DataFrame, images: DataFrame, image: str) -> DataFrame:
     """Per split and class: boxes and images; images have image and split."""
     rows = boxes.join(images, image)

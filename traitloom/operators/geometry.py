@@ -72,10 +72,15 @@ def clipped(box: dict[str, Column], width, height) -> dict[str, Column]:
     return {"x1": cut(box["x1"], width), "y1": cut(box["y1"], height), "x2": cut(box["x2"], width), "y2": cut(box["y2"], height)}
 
 
+# Fixed value: the longest side, in pixels, that counts in a box's area when boxes suppress each other.
+SIDE = 10_000
+
+
 def suppressed(boxes: DataFrame, image: str, order: list, threshold: float, most: int = 50) -> DataFrame:
     """Greedy non-maximum suppression: per image, the kept of its ``most`` best boxes.
 
-    The cap is the operator's own parameter, so an image's fold is short.
+    The cap is the operator's own parameter, so an image's fold is short.  In a
+    box's area, sides count ``SIDE`` pixels at most.
     """
     top = boxes.withColumn("_rn", F.row_number().over(W.partitionBy(image).orderBy(F.desc("score"), *order))).where(F.col("_rn") <= most)
     box = F.struct("_rn", "x1", "y1", "x2", "y2", "score")
@@ -83,7 +88,7 @@ def suppressed(boxes: DataFrame, image: str, order: list, threshold: float, most
 
     def iou(a, b):
         side = lambda k1, k2: F.greatest(F.least(a[k2], b[k2]) - F.greatest(a[k1], b[k1]), F.lit(0)).cast("double")
-        area = lambda s: ((s["x2"] - s["x1"]) * (s["y2"] - s["y1"])).cast("double")
+        area = lambda s: (F.least(s["x2"] - s["x1"], F.lit(SIDE)) * F.least(s["y2"] - s["y1"], F.lit(SIDE))).cast("double")
         inter = side("x1", "x2") * side("y1", "y2")
         return inter / (area(a) + area(b) - inter)
 

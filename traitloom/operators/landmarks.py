@@ -30,6 +30,9 @@ SLOTS_OF_KIND = {
 }
 # The 31 slots of a line with 15 midvein and 5 petiole points.
 SLOT_LINE_31 = tuple(slot for slots in SLOTS_OF_KIND.values() for slot in slots)
+# The same with 30 midvein and 10 petiole points, 51 slots.
+SLOTS_OF_KIND_51 = SLOTS_OF_KIND | {"midvein_trace": tuple(f"midvein_{i}" for i in range(30)), "petiole_trace": tuple(f"petiole_{i}" for i in range(10))}
+SLOT_LINE_51 = tuple(slot for slots in SLOTS_OF_KIND_51.values() for slot in slots)
 
 
 def presence(points: DataFrame, leaf: str = "leaf") -> DataFrame:
@@ -118,10 +121,10 @@ def to_sheet(points: DataFrame, name: str = "component_name") -> DataFrame:
     return points.withColumns({"sheet_x": F.col("x") + shift(0), "sheet_y": F.col("y") + shift(1)})
 
 
-def slotted(points: DataFrame, leaf: str = "leaf") -> DataFrame:
+def slotted(points: DataFrame, leaf: str = "leaf", slots_of_kind: dict[str, tuple[str, ...]] = SLOTS_OF_KIND) -> DataFrame:
     """Points with their kind replaced by its slot, by order of seq within the kind; points beyond a kind's slots are left out."""
     nth = F.row_number().over(W.partitionBy(leaf, "kind").orderBy("seq")) - 1
-    slots = F.coalesce(*[F.when(F.col("kind") == k, F.array(*[F.lit(s) for s in names])) for k, names in SLOTS_OF_KIND.items()])
+    slots = F.coalesce(*[F.when(F.col("kind") == k, F.array(*[F.lit(s) for s in names])) for k, names in slots_of_kind.items()])
     return points.withColumn("_nth", nth).withColumn("kind", F.get(slots, F.col("_nth"))).drop("_nth").where("kind is not null")
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from traitloom.functions import registered
+from traitloom.operators import detections as D
 from traitloom.operators import extension as E
 from traitloom.operators import judges as J
 from traitloom.operators import rulers as U
+from traitloom.sources import readers as S
 from traitloom.sources import writers as W_
 from traitloom.streaming import retries as Y
 from traitloom.streaming import tracking as K
@@ -18,7 +20,7 @@ from ._register import Registry
 from .io_queries import _finished, _folder
 from .metrics_queries import _NEAR, _counts, _distances, _rounded
 from .metrics_queries import ORACLE_SQL as METRICS_SQL
-from .views import view
+from .views import read, view
 
 R = Registry()
 QUERIES, ORACLE_SQL = R.QUERIES, R.ORACLE_SQL
@@ -215,3 +217,77 @@ def snk01_entity_layouts(spark, sf_dir):
         found = found.select(F.lit(entity).alias("entity"), "filename", "file", text.alias("value"), F.lit(len(found.columns) - 1).alias("columns"))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def _vocabularies() -> str:
+    return "v(vocabulary, cls, name) AS (VALUES " + ", ".join(f"('{v}', {i}, '{n}')" for v, names in D.VOCABULARIES.items() for i, n in enumerate(names)) + ")"
+
+
+@R.add(f""", {_vocabularies()}, k AS (SELECT DISTINCT vocabulary FROM v)
+  SELECT filename, l_linenumber, l_partkey, vocabulary, coalesce(name, 'invalid class') AS name, CASE WHEN name IS NOT NULL THEN d.cls END AS back
+  FROM detections d CROSS JOIN k LEFT JOIN v USING (vocabulary, cls)""", ("detections",))
+def prj13_vocabularies(spark, sf_dir):
+    """Class names in every vocabulary, and their indexes again."""
+    boxes, out = view(spark, sf_dir, "detections").select("filename", "l_linenumber", "l_partkey", "cls"), None
+    for vocabulary in D.VOCABULARIES:
+        named = boxes.withColumn("name", D.class_name(F.col("cls"), vocabulary))
+        named = named.select("filename", "l_linenumber", "l_partkey", F.lit(vocabulary).alias("vocabulary"), "name", D.class_index(F.col("name"), vocabulary).alias("back"))
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
+@R.add("""SELECT CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'val' ELSE 'train' END AS split, CAST(coalesce(sum(n), 0) AS BIGINT) AS instances, count(*) AS images, count(*) FILTER (n IS NULL) AS unlabelled
+  FROM (SELECT DISTINCT id FROM occurrence) LEFT JOIN (SELECT filename AS id, count(*) AS n FROM detections WHERE cls > 8 GROUP BY filename) USING (id) GROUP BY 1""", ("occurrence", "detections"))
+def vd03_image_statistics(spark, sf_dir):
+    """Boxes, images and images without a box per split."""
+    images = view(spark, sf_dir, "occurrence").select("id", F.when(F.col("id").cast("long") % 5 == 0, "val").otherwise("train").alias("split"))
+    boxes = view(spark, sf_dir, "detections").where("cls > 8").select(F.col("filename").alias("id"))
+    return D.image_statistics(boxes, images, "id")
+
+
+@R.add("SELECT filename, l_partkey, l_linenumber, 500 - x1 AS left, 400 - y1 AS top, x2 - 500 AS right, y2 - 400 AS bottom FROM pixel_boxes".replace(" left,", ' "left",').replace(" right,", ' "right",'), ("pixel_boxes",))
+def vd13_side_distances(spark, sf_dir):
+    boxes = view(spark, sf_dir, "pixel_boxes")
+    sides = D.side_distances(F.lit(500), F.lit(400), {c: F.col(c) for c in ("x1", "y1", "x2", "y2")})
+    return boxes.select("filename", "l_partkey", "l_linenumber", *[c.alias(k) for k, c in sides.items()])
+
+
+@R.add("SELECT filename, cls, count(*) AS n, round(sum(score), 6) AS score FROM detections WHERE cls < 3 GROUP BY ALL", ("detections",))
+def snk03_per_file(spark, sf_dir):
+    """One folder of JSON per class of file, read back."""
+    path, rows = f"{_folder(spark)}/json", view(spark, sf_dir, "detections").where("cls < 3")
+    found = rows.groupBy("filename", "cls").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("score"))
+    W_.write_per_file(found, path, "cls")
+    return spark.read.schema("filename string, n long, score double, cls int").json(path)
+
+
+# one file per row: Spark writes a folder for each part, whose name stands for the file's
+@R.add("SELECT CAST(p_partkey AS VARCHAR) AS filename, k AS seq, CAST(k + p_size AS DOUBLE) AS x, CAST(k * 2 AS DOUBLE) AS y FROM part, (SELECT unnest(range(0, 3)) AS k) WHERE p_partkey % 50 = 0".replace("k AS seq", "CAST(k AS INTEGER) AS seq"))
+def src09_contours(spark, sf_dir):
+    """Contour files of eleven header lines and three points, each a file of its own."""
+    path = f"{_folder(spark)}/contours"
+    part = read(spark, sf_dir, "part").where("p_partkey % 50 = 0")
+    lines = [F.lit(f"head {i}") for i in range(11)] + [F.concat_ws(",", F.lit(k) + F.col("p_size"), F.lit(2 * k)) for k in range(3)]
+    part.select("p_partkey", F.concat_ws("\n", *lines).alias("value")).repartition("p_partkey").write.partitionBy("p_partkey").text(path)
+    found = S.read_contours(spark, f"{path}/*")
+    return found.select(F.regexp_extract(F.input_file_name(), "p_partkey=([0-9]+)", 1).alias("filename"), "seq", "x", "y")
+
+
+@R.add("SELECT CAST(n_nationkey AS VARCHAR) AS folder, true AS valid FROM nation")
+def src10_image_list(spark, sf_dir):
+    """A folder of files, one per nation, listed with their validity by extension."""
+    path = f"{_folder(spark)}/images"
+    read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    found = S.list_images(spark, path, ("txt",))
+    return found.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).alias("folder"), "valid").where("folder <> ''")
+
+
+@R.add("SELECT component AS filename, CAST(CAST(component AS INTEGER) % 7 AS INTEGER) AS count, 1.5 + CAST(component AS INTEGER) AS x FROM measurements".replace("1.5", "CAST(1.5 AS DOUBLE)"), ("measurements",))
+def src15_ground_truth(spark, sf_dir):
+    """Ground truth of one landmark and split beside another's, picked by the file's name."""
+    path, rows = f"{_folder(spark)}/truth", view(spark, sf_dir, "measurements").withColumn("n", F.col("component").cast("int"))
+    table = rows.select(F.col("component").alias("filename"), (F.col("n") % 7).alias("count"), F.format_string("[[%.1f,2.0]]", F.col("n") + 1.5).alias("locations"))
+    for name in ("tip__train__gt.csv", "tip__test__gt.csv"):
+        table.write.option("header", True).csv(f"{path}/{name}")
+    found = S.read_ground_truth(spark, f"{path}/*", "tip", "train", level=-2)
+    return found.select("filename", "count", F.col("locations")[0][0].alias("x"))

@@ -82,17 +82,32 @@ def fn30_to_sheet(spark, sf_dir):
     return K.to_sheet(_leaf_points(spark, sf_dir).withColumn("component_name", name)).select("leaf", "seq", "sheet_x", "sheet_y")
 
 
-_SLOT_OF = ", ".join(f"({K.SLOT_LINE_31.index(s)}, {K.KINDS.index(k)}, {i})" for k, names in K.SLOTS_OF_KIND.items() for i, s in enumerate(names, 1))
+def _slot_of(line, slots):
+    return ", ".join(f"({line.index(s)}, {K.KINDS.index(k)}, {i})" for k, names in slots.items() for i, s in enumerate(names, 1))
 
 
-@R.add(f"""WITH {_POINTS}, m AS (SELECT component AS leaf, x, y, CAST((seq * 7 + component) % 9 AS INTEGER) AS k, row_number() OVER (PARTITION BY component, (seq * 7 + component) % 9 ORDER BY seq) AS nth FROM p), s(slot, k, nth) AS (VALUES {_SLOT_OF})
-  SELECT leaf, string_agg(coalesce(CAST(x AS BIGINT), 0) || ' ' || coalesce(CAST(y AS BIGINT), 0) || ' ' || CASE WHEN x IS NULL THEN 0 ELSE 2 END, ' ' ORDER BY slot) AS line FROM (SELECT DISTINCT leaf FROM m) CROSS JOIN s LEFT JOIN m USING (leaf, k, nth) GROUP BY leaf""")
+def _lines_sql(line, slots, kind):
+    """Points of a kind, in order, take its slots."""
+    return f"""WITH {_POINTS}, m AS (SELECT component AS leaf, x, y, CAST({kind} AS INTEGER) AS k, row_number() OVER (PARTITION BY component, {kind} ORDER BY seq) AS nth FROM p), s(slot, k, nth) AS (VALUES {_slot_of(line, slots)})
+  SELECT leaf, string_agg(coalesce(CAST(x AS BIGINT), 0) || ' ' || coalesce(CAST(y AS BIGINT), 0) || ' ' || CASE WHEN x IS NULL THEN 0 ELSE 2 END, ' ' ORDER BY slot) AS line FROM (SELECT DISTINCT leaf FROM m) CROSS JOIN s LEFT JOIN m USING (leaf, k, nth) GROUP BY leaf"""
+
+
+@R.add(_lines_sql(K.SLOT_LINE_31, K.SLOTS_OF_KIND, "(seq * 7 + component) % 9"))
 def prj20_keypoint_lines(spark, sf_dir):
     kinds = F.array(*[F.lit(k) for k in K.KINDS])
     rows = points(spark, sf_dir).select(F.col("component").alias("leaf"), "seq", "x", "y", F.get(kinds, ((F.col("seq") * 7 + F.col("component")) % 9).cast("int")).alias("kind"))
     return K.keypoint_lines(K.slotted(rows), rows.select("leaf").distinct(), K.SLOT_LINE_31)
 
 
+@R.add(_lines_sql(K.SLOT_LINE_51, K.SLOTS_OF_KIND_51, "CASE WHEN seq < 24 THEN 6 ELSE (seq * 7 + component) % 9 END"))
+def prj20_keypoint_lines_51(spark, sf_dir):
+    """The long layout; the first 24 points of every leaf are its midvein's."""
+    kinds = F.array(*[F.lit(k) for k in K.KINDS])
+    kind = F.when(F.col("seq") < 24, 6).otherwise((F.col("seq") * 7 + F.col("component")) % 9)
+    rows = points(spark, sf_dir).select(F.col("component").alias("leaf"), "seq", "x", "y", F.get(kinds, kind.cast("int")).alias("kind"))
+    return K.keypoint_lines(K.slotted(rows, slots_of_kind=K.SLOTS_OF_KIND_51), rows.select("leaf").distinct(), K.SLOT_LINE_51)
+
+
 @R.add("""SELECT id, l_linenumber, round(CASE WHEN xr > 1 THEN 2 - xr ELSE xr END, 8) AS xc, round(s / width, 8) AS w FROM (SELECT *, l_suppkey * 40.0::DOUBLE / width AS xr, CASE WHEN greatest(width, height) > 2000 THEN 27 WHEN greatest(width, height) > 1000 THEN 15 ELSE 9 END AS s FROM multimedia)""", ("multimedia",))
 def fn35_training_box(spark, sf_dir):
     box = K.training_box(F.col("l_suppkey") * 40.0, F.lit(1.0), F.col("width"), F.col("height"))

@@ -133,8 +133,8 @@ def list_images(spark: SparkSession, path: str, extensions: tuple[str, ...]) ->
     return rows.select("path", name.alias("name"), "length", F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin(*extensions).alias("valid"))
 
 
-def read_ground_truth(spark: SparkSession, pattern: str, kind: str, split: str) -> DataFrame:
-    """Ground-truth rows of files named ``<kind>__<split>__gt.csv``; locations parsed."""
-    parts = F.split(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "__")
+def read_ground_truth(spark: SparkSession, pattern: str, kind: str, split: str, level: int = -1) -> DataFrame:
+    """Ground-truth rows of files named ``<kind>__<split>__gt.csv``, or of folders of that name (``level`` -2); locations parsed."""
+    parts = F.split(F.element_at(F.split(F.col("_metadata.file_path"), "/"), level), "__")
     rows = spark.read.option("header", True).csv(pattern).where((F.get(parts, F.lit(0)) == kind) & (F.get(parts, F.lit(1)) == split))
     return rows.select("filename", F.col("count").cast("int").alias("count"), F.from_json("locations", "array<array<double>>").alias("locations"))
