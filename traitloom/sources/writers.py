@@ -27,16 +27,18 @@ def write_per_file(df: DataFrame, path: str, name: str = "filename") -> None:
 
 
 def _commit(spark: SparkSession, path: str, name: str, text: str) -> None:
-    """A file that is there whole or not at all: written beside, then renamed."""
+    """A file that is there whole or not at all: written beside, then renamed; one that is there already stays or is replaced whole."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    hidden, final = hadoop.Path(f"{path}/.{name}"), hadoop.Path(f"{path}/{name}")
+    hidden, final = hadoop.Path(f"{path}/.{name}-{uuid.uuid4().hex}"), hadoop.Path(f"{path}/{name}")
     files = final.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(hadoop.Path(path))
     out = files.create(hidden, True)
     out.write(text.encode())
     out.close()
     if not files.rename(hidden, final):
-        raise OSError(f"could not rename to {final}")
+        files.delete(hidden, False)
+        if not files.exists(final):
+            raise OSError(f"could not rename to {final}")
 
 
 def write_combined(df: DataFrame, path: str) -> str:
@@ -45,16 +47,25 @@ def write_combined(df: DataFrame, path: str) -> str:
     Rows go to a folder of their own under ``path/rows``.  They belong to the
     table once a manifest under ``path/manifests``, renamed into place, names the
     folder and its columns.  Concurrent appends have different names, so
-    neither can spoil the other's rows or header; what a failed append left
-    behind is never read.
+    neither can spoil the other's rows; what a failed append left behind is
+    never read.  ``path/header`` is the first append's, renamed into place once.
     """
     spark = df.sparkSession
     name = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
     df.write.option("header", False).csv(f"{path}/rows/{name}")
     _commit(spark, f"{path}/manifests", f"{name}.json", json.dumps({"folder": name, "columns": df.columns}))
+    header = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
+    if not header.getFileSystem(spark._jsc.hadoopConfiguration()).exists(header):
+        _commit(spark, path, "header", ",".join(_layouts(spark, path)[0]["columns"]))
     return name
 
 
+def _layouts(spark: SparkSession, path: str) -> list:
+    """Columns and folders of the appends, one row per layout, in order of its first append."""
+    found = spark.read.schema("folder string, columns array<string>").json(f"{path}/manifests/*.json")
+    return found.groupBy("columns").agg(F.min("folder").alias("first"), F.collect_list("folder").alias("folders")).orderBy("first").collect()
+
+
 def read_combined(spark: SparkSession, path: str) -> DataFrame:
     """The table that :func:`write_combined` keeps, all columns strings.
 
@@ -62,9 +73,7 @@ def read_combined(spark: SparkSession, path: str) -> DataFrame:
     after it, and are null where an append lacks them.  Appends with the same
     columns are read together.
     """
-    found = spark.read.schema("folder string, columns array<string>").json(f"{path}/manifests/*.json")
-    kinds = found.groupBy("columns").agg(F.min("folder").alias("first"), F.collect_list("folder").alias("folders")).orderBy("first").collect()  # one row per layout
-    parts = [spark.read.schema(", ".join(f"`{n}` string" for n in r["columns"])).csv([f"{path}/rows/{f}" for f in sorted(r["folders"])]) for r in kinds]
+    parts = [spark.read.schema(", ".join(f"`{n}` string" for n in r["columns"])).csv([f"{path}/rows/{f}" for f in sorted(r["folders"])]) for r in _layouts(spark, path)]
     return stacked(*parts)
 
 
