@@ -12,7 +12,8 @@ the driver.
 The second pass takes only the runs whose cell is estimated at two or more in
 every sketch row, and groups exactly: whole runs first (copies of a text share
 them), then, only where a minimizer has several different runs, the single
-windows.  Hashes that stand for window contents have 128 bits together.
+windows.  Words are told apart by 64-bit hashes, and a window by two 64-bit
+hashes of these.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def _slot(row: int):
 
 
 def _windows(size: int):
-    """Exact 128-bit keys of the windows named by ``places``."""
+    """Keys of the windows named by ``places``: two 64-bit hashes of their words' hashes."""
 
     def run(batches):
         for step in unpacked(batches):
@@ -182,7 +183,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = 50, gram: int = 8, keep
         raise ValueError("1 < gram <= size <= 128 is needed")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("tag", F.xxhash64("text").bitwiseAND(0xFFFFFF))
-    named = base.where("doc_id is not null")
+    named = base.where("doc_id is not null")  # below, sets of places do not grow with rows that repeat
     packed = packed_text(base)
 
     sketches = named.mapInArrow(_partition_sketch(size, gram), "slot long, n long")
@@ -200,11 +201,11 @@ def remove_repeated_windows(docs: DataFrame, size: int = 50, gram: int = 8, keep
     firsts = runs.where("doc_id = least")
     varied = cut(firsts.groupBy("cell").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi").select("cell"))
     tag = F.shiftrightunsigned("place", 40).alias("tag")
-    places = firsts.join(varied, "cell", "left_semi").groupBy("doc_id", tag).agg(F.collect_list("place").alias("places"))
+    places = firsts.join(varied, "cell", "left_semi").groupBy("doc_id", tag).agg(F.collect_set("place").alias("places"))
     windows = cut(packed.join(places, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInArrow(_windows(size), "doc_id long, k1 long, k2 long, place long"))
     least = cut(windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     spans = spans.unionAll(windows.join(least, ["k1", "k2"]).where("doc_id > least").select("doc_id", "place"))
 
-    spans = spans.groupBy("doc_id", tag).agg(F.collect_list("place").alias("spans"))
+    spans = spans.groupBy("doc_id", tag).agg(F.collect_set("place").alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text
     return packed.join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(_without(size, keep_text), schema)
