@@ -29,6 +29,8 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "markov")
 
+#: What stands before an assigned value: the last letter of a name, and the sign.
+_BEFORE_VALUE = r"""[dDtTnNyY]["']?\x20*[:=]"""
 #: Characters of the models; a run is a stretch of these.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 _CLASS = "[A-Za-z0-9+/_-]"
@@ -85,23 +87,33 @@ def _spans(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0
     return _let(parts, placed)
 
 
-def _when_any(text: Column, pattern: str, spans: Column) -> Column:
-    """``spans`` where the pattern occurs at all; most texts skip the costly part."""
-    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast(_SPAN))
+def _runs(text: Column) -> Column:
+    """Stretches of at least ``RUN_LEAST`` characters of the alphabet, in order."""
+    return F.regexp_extract_all(text, F.lit(_run(RUN_LEAST)), F.lit(0))
 
 
-def base_spans(text: Column) -> Column:
-    """Spans of the fixed patterns, by kind.
+def _base(text: Column, runs: Column) -> Column:
+    """Spans of the fixed patterns, by kind, in a text whose :func:`_runs` are given.
 
     A hexadecimal or access run is a greedy match of one character class, so
-    asking for the least length in the pattern finds the same runs.
+    asking for the least length in the pattern finds the same runs.  As each
+    lies within one run of the alphabet, only texts with a run that holds one
+    are searched; most texts skip the costly part.
     """
     long_access, long_hex = f"AKIA[A-Z0-9]{{{LEAST['access'] - 4},}}", f"[0-9a-f]{{{LEAST['hex']},}}"
-    return F.concat(
-        _when_any(text, ASSIGN, _spans(text, "assign", ASSIGN, 2, LEAST["assign"])),
-        _when_any(text, long_access, _spans(text, "access", long_access, 0, LEAST["access"])),
-        _when_any(text, long_hex, _spans(text, "hex", long_hex, 0, LEAST["hex"])),
+    held = lambda pattern: F.exists(runs, lambda r: F.regexp_like(r, F.lit(pattern)))
+    assigned = F.regexp_like(text, F.lit(_BEFORE_VALUE)) & F.regexp_like(text, F.lit(ASSIGN))
+    found = (
+        (assigned, _spans(text, "assign", ASSIGN, 2, LEAST["assign"])),
+        (held(long_access), _spans(text, "access", long_access, 0, LEAST["access"])),
+        (held(long_hex), _spans(text, "hex", long_hex, 0, LEAST["hex"])),
     )
+    return F.concat(*[F.when(here, spans).otherwise(F.array().cast(_SPAN)) for here, spans in found])
+
+
+def base_spans(text: Column) -> Column:
+    """Spans of the fixed patterns, by kind."""
+    return _let(_runs(text), lambda runs: _base(text, runs))
 
 
 def _masked(text: Column) -> Column:
@@ -118,20 +130,21 @@ def _run(least: int) -> str:
 
 
 def _labelled(docs: DataFrame, max_rows: int) -> DataFrame:
-    """Labelled strings (label 1 random, 0 ordinary; s) of about ``max_rows`` rows, picked by hash."""
+    """Distinct labelled strings (label 1 random, 0 ordinary; s; n times) of about ``max_rows`` rows, picked by hash."""
     rows = docs.count()
     picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, rows))) < max_rows)
     picked = picked.select(F.coalesce("text", F.lit("")).alias("text")).select("text", base_spans(F.col("text")).alias("base"))
     random = F.transform("base", lambda b: F.struct(F.lit(1).alias("label"), b["value"].alias("s")))
     ordinary = F.transform(F.regexp_extract_all(F.when(F.size("base") > 0, _masked(F.col("text"))).otherwise(F.col("text")), F.lit(_run(8)), F.lit(0)), lambda s: F.struct(F.lit(0).alias("label"), s.alias("s")))
-    return picked.select(F.explode(F.concat(random, ordinary)).alias("x")).select("x.*").where(F.length("s") > 1)
+    return picked.select(F.explode(F.concat(random, ordinary)).alias("x")).select("x.*").where(F.length("s") > 1).groupBy("label", "s").agg(F.count("*").alias("n"))
 
 
 def _table(strings: DataFrame) -> list[float]:
     """Log-likelihood ratio, random against ordinary, of every character pair, first character major."""
-    pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substr("s", i, F.lit(2)))).alias("pair")
-    counted = strings.select("label", pair).where(F.regexp_like("pair", F.lit(f"^{_CLASS}{{2}}$"))).groupBy("label", "pair").count()
-    n = {(r["label"], r["pair"]): r["count"] for r in counted.collect()}
+    chars = F.split("s", "")
+    pair = F.explode(_let(chars, lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), lambda a, b: F.concat(a, b)))).alias("pair")
+    counted = strings.select("label", "n", pair).groupBy("label", "pair").agg(F.sum("n").alias("n"))
+    n = {(r["label"], r["pair"]): r["n"] for r in counted.collect()}
     size = len(ALPHABET)
 
     def conditional(label, share):
@@ -157,7 +170,7 @@ def train(docs: DataFrame, max_rows: int = 5000) -> list[float]:
     text).  Random: the values that the fixed patterns find; where there are
     none, the uniform distribution alone.  Ordinary: stretches of eight or more
     characters of the alphabet outside of them.  At most two counts per
-    character pair reach the driver.
+    character pair of what the patterns can match reach the driver.
     """
     return _table(_labelled(docs, max_rows))
 
@@ -173,8 +186,8 @@ def learn(docs: DataFrame, max_rows: int = 5000) -> tuple[list[float], float]:
     strings = cut(_labelled(docs, max_rows).withColumn("half", F.pmod(F.xxhash64("s"), F.lit(2))))
     table = _table(strings.where("half = 0"))
     judged = strings.where((F.col("half") == 1) & (F.length("s") >= RUN_LEAST))
-    bins = judged.groupBy("label", F.floor(likelihood_ratio(F.col("s"), table) * 20).alias("bin")).count().collect()
-    n = {(r["label"], r["bin"]): r["count"] for r in bins}
+    bins = judged.groupBy("label", F.floor(likelihood_ratio(F.col("s"), table) * 20).alias("bin")).agg(F.sum("n").alias("n")).collect()
+    n = {(r["label"], r["bin"]): r["n"] for r in bins}
     totals = [sum(c for (label, _), c in n.items() if label == k) for k in (0, 1)]
     if not all(totals):
         return table, THRESHOLD
@@ -184,10 +197,15 @@ def learn(docs: DataFrame, max_rows: int = 5000) -> tuple[list[float], float]:
     return table, best[len(best) // 2] / 20
 
 
+def _constant(values, kind: str) -> Column:
+    """Numbers as one constant array, which costs the driver one expression instead of one per number."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def likelihood_ratio(value: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio per transition of a string; characters outside the alphabet are passed over."""
-    model = F.array(*[F.lit(round(x, 6)) for x in table])
-    place = F.array(*[F.lit(ALPHABET.find(chr(i))) for i in range(128)])
+    model = _constant([round(x, 6) for x in table], "double")
+    place = _constant([ALPHABET.find(chr(i)) for i in range(128)], "int")
     codes = F.transform(F.split(value, ""), lambda c: F.coalesce(F.get(place, F.ascii(c)), F.lit(-1)))
     codes = F.filter(codes, lambda c: c >= 0)
     size = len(ALPHABET)
@@ -200,26 +218,36 @@ def likelihood_ratio(value: Column, table: list[float]) -> Column:
     return F.aggregate(codes, start, step)["sum"] / F.greatest(F.length(value) - 1, F.lit(1))
 
 
-def random_spans(text: Column, base: Column, table: list[float], threshold: float) -> Column:
+def _random(text: Column, runs: Column, base: Column, table: list[float], threshold: float) -> Column:
     """Runs outside the base spans whose ratio exceeds ``threshold``.
 
-    Runs are scored first; their places are only sought where one is a secret.
+    Each distinct run is scored once; places are only sought where one is a
+    secret, and runs are only sought again where base spans have been blanked.
     """
-    secret = lambda value: likelihood_ratio(value, table) > threshold
     apart = lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"]))
-    run = _run(RUN_LEAST)
+    bare = F.size(base) == 0
+
+    def placed(secrets):
+        rest = F.when(bare, text).otherwise(_masked(text))
+        found = F.filter(_spans(rest, "markov", _run(RUN_LEAST)), lambda r: F.array_contains(secrets, r["value"]) & apart(r))
+        return F.when(F.size(secrets) > 0, found).otherwise(F.array().cast(_SPAN))
+
+    judged = F.array_distinct(F.when(bare, runs).otherwise(_runs(_masked(text))))
+    return _let(F.filter(judged, lambda r: likelihood_ratio(r, table) > threshold), placed)
+
+
+def _both(text: Column, table: list[float], threshold: float) -> Column:
+    """``base`` and ``spans`` of a text, each in order of start and then kind; its runs are sought once."""
 
-    def within(rest):
-        found = F.filter(_spans(rest, "markov", run), lambda r: secret(r["value"]) & apart(r))
-        return F.when(F.exists(F.regexp_extract_all(rest, F.lit(run), F.lit(0)), secret), found).otherwise(F.array().cast(_SPAN))
+    def found(runs):
+        return _let(F.array_sort(_base(text, runs)), lambda base: F.struct(base.alias("base"), F.array_sort(F.concat(base, _random(text, runs, base, table, threshold))).alias("spans")))
 
-    return _let(F.when(F.size(base) > 0, _masked(text)).otherwise(text), within)
+    return _let(_runs(text), found)
 
 
 def all_spans(text: Column, table: list[float], threshold: float = THRESHOLD) -> Column:
     """All spans of a text, base ones and random runs, in order of start and then kind."""
-    text = F.coalesce(text, F.lit(""))
-    return _let(base_spans(text), lambda base: F.array_sort(F.concat(base, random_spans(text, base, table, threshold))))
+    return _both(F.coalesce(text, F.lit("")), table, threshold)["spans"]
 
 
 def scan(docs: DataFrame, table: list[float] | None = None, threshold: float | None = None) -> DataFrame:
@@ -242,8 +270,8 @@ def scan(docs: DataFrame, table: list[float] | None = None, threshold: float | N
         threshold = fitted if threshold is None else threshold
     threshold = THRESHOLD if threshold is None else threshold
     text = F.coalesce("text", F.lit(""))
-    found = docs.withColumn("base", F.array_sort(base_spans(text)))
-    return found.withColumn("spans", F.array_sort(F.concat("base", random_spans(text, F.col("base"), table, threshold))))
+    found = docs.withColumn("spans", _both(text, table, threshold))
+    return found.withColumns({"base": F.col("spans")["base"], "spans": F.col("spans")["spans"]})
 
 
 def as_text(spans: Column) -> Column:
