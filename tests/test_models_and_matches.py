@@ -39,6 +39,17 @@ def test_principal_components_equal_numpy(spark):
         assert min(np.abs(mine - want).max(), np.abs(mine + want).max()) < 1e-6
 
 
+def test_loadings_equal_numpy(spark):
+    _, x = traits(spark)
+    share, axes = np.linalg.eigh(np.corrcoef(x.T))
+    got = {r["trait"]: r for r in QUERIES["ml05_loadings"](spark, SF).collect()}
+    for i in (0, 1):
+        axis = axes[:, -1 - i]
+        axis = axis * np.sign(axis[np.abs(axis).argmax()])
+        assert np.abs(axis - [got[t][f"pc{i + 1}"] for t in TRAITS]).max() < 1e-5
+        assert abs(got["explained"][f"pc{i + 1}"] - share[-1 - i] / 4) < 1e-5
+
+
 def test_discriminants_equal_numpy(spark):
     rows, x = traits(spark)
     labels, mean = rows["class"].to_numpy(), x.mean(axis=0)
@@ -188,6 +199,26 @@ def test_archives_of_unlike_separators(spark, tmp_path):
     assert got == {("a", "http://x/a.jpg"), ("b", "http://x/b.jpg")}
 
 
+def test_archives_of_unlike_headers(spark, tmp_path):
+    texts = {
+        "a b": "id,family,note\n1,Rosaceae,\"x, y\"\n2,,\n",
+        "c+d": "Family|ID|id\nFagaceae|3|4\n",
+        "e%f": "id\tfamily\t\n5\tPoaceae\tz\n6\n",
+        "g": "\"fam,ily\";id;x\nq;7;\n",
+        "h": "id\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "occurrence.txt").write_text(text)
+    got = S.read_archives(spark, f"{tmp_path}/*/occurrence.txt")
+    assert got.columns == ["id", "family", "note", "ID1", "id2", "_c2", "fam,ily", "x", "archive"]
+    rows = {tuple(r) for r in got.collect()}
+    assert rows == {
+        ("1", "Rosaceae", "x, y", None, None, None, None, None, "a b"), ("2", None, None, None, None, None, None, None, "a b"), (None, "Fagaceae", None, "3", "4", None, None, None, "c+d"),
+        ("5", "Poaceae", None, None, None, "z", None, None, "e%f"), ("6", None, None, None, None, None, None, None, "e%f"), ("7", None, None, None, None, None, "q", None, "g"),
+    }
+
+
 def test_colour_profiles_and_combined_tables(spark, tmp_path):
     (tmp_path / "colours.csv").write_text("Leaf,0,255,55,00FF37\nBud, 1,2,3\nbroken\n")
     assert [tuple(r) for r in S.read_colour_profile(spark, str(tmp_path / "colours.csv")).orderBy("name").collect()] == [("Bud", 1, 2, 3, "010203"), ("Leaf", 0, 255, 55, "00ff37")]

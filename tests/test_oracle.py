@@ -9,7 +9,7 @@ from traitloom.registry import ORACLE_SQL, QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-CHECKED_ELSEWHERE = {"ml03_correctness_forest", "ml04_fallback", "ml05_principal_components", "ml06_descriptor_components", "ml07_discriminants", "ml09_forest_report", "ml10_point_clusters", "vd05_anchors"}
+CHECKED_ELSEWHERE = {"ml03_correctness_forest", "ml04_fallback", "ml06_descriptor_components", "ml07_discriminants", "ml09_forest_report", "ml10_point_clusters", "vd05_anchors"}
 
 
 @pytest.fixture(scope="module")

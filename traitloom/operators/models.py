@@ -54,13 +54,28 @@ def with_fallback(scored: DataFrame, value: str, fallback: Column) -> DataFrame:
     return scored.withColumn("pred_mean", F.when(F.col("prediction") == 0, fallback).otherwise(F.col(value)))
 
 
-def principal_components(df: DataFrame, columns: list[str], k: int) -> tuple[DataFrame, list[float]]:
-    """Standardised principal components as columns pc1.., and the explained shares."""
+def _fitted_components(df: DataFrame, columns: list[str], k: int):
+    """Complete rows with standardised columns, the fitted model, and a sign per component that makes its largest loading positive."""
     rows = VectorAssembler(inputCols=columns, outputCol="_raw").transform(df.na.drop(subset=columns))
     rows = StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True).fit(rows).transform(rows)
     model = PCA(k=k, inputCol="_scaled", outputCol="_pc").fit(rows)
+    axes = model.pc.toArray()
+    return rows, model, [1.0 if axes[np.abs(axes[:, i]).argmax(), i] >= 0 else -1.0 for i in range(k)]
+
+
+def principal_components(df: DataFrame, columns: list[str], k: int) -> tuple[DataFrame, list[float]]:
+    """Standardised principal components as columns pc1.., and the explained shares; each component's largest loading is positive."""
+    rows, model, signs = _fitted_components(df, columns, k)
     out = model.transform(rows).withColumn("_pc", vector_to_array("_pc"))
-    return out.withColumns({f"pc{i + 1}": F.get("_pc", F.lit(i)) for i in range(k)}).drop("_raw", "_scaled", "_pc"), model.explainedVariance.toArray().tolist()
+    return out.withColumns({f"pc{i + 1}": F.get("_pc", F.lit(i)) * sign for i, sign in enumerate(signs)}).drop("_raw", "_scaled", "_pc"), model.explainedVariance.toArray().tolist()
+
+
+def component_loadings(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """Loadings of :func:`principal_components`: a row (trait, pc1, ..) per column, and a last one, ``explained``, of the shares of the variance."""
+    _, model, signs = _fitted_components(df, columns, k)
+    loadings = [(name, *map(float, row * signs)) for name, row in zip(columns, model.pc.toArray(), strict=True)]
+    shares = ("explained", *map(float, model.explainedVariance.toArray()))
+    return df.sparkSession.createDataFrame([*loadings, shares], ", ".join(["trait string", *[f"pc{i + 1} double" for i in range(k)]]))
 
 
 def discriminant_axes(df: DataFrame, columns: list[str], cls: str, k: int = 2) -> tuple[DataFrame, list[float]]:

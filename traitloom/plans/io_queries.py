@@ -20,8 +20,12 @@ QUERIES, ORACLE_SQL = R.QUERIES, R.ORACLE_SQL
 
 
 def _folder(spark):
-    """A new folder that all executors reach."""
-    return f"{shared_folder(spark)}/io-{uuid.uuid4()}"
+    """A new folder that all executors reach; the file system removes it when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/io-{uuid.uuid4()}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
 
 
 _OCCURRENCE = ("id", "family", "genus", "specificEpithet", "institutionCode")

@@ -63,11 +63,41 @@ def ml04_fallback(spark, sf_dir):
     return M.with_fallback(scored, "conversion_mean", M.predict_polynomial(F.col("mp"), p)).select("component", "prediction", "pred_mean")
 
 
-@R.add()
+_TRAITS = ["area", "perimeter", "apex_angle", "base_angle"]
+
+
+def _axis_sql(of, name):
+    """The first axis of the symmetric matrix ``m`` in ``of``, by squaring it again and again (v, largest element positive; share)."""
+    squared = "list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / list_sum(list_transform(m, lambda r: list_dot_product(r, r)))))"
+    return f"""{name}s AS (WITH RECURSIVE s(i, m) AS (SELECT 0, m FROM {of} UNION ALL SELECT i + 1, {squared} FROM s WHERE i < 45) SELECT m FROM s WHERE i = 45),
+      {name}d AS (SELECT m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) AS d FROM {name}s),
+      {name}r AS (SELECT m[list_position(d, list_max(d))] AS r FROM {name}d),
+      {name}v AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS v FROM {name}r),
+      {name} AS (SELECT v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS weight FROM {name}v, {of})"""
+
+
+_COMPONENTS = f""", x AS (SELECT class, {', '.join(_TRAITS)} FROM measurements JOIN landmarks USING (component) WHERE {' AND '.join(f'{t} IS NOT NULL' for t in _TRAITS)}),
+  c AS (SELECT [{', '.join('[' + ', '.join('1.0' if a == b else f'corr({a}, {b})' for b in _TRAITS) + ']' for a in _TRAITS)}]::DOUBLE[][] AS m FROM x), {_axis_sql('c', 'p')},
+  rest AS (SELECT list_transform(range(1, len(m) + 1), lambda a: list_transform(range(1, len(m) + 1), lambda b: m[a][b] - weight * v[a] * v[b])) AS m FROM c, p), {_axis_sql('rest', 'q')}"""
+_SCALED = "[" + ", ".join(f"({t} - m{i}) / s{i}" for i, t in enumerate(_TRAITS)) + "]"
+_MOMENTS = ", ".join(f"avg({t}) AS m{i}, stddev_samp({t}) AS s{i}" for i, t in enumerate(_TRAITS))
+
+
+def _all_traits(spark, sf_dir):
+    return view(spark, sf_dir, "measurements").join(view(spark, sf_dir, "landmarks"), "component")
+
+
+@R.add(f"{_COMPONENTS} SELECT class, round(avg(list_dot_product({_SCALED}, p.v)), 6) AS pc1, round(avg(list_dot_product({_SCALED}, q.v)), 6) AS pc2 FROM x, (SELECT {_MOMENTS} FROM x), p, q GROUP BY class", ("measurements", "landmarks"))
 def ml05_principal_components(spark, sf_dir):
-    traits = view(spark, sf_dir, "measurements").join(view(spark, sf_dir, "landmarks"), "component")
-    rows, _ = M.principal_components(traits, ["area", "perimeter", "apex_angle", "base_angle"], 2)
-    return rows.groupBy("class").agg(F.avg("pc1").alias("pc1"), F.avg("pc2").alias("pc2"))
+    """Centroids of the classes on the first two components."""
+    rows, _ = M.principal_components(_all_traits(spark, sf_dir), _TRAITS, 2)
+    return rows.groupBy("class").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("pc1", "pc2")])
+
+
+@R.add(f"{_COMPONENTS}, t AS (SELECT unnest({_TRAITS}) AS trait, unnest(p.v) AS pc1, unnest(q.v) AS pc2 FROM p, q UNION ALL SELECT 'explained', p.weight / {len(_TRAITS)}, q.weight / {len(_TRAITS)} FROM p, q) SELECT trait, round(pc1, 5) AS pc1, round(pc2, 5) AS pc2 FROM t", ("measurements", "landmarks"))
+def ml05_loadings(spark, sf_dir):
+    """Loadings and explained shares of the first two components."""
+    return M.component_loadings(_all_traits(spark, sf_dir), _TRAITS, 2).select("trait", *[F.round(c, 5).alias(c) for c in ("pc1", "pc2")])
 
 
 @R.add()

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitloom.operators.detections import parsed_labels
+from traitloom.operators.lineage import cut
 from traitloom.operators.linkage import stacked
 
 SEPARATORS = ("\t", ",", "|", ";")
@@ -56,8 +57,13 @@ def read_archives(spark: SparkSession, pattern: str, sep: str | None = None) ->
     """One table over a glob of archive folders, with the folder's name as ``archive``.
 
     Without ``sep`` every file is read by its own separator (of its header
-    line; one small row per file reaches the driver) and the columns that a
-    file lacks are null.
+    line) and the columns that a file lacks are null.  There is one read per
+    separator: cells are read by place and named by a join with the headers,
+    which stay a table.  Only the names of the separators' files and the
+    distinct column names reach the driver.  Columns come in the order in which
+    the sorted files show them first.  As in Spark's own reader, names that
+    differ by case alone are one column, a column without a name is called by
+    its place, and names that one file repeats get their place appended.
     """
     whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))  # Spark names files by URL
     archive = F.element_at(F.split(whole, "/"), -2)
@@ -67,12 +73,47 @@ def read_archives(spark: SparkSession, pattern: str, sep: str | None = None) ->
 
     if sep is not None:
         return rows(pattern, sep)
-    lines = spark.read.text(pattern).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), "value")
-    heads = lines.withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(F.min_by("value", "at").alias("head")).collect()
-    groups: dict[tuple, list[str]] = {}
-    for r in sorted(heads, key=lambda r: r["path"]):
-        groups.setdefault((separator_of(r["head"], r["path"].rsplit(".", 1)[-1].lower()), r["head"]), []).append(unquote(r["path"]))
-    return stacked(*[rows(paths, sep) for (sep, _), paths in groups.items()])
+    path = F.col("_metadata.file_path")
+    lines = spark.read.text(pattern).where("_metadata.file_block_start = 0").select(path.alias("_path"), "value")
+    heads = cut(_named_headers(lines.withColumn("at", F.monotonically_increasing_id()).groupBy("_path").agg(F.min_by("value", "at").alias("head"))))
+    files = {r["_sep"]: r for r in heads.groupBy("_sep").agg(F.collect_list("_path").alias("paths"), F.max(F.size("_names")).alias("width")).collect()}
+    first = heads.select("_path", F.posexplode("_names").alias("at", "name")).groupBy(F.lower("name").alias("low")).agg(F.min(F.struct("_path", "at", "name")).alias("first"))
+    names = [r["first"]["name"] for r in sorted(first.collect(), key=lambda r: r["first"])]
+
+    def named(sep, paths, width):
+        """Cells by place, named by the header of their file."""
+        cells = [f"_c{i}" for i in range(width)]
+        read = spark.read.option("header", True).option("sep", sep).schema(", ".join(f"`{c}` string" for c in cells)).csv(sorted(map(unquote, paths)))
+        placed = read.select(path.alias("_path"), archive.alias("_archive"), F.array(*cells).alias("_cells")).join(heads.select("_path", F.transform("_names", F.lower).alias("_names")), "_path")
+        return placed.select(*[F.get("_cells", (F.array_position("_names", name.lower()) - 1).cast("int")).alias(name) for name in names], F.col("_archive").alias("archive"))
+
+    return stacked(*[named(sep, r["paths"], r["width"]) for sep, r in sorted(files.items())])
+
+
+def _named_headers(heads: DataFrame) -> DataFrame:
+    """Separator ``_sep`` and column names ``_names`` of every file (_path, head), in column expressions."""
+    head = F.coalesce("head", F.lit(""))
+    times = lambda sep: F.length(head) - F.length(F.replace(head, F.lit(sep), F.lit("")))
+    most = F.greatest(*map(times, SEPARATORS))
+    usual = F.when(F.lower("_path").endswith(".csv"), ",").otherwise("\t")
+    sep = F.when(most == 0, usual)
+    for s in SEPARATORS:  # ties go to the first
+        sep = sep.when(times(s) == most, s)
+    width = heads.agg(F.max(most)).first()[0] or 0
+    schema = ", ".join(f"_c{i} string" for i in range(width + 1))
+    cells = F.lit(None).cast("array<string>")
+    for s in SEPARATORS:
+        parsed = F.from_csv(head, F.lit(schema), {"sep": s})
+        cells = F.when(F.col("_sep") == s, F.array(*[parsed[f"_c{i}"] for i in range(width + 1)])).otherwise(cells)
+    found = heads.withColumn("_sep", sep).withColumn("_cells", cells)
+    # separators within quotes do not part names; the last names may be blank
+    bare = F.regexp_replace(head, '"[^"]*"', "")
+    last = F.array_max(F.transform("_cells", lambda c, i: F.when(c.isNotNull(), i + 1).otherwise(1)))
+    count = F.greatest(last, F.length(bare) - F.length(F.replace(bare, F.col("_sep"), F.lit(""))) + 1)
+    blank = F.transform(F.slice("_cells", F.lit(1), count), lambda c, i: F.when(F.coalesce(c, F.lit("")) == "", F.concat(F.lit("_c"), i)).otherwise(c))
+    low = F.transform("_blank", F.lower)
+    unlike = F.transform("_blank", lambda c, i: F.when(F.size(F.filter(low, lambda x: x == F.lower(c))) > 1, F.concat(c, i)).otherwise(c))
+    return found.withColumn("_blank", blank).select("_path", "_sep", unlike.alias("_names"))
 
 
 def read_colour_profile(spark: SparkSession, path: str) -> DataFrame:
