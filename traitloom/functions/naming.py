@@ -104,7 +104,7 @@ def name_parts(name: Column) -> dict[str, Column]:
 
 
 def megapixels(height: Column, width: Column, digits: int | None = None) -> Column:
-    exact = height * width / F.lit(1e6)
+    exact = height.cast("double") * width / F.lit(1e6)  # doubles, as the pixels of large images exceed an int
     return exact if digits is None else F.round(exact, digits)
 
 

@@ -22,7 +22,7 @@ def not_banned(url: Column, stems: list[str]) -> Column:
 
 def resolution(height: Column, width: Column, low: float, high: float, resize: bool = True) -> Column:
     """What becomes of an image of this size: too_small, keep, resize or too_large."""
-    mp = F.round(height * width / F.lit(1e6), 1)
+    mp = F.round(height.cast("double") * width / F.lit(1e6), 1)  # doubles, as the pixels of large images exceed an int
     return F.when(mp < low, "too_small").when(mp <= high, "keep").otherwise("resize" if resize else "too_large")
 
 
