@@ -1,12 +1,36 @@
 """Steps that must grow no faster than their input."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from traitloom.functions import naming as N
 from traitloom.operators import filters as X
+from traitloom.operators import metrics as M
 
 
 def test_pixels_of_large_images_do_not_overflow(spark):
     sizes = spark.createDataFrame([(222_600, 120_800), (1_000, 1_500)], "height int, width int")
     got = sizes.select(X.resolution(F.col("height"), F.col("width"), 1.0, 4.0), N.megapixels(F.col("height"), F.col("width"), 1))
     assert [tuple(r) for r in got.collect()] == [("resize", 26_890.1), ("keep", 1.5)]
+
+
+def test_overlap_thresholds_share_one_ranking(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(c), float(s) / 20, i, None if v < 30 else float(v) / 100) for i, (c, s, v) in enumerate(zip(rng.integers(0, 3, 400), rng.integers(0, 20, 400), rng.integers(0, 101, 400), strict=True))]
+    rows += [(5, 0.5, 400, None), (6, 0.5, 401, 0.9)]  # a class without hits, and one without labels
+    totals = {0: 150, 1: 200, 2: 90, 5: 4, 7: 3}
+    ranked, steps = [], [50, 65, 80]
+    real = M.in_ranges
+    monkeypatch.setattr(M, "in_ranges", lambda df, *a: ranked.append(df.count()) or real(df, *a))
+    predictions = spark.createDataFrame(rows, "cls int, score double, id long, iou double").repartition(5)
+    found = M.mean_average_precision(predictions, spark.createDataFrame(list(totals.items()), "cls int, total long"), ["id"], steps).collect()
+    want = {}
+    for c in (0, 1, 2, 5):
+        mine = sorted((-s, i, v or 0) for k, s, i, v in rows if k == c)
+        for t in steps:
+            hit = [round(v * 100, 7) >= t for *_, v in mine]
+            precision = [sum(hit[: i + 1]) / (i + 1) for i in range(len(hit))]
+            want[str(c), t] = sum(max(precision[i:]) / totals[c] for i, h in enumerate(hit) if h)
+    assert {(r["cls"], r["threshold"]): r["ap"] for r in found} == pytest.approx(want)
+    assert ranked == [len(rows)]

@@ -149,14 +149,32 @@ def mean_average_precision(predictions: DataFrame, totals: DataFrame, order: lis
 
     ``predictions`` has cls, score, ``order`` and iou, the overlap with the
     label that it is matched with (null without one); ``totals`` cls and total.
+
+    Rows are ranked once for all thresholds: a row carries how many of them its
+    overlap reaches, and every threshold has its own running hits.  The envelope
+    of precision at a hit is the best precision of that hit and later ones, so
+    that rows that reach no threshold end with the running hits.
     """
-    rows = predictions.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    key = F.concat_ws(":", "cls", "threshold")
-    hits = rows.withColumns({"hit": F.coalesce(F.round(F.col("iou") * 100, 7) >= F.col("threshold"), F.lit(False)), "_key": key})
-    each = totals.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds]))).select(key.alias("_key"), "total")
-    found = average_precision(precision_recall(hits, each, "_key", order), "_key")
-    parts = F.split("_key", ":")
-    return found.select(F.get(parts, F.lit(0)).alias("cls"), F.get(parts, F.lit(1)).cast("int").alias("threshold"), "ap")
+    steps = sorted(thresholds)
+    reached = sum((F.coalesce(F.round(F.col("iou") * 100, 7) >= t, F.lit(False)).cast("int") for t in steps), F.lit(0))
+    ranged = in_ranges(predictions.select("cls", "score", *order, reached.alias("_reached")), [F.col("cls"), F.desc("score"), *order]).drop("_nth")
+    true = {f"_tp{i}": F.sum((F.col("_reached") > i).cast("long")) for i in range(len(steps))}
+    w = W.partitionBy("_part", "cls").orderBy(F.desc("score"), *order).rowsBetween(W.unboundedPreceding, 0)
+    ahead = W.partitionBy("cls").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = ranged.groupBy("_part", "cls").agg(F.count("*").alias("_turn"), *[e.alias(c) for c, e in true.items()])
+    before = parts.select("_part", "cls", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in ("_turn", *true)])
+    counted = ranged.withColumns({"_turn": F.row_number().over(w), **{c: e.over(w) for c, e in true.items()}}).where("_reached > 0").join(before, ["_part", "cls"])
+    turn = F.col("_turn") + F.col("_turn_before")
+    hits = counted.select("_part", "cls", "_reached", turn.alias("_turn"), *[((F.col(c) + F.col(f"{c}_before")) / turn).alias(f"_p{i}") for i, c in enumerate(true)])
+    own = W.partitionBy("_part", "cls").orderBy(F.desc("_turn")).rowsBetween(W.unboundedPreceding, 0)
+    beyond = W.partitionBy("cls").orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
+    precisions = [f"_p{i}" for i in range(len(steps))]
+    later = hits.groupBy("_part", "cls").agg(*[F.max(p).alias(p) for p in precisions]).select("_part", "cls", *[F.max(p).over(beyond).alias(f"{p}_beyond") for p in precisions])
+    rows = hits.withColumns({p: F.max(p).over(own) for p in precisions}).join(later, ["_part", "cls"]).join(totals, "cls")
+    areas = rows.groupBy("cls").agg(*[F.sum(F.when(F.col("_reached") > i, F.greatest(p, f"{p}_beyond") / F.col("total"))).alias(p) for i, p in enumerate(precisions)])
+    found = parts.select("cls").distinct().join(totals, "cls").join(areas, "cls", "left")
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), F.coalesce(p, F.lit(0.0)).alias("ap")) for t, p in zip(steps, precisions, strict=True)])
+    return found.select(F.col("cls").cast("string").alias("cls"), F.explode(each).alias("_s")).select("cls", "_s.threshold", "_s.ap")
 
 
 def fitness(map50: Column, map95: Column) -> Column:
