@@ -34,3 +34,20 @@ def test_overlap_thresholds_share_one_ranking(spark, monkeypatch):
             want[str(c), t] = sum(max(precision[i:]) / totals[c] for i, h in enumerate(hit) if h)
     assert {(r["cls"], r["threshold"]): r["ap"] for r in found} == pytest.approx(want)
     assert ranked == [len(rows)]
+
+
+def test_unmatched_boxes_do_not_meet_in_one_task(spark):
+    box = lambda side, n: spark.range(n).select(F.concat(F.lit(side), F.col("id").cast("string")).alias("id"), (F.col("id") % 3).alias("cls"))
+    matches = spark.createDataFrame([("p1", "t1"), ("p2", "t500"), ("p3", "t3")], "prediction string, label string")
+    set_ = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in set_}
+    try:
+        for k, v in set_.items():
+            spark.conf.set(k, v)
+        counts = [r["count"] for r in M.paired(box("p", 4_000), box("t", 100), matches).groupBy(F.spark_partition_id()).count().collect()]
+        found = {(r["predicted"], r["true"]): r["n"] for r in M.confusion(box("p", 4_000), box("t", 100), matches).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(counts) == 4_098 and max(counts) < 1_500
+    assert found == {("1", "1"): 1, ("0", "0"): 1, ("0", "background"): 1_333, ("1", "background"): 1_332, ("2", "background"): 1_333, ("background", "0"): 33, ("background", "1"): 32, ("background", "2"): 33}

@@ -132,16 +132,23 @@ def best_f1(curve: DataFrame, cls: str) -> DataFrame:
     return curve.groupBy(cls).agg(F.max(F.struct(F.round(f1, 9).alias("f1"), "score")).alias("b")).select(cls, "b.f1", "b.score")
 
 
+def paired(predicted: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
+    """Classes of matched and of unmatched boxes (predicted, true; null without a partner)."""
+    p = predicted.select(F.col("id").alias("prediction"), F.col("cls").cast("string").alias("predicted"))
+    t = truth.select(F.col("id").alias("label"), F.col("cls").cast("string").alias("true"))
+    # null labels meet nothing, so they are spread by their prediction instead of filling one task
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(4096))
+    said = p.join(matches, "prediction", "left").withColumn("_deal", deal(F.coalesce("label", "prediction")))
+    return said.join(t.withColumn("_deal", deal(F.col("label"))), ["label", "_deal"], "full_outer").select("predicted", "true")
+
+
 def confusion(predicted: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
     """Counts of (predicted class, true class); unmatched boxes meet ``background``.
 
     ``predicted`` and ``truth`` have id and cls; ``matches`` prediction and label ids.
     """
-    p = predicted.select(F.col("id").alias("prediction"), F.col("cls").cast("string").alias("predicted"))
-    t = truth.select(F.col("id").alias("label"), F.col("cls").cast("string").alias("true"))
-    rows = p.join(matches, "prediction", "left").join(t, "label", "full_outer")
     ground = lambda c: F.coalesce(c, F.lit("background"))
-    return rows.groupBy(ground("predicted").alias("predicted"), ground("true").alias("true")).agg(F.count("*").alias("n"))
+    return paired(predicted, truth, matches).groupBy(ground("predicted").alias("predicted"), ground("true").alias("true")).agg(F.count("*").alias("n"))
 
 
 def mean_average_precision(predictions: DataFrame, totals: DataFrame, order: list[str], thresholds: list[int]) -> DataFrame:
