@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traitloom.functions import naming as N
+from traitloom.operators import detections as D
 from traitloom.operators import filters as X
 from traitloom.operators import metrics as M
 
@@ -51,3 +52,11 @@ def test_unmatched_boxes_do_not_meet_in_one_task(spark):
             spark.conf.set(k, v)
     assert sum(counts) == 4_098 and max(counts) < 1_500
     assert found == {("1", "1"): 1, ("0", "0"): 1, ("0", "background"): 1_333, ("1", "background"): 1_332, ("2", "background"): 1_333, ("background", "0"): 33, ("background", "1"): 32, ("background", "2"): 33}
+
+
+def test_split_statistics_count_without_distinct(spark):
+    boxes = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1), ("c", None), (None, 1)], "image string, cls int")
+    images = spark.createDataFrame([("a", "train"), ("b", "val"), ("b", "val"), ("b", "train"), ("c", "train"), (None, "val")], "image string, split string")
+    found = D.split_statistics(boxes, images, "image")
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("train", 1, 3, 2), ("train", 2, 1, 1), ("train", None, 1, 1), ("val", 1, 2, 1)]))

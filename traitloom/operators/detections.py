@@ -22,6 +22,10 @@ VOCABULARIES = {
 FERTILE_CLASSES = ("seed_fruit_one", "seed_fruit_many", "flower_one", "flower_many")
 
 
+#: Boxes that a task counts by image and class, nearly all of which differ.
+COUNTED_ROWS = 1_000_000
+
+
 def phenology(boxes: DataFrame, image: str = "filename", minimum: int = 0, ideal_only: bool = False) -> DataFrame:
     """Counts of every plant class per image, with leaf and fertility flags.
 
@@ -87,8 +91,10 @@ def side_distances(x: Column, y: Column, box: dict[str, Column]) -> dict[str, Co
 
 def split_statistics(boxes: DataFrame, images: DataFrame, image: str) -> DataFrame:
     """Per split and class: boxes and images; images have image and split."""
-    rows = boxes.join(images, image)
-    return rows.groupBy("split", "cls").agg(F.count("*").alias("instances"), F.countDistinct(image).alias("images"))
+    dealt = max(-(-boxes.count() // COUNTED_ROWS), 1)
+    counts = boxes.where(F.col(image).isNotNull()).repartition(dealt, image).groupBy(image, "cls").agg(F.count("*").alias("_n"))
+    rows = counts.join(images.groupBy(image, "split").agg(F.count("*").alias("_times")), image)
+    return rows.groupBy("split", "cls").agg(F.sum(F.col("_n") * F.col("_times")).alias("instances"), F.count("*").alias("images"))
 
 
 def class_weights(boxes: DataFrame) -> DataFrame:
