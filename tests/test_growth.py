@@ -1,5 +1,8 @@
 """Steps that must grow no faster than their input."""
 
+import re
+from glob import glob
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,8 @@ from traitloom.functions import naming as N
 from traitloom.operators import detections as D
 from traitloom.operators import filters as X
 from traitloom.operators import metrics as M
+from traitloom.operators.lineage import shared_folder
+from traitloom.registry import QUERIES
 
 
 def test_pixels_of_large_images_do_not_overflow(spark):
@@ -60,3 +65,12 @@ def test_split_statistics_count_without_distinct(spark):
     found = D.split_statistics(boxes, images, "image")
     assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("train", 1, 3, 2), ("train", 2, 1, 1), ("train", None, 1, 1), ("val", 1, 2, 1)]))
+
+
+
+def test_contour_files_are_written_by_several_tasks(spark):
+    root = shared_folder(spark).removeprefix("file:")
+    before = set(glob(f"{root}/io-*/contours/*/part-*"))
+    assert QUERIES["src09_contours"](spark, "/root/testdata/sf0.1").count() == 1_200
+    files = set(glob(f"{root}/io-*/contours/*/part-*")) - before
+    assert len(files) == 400 and len({re.search(r"part-(\d+)", f)[1] for f in files}) > 1
