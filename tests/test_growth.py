@@ -11,6 +11,7 @@ from traitloom.functions import naming as N
 from traitloom.operators import detections as D
 from traitloom.operators import filters as X
 from traitloom.operators import metrics as M
+from traitloom.operators import models as P
 from traitloom.operators.lineage import shared_folder
 from traitloom.registry import QUERIES
 
@@ -67,6 +68,21 @@ def test_split_statistics_count_without_distinct(spark):
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, [("train", 1, 3, 2), ("train", 2, 1, 1), ("train", None, 1, 1), ("val", 1, 2, 1)]))
 
 
+def test_models_are_fitted_on_small_partitions(spark, monkeypatch):
+    seen = {}
+
+    def watched(cls):
+        real = cls.fit
+        monkeypatch.setattr(cls, "fit", lambda self, rows: seen.setdefault(cls.__name__, max(rows.rdd.glom().map(len).collect())) and real(self, rows))
+
+    for cls in (P.RandomForestClassifier,):
+        watched(cls)
+    monkeypatch.setattr(P, "TRAINED_ROWS", 100)
+    rows = spark.range(0, 600, 1, 1).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y"), (F.col("id") % 2).cast("int").alias("correct"))
+    _, scored = P.correctness_forest(rows, ["x", "y"], "correct", trees=3)
+    assert scored.count() == 600
+    assert seen["RandomForestClassifier"] <= 110
+
 
 def test_contour_files_are_written_by_several_tasks(spark):
     root = shared_folder(spark).removeprefix("file:")

@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that a task trains a forest on; each is kept with its weight in every tree.
+TRAINED_ROWS = 250_000
+
+
 def _polynomial(df: DataFrame, x: str, y: str) -> dict[str, float]:
     """Least-squares parabola from one row of sums, centred for stability."""
     m = df.agg(F.avg(x).alias("mx"), F.avg(y).alias("my")).first()
@@ -35,10 +39,20 @@ def fit_polynomial(df: DataFrame, x: str, y: str, keep: float = 0.5) -> dict[str
     return _polynomial(rows.where(F.col("_residual") <= top), x, y)
 
 
+def in_tasks(df: DataFrame, most: int) -> DataFrame:
+    """Rows dealt out so that no task holds more than about ``most``; a table of fewer stays as it is.
+
+    Spark ML caches what it fits on, several times as large as in a file, and
+    by the partitions of the file.
+    """
+    parts = -(-df.count() // most)
+    return df.repartition(parts) if parts > 1 else df
+
+
 def correctness_forest(df: DataFrame, columns: list[str], label: str, trees: int = 100, seed: int = 42):
     """Random forest for ``label``; returns the model and the scored rows."""
     rows = VectorAssembler(inputCols=columns, outputCol="features").transform(df.na.fill(0, subset=columns))
-    model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, seed=seed).fit(rows)
+    model = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=trees, seed=seed).fit(in_tasks(rows.select("features", label), TRAINED_ROWS))
     return model, model.transform(rows)
 
 
