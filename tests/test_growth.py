@@ -75,13 +75,15 @@ def test_models_are_fitted_on_small_partitions(spark, monkeypatch):
         real = cls.fit
         monkeypatch.setattr(cls, "fit", lambda self, rows: seen.setdefault(cls.__name__, max(rows.rdd.glom().map(len).collect())) and real(self, rows))
 
-    for cls in (P.RandomForestClassifier,):
+    for cls in (P.RandomForestClassifier, P.KMeans, P.GaussianMixture):
         watched(cls)
     monkeypatch.setattr(P, "TRAINED_ROWS", 100)
+    monkeypatch.setattr(P, "CLUSTERED_ROWS", 150)
     rows = spark.range(0, 600, 1, 1).select((F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y"), (F.col("id") % 2).cast("int").alias("correct"))
     _, scored = P.correctness_forest(rows, ["x", "y"], "correct", trees=3)
     assert scored.count() == 600
-    assert seen["RandomForestClassifier"] <= 110
+    assert len(P.anchors(rows.select((F.col("x") + 1).alias("w"), (F.col("y") + 1).alias("h")), 3)) == 3 and len(P.point_clusters(rows, 2)) == 2
+    assert seen["RandomForestClassifier"] <= 110 and seen["KMeans"] <= 165 and seen["GaussianMixture"] <= 165
 
 
 def test_contour_files_are_written_by_several_tasks(spark):

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows that a task trains a forest on; each is kept with its weight in every tree.
 TRAINED_ROWS = 250_000
+#: Rows that a task clusters.
+CLUSTERED_ROWS = 1_000_000
 
 
 def _polynomial(df: DataFrame, x: str, y: str) -> dict[str, float]:
@@ -125,13 +127,13 @@ def discriminant_axes(df: DataFrame, columns: list[str], cls: str, k: int = 2) -
 def anchors(boxes: DataFrame, k: int = 9, seed: int = 1) -> list[list[float]]:
     """Cluster centres of whitened box sizes, in original units, by rising area."""
     scale = boxes.agg(F.stddev_pop("w").alias("w"), F.stddev_pop("h").alias("h")).first()
-    rows = VectorAssembler(inputCols=["sw", "sh"], outputCol="features").transform(boxes.select((F.col("w") / scale["w"]).alias("sw"), (F.col("h") / scale["h"]).alias("sh")))
+    rows = VectorAssembler(inputCols=["sw", "sh"], outputCol="features").transform(in_tasks(boxes.select((F.col("w") / scale["w"]).alias("sw"), (F.col("h") / scale["h"]).alias("sh")), CLUSTERED_ROWS))
     centres = KMeans(k=k, seed=seed).fit(rows).clusterCenters()
     return sorted(([float(a * scale["w"]), float(b * scale["h"])] for a, b in centres), key=lambda c: c[0] * c[1])
 
 
 def point_clusters(points: DataFrame, k: int, seed: int = 1) -> list[tuple[int, int]]:
     """Integer centroids of a Gaussian mixture over points."""
-    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(points)
+    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(in_tasks(points, CLUSTERED_ROWS))
     means = GaussianMixture(k=k, seed=seed).fit(rows).gaussiansDF.select(vector_to_array("mean").alias("m")).collect()
     return sorted((int(r["m"][0]), int(r["m"][1])) for r in means)
