@@ -14,6 +14,7 @@ from traitloom.operators import metrics as M
 from traitloom.operators import models as P
 from traitloom.operators.lineage import shared_folder
 from traitloom.registry import QUERIES
+from traitloom.streaming import retries as Y
 
 
 def test_pixels_of_large_images_do_not_overflow(spark):
@@ -92,3 +93,42 @@ def test_contour_files_are_written_by_several_tasks(spark):
     assert QUERIES["src09_contours"](spark, "/root/testdata/sf0.1").count() == 1_200
     files = set(glob(f"{root}/io-*/contours/*/part-*")) - before
     assert len(files) == 400 and len({re.search(r"part-(\d+)", f)[1] for f in files}) > 1
+
+
+def test_a_retry_reads_its_state_once():
+    class Counted:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def getValueState(self, name, schema):
+            return self
+
+        def called(self, value=None):
+            self.calls += 1
+            return value
+
+        def exists(self):
+            return self.called(self.value is not None)
+
+        def get(self):
+            return self.called(self.value)
+
+        def update(self, value):
+            self.value = self.called(value)
+
+        def clear(self):
+            self.value = self.called()
+
+        def registerTimer(self, ms):
+            self.called()
+
+        def getCurrentProcessingTimeInMs(self):
+            return 1_000
+
+    state, processor = Counted(), Y.Retry(4, 0)
+    processor.init(state)
+    step = lambda n, status: [tuple(r) for r in processor.handleInputRows((5,), iter([{"attempt": n, "status": status}]), state)]
+    assert step(1, "retry") == [] and state.calls == 3
+    assert [tuple(r) for r in processor.handleExpiredTimer((5,), state, None)] == [(5, 2, "offer")] and state.calls == 4
+    assert step(2, "ok") == [(5, 2, "ok")] and state.calls == 6
+    assert [tuple(r) for r in processor.handleExpiredTimer((5,), state, None)] == [] and state.calls == 7

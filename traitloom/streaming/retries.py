@@ -22,13 +22,15 @@ class Retry(StatefulProcessor):
         self.tried = handle.getValueState("tried", "attempts int")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        attempts = self.tried.get()[0] if self.tried.exists() else 0
+        known = self.tried.get()  # one call to the state store, which costs more than all else here
+        attempts = known[0] if known else 0
         for row in sorted(rows, key=lambda r: r["attempt"]):
             if row["attempt"] != attempts + 1:
                 continue  # a result that was counted before
             attempts += 1
             if row["status"] != "retry" or attempts >= self.most:
-                self.tried.clear()
+                if known:
+                    self.tried.clear()
                 yield Row(id=key[0], attempt=attempts, action="given_up" if row["status"] == "retry" else row["status"])
                 return
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.delay_ms * 2 ** (attempts - 1))
@@ -36,8 +38,9 @@ class Retry(StatefulProcessor):
             self.tried.update((attempts,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.tried.exists():
-            yield Row(id=key[0], attempt=self.tried.get()[0] + 1, action="offer")
+        known = self.tried.get()
+        if known:
+            yield Row(id=key[0], attempt=known[0] + 1, action="offer")
 
 
 def retried(results: DataFrame, most: int = 3, delay_ms: int = 60_000) -> DataFrame:
