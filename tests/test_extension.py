@@ -9,6 +9,7 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from traitloom.functions import registered
@@ -185,6 +186,82 @@ def test_streamed_tracks_equal_walking_all_frames(spark, tmp_path, hold):
     assert sorted(map(tuple, got.collect())) == walked(rows, 0.3, hold)
 
 
+class Counted:
+    """States and timers of one source in memory, which count their calls."""
+
+    def __init__(self):
+        self.calls, self.rows, self.value, self.timers = 0, {}, None, []
+
+    def __getattribute__(self, name):
+        if name in ("containsKey", "getValue", "updateValue", "removeKey", "keys", "get", "exists", "update", "clear", "registerTimer"):
+            self.calls += 1
+        return object.__getattribute__(self, name)
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def getValueState(self, name, schema):
+        return self
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def containsKey(self, key):
+        return key in self.rows
+
+    def getValue(self, key):
+        return self.rows[key]
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+    def keys(self):
+        return iter(list(self.rows))
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_state_calls_of_tracks_do_not_grow_with_frames():
+    class Times:
+        def __init__(self, now):
+            self.now = now
+
+        def getExpiryTimeInMs(self):
+            return self.now
+
+        getCurrentWatermarkInMs = getExpiryTimeInMs
+
+    state = Counted()
+    processor = tracking.HandOver(0.3, 10)
+    processor.init(state)
+    rows = [Row(source="a", ts=None, ms=10 * f, box=b, x1=50.0 * b, y1=0.0, x2=50.0 * b + 20, y2=20.0) for f in range(1, 101) for b in (1, 0)]
+    list(processor.handleInputRows(("a",), iter(rows), None))
+    got, waits = [], []
+    for passed in (505, 2_000):  # the watermark stops amid the frames
+        for ms in sorted(t for t in state.timers if t <= passed):
+            state.timers.remove(ms)
+            times = Times(ms)
+            times.getCurrentWatermarkInMs = lambda: passed
+            got += [tuple(r) for r in processor.handleExpiredTimer(("a",), times, times)]
+        waits.append((len(got), bool(state.rows)))
+    assert got == [("a", 10 * f, b, 10, b) for f in range(1, 101) for b in (0, 1)]
+    assert waits == [(100, True), (200, False)] and state.value is None
+    assert state.calls < 40  # 100 frames
+
+
 class Handle:
     """A state handle of one id, as far as the retry processor needs it."""
 
