@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -12,7 +13,7 @@ from traitloom.operators import models as M
 from traitloom.operators import sampling as S
 from traitloom.plans import stats_queries
 from traitloom.plans.linkage_queries import UNITS
-from traitloom.registry import QUERIES
+from traitloom.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,6 +48,22 @@ def test_spacings_at_bucket_edges(spark):
     assert L.consistent_spacings(spacings, units, 0.0).count() == 0
 
 
+def test_spacings_do_not_hang_on_how_rows_are_split(spark, tmp_path):
+    # strip 15's mean is 25.959999999999997 in row order and 25.960000000000004 as 3.48 + (58.95 + 15.45); strip 3's lies 5 from it
+    readings = [(9191, 3, 7.74), (48880, 15, 3.48), (49766, 15, 58.95), (50014, 15, 15.45)]
+    (tmp_path / "events.parquet").mkdir()
+    for i, rows in enumerate((readings[:2], readings[2:])):
+        ids, days, values = zip(*rows, strict=True)
+        events = pd.DataFrame({"event_id": ids, "ts": [pd.Timestamp(2024, 1, d) for d in days], "user_id": 1107, "event_type": "view", "value": values, "props": "{}"})
+        events.to_parquet(tmp_path / "events.parquet" / f"part-{i}.parquet", coerce_timestamps="us")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL["jn19_consistent_spacings"]).fetchall()
+    got = [tuple(r) for r in QUERIES["jn19_consistent_spacings"](spark, str(tmp_path)).select("ruler_id", "strip_a", "unit_a", "cm_a", "strip_b", "unit_b", "cm_b").collect()]
+    assert sorted(got) == sorted(want)
+    assert not any(r[1:3] == (3, "4thcm") and r[4:6] == (15, "cm") for r in got)
+
+
 def contours():
     vectors = pd.read_parquet(f"{SF}/embeddings.parquet")
     return {int(v): np.floor(1000 * np.asarray(e, np.float64)[:64]).reshape(32, 2) for v, e in zip(vectors["vec_id"], vectors["embedding"], strict=True)}
