@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -262,6 +263,65 @@ def test_state_calls_of_tracks_do_not_grow_with_frames():
     assert state.calls < 40  # 100 frames
 
 
+def test_many_sources_share_calls_of_one_state(monkeypatch):
+    class Times:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = lambda: now
+
+    monkeypatch.setattr(tracking, "CHUNK", 300)  # many chunks, which overlap in time
+    rng, start, hold = random.Random(11), dt.datetime(2024, 1, 1), 2_000
+    rows = []
+    for s in range(60):
+        at = [(rng.randrange(60), rng.randrange(60)) for _ in range(4)]
+        for f in range(20):
+            if rng.random() < 0.8:
+                rows += [(f"s{s}", start + dt.timedelta(seconds=f), b, float(x), float(y), float(x + 20), float(y + 20)) for b, (x, y) in enumerate(at) if rng.random() < 0.8]
+            at = [(x + rng.randrange(-6, 7), y + rng.randrange(-6, 7)) for x, y in at]
+    zero = int(start.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    state, got, waits = Counted(), [], []
+    processor = tracking.HandOverFrames(0.3, hold)
+    processor.init(state)
+    names = ["lane", "source", "ts", "ms", "box", "x1", "y1", "x2", "y2"]
+    for begin, end, passed in ((0, 10, 4_500), (10, 20, 14_500), (20, 20, 900_000)):  # frames of each micro-batch, and how far the watermark is
+        batch = [(0, r[0], r[1], int((r[1] - start).total_seconds() * 1000) + zero, *r[2:]) for r in rows if begin <= (r[1] - start).total_seconds() < end]
+        rng.shuffle(batch)
+        for part in (batch[::2], batch[1::2]):
+            part = [*part, (0, "", start + dt.timedelta(hours=1), zero + 3_600_000, None, None, None, None, None)]  # a heartbeat
+            table = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], pa.schema([("lane", pa.int32()), ("source", pa.string()), ("ts", pa.timestamp("us")), ("ms", pa.int64()), ("box", pa.int64()), *((c, pa.float64()) for c in names[5:])]))
+            packed = [p.to_pandas() for p in tracking._packed(iter([table]))]
+            assert sum(map(len, packed)) == len({r[1:3] for r in part})  # a row per source and time
+            processor.handleInputRows((0,), iter(packed), None)
+        for ms in sorted({t for t in state.timers if t <= zero + passed}):
+            state.timers = [t for t in state.timers if t != ms]
+            for frame in processor.handleExpiredTimer((0,), Times(zero + passed), None):
+                got += [tuple(r) for r in frame[["source", "ms", "box", "since_ms", "first_box"]].itertuples(index=False)]
+        waits.append((max(g[1] for g in got) - zero, bool(state.rows)))
+    assert sorted(got) == walked(rows, 0.3, hold)
+    assert waits == [(4_000, True), (14_000, True), (19_000, False)] and state.value is None
+    assert state.calls < 150  # about 1,000 frames of 60 sources, 3,800 boxes
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 20])
+def test_pairs_taken_at_once_equal_pair_by_pair(monkeypatch, rounds):
+    monkeypatch.setattr(tracking, "ROUNDS", rounds)
+    monkeypatch.setattr(tracking, "AT_ONCE", 100)
+    rng = np.random.default_rng(rounds)
+    tracks, boxes = np.zeros(90, tracking._TRACK), np.zeros(120, tracking._WAITING)
+    for some in (tracks, boxes):
+        some["source"], some["box"] = np.sort(rng.integers(0, 4, len(some))), np.arange(len(some)) % 30
+        some["x1"], some["y1"] = rng.integers(0, 8, len(some)), rng.integers(0, 4, len(some))  # many equal overlaps
+        some["x2"], some["y2"] = some["x1"] + 6, some["y1"] + 6
+    tracks["ms"] = rng.integers(0, 3, len(tracks))
+    corners = lambda r: [r[c] for c in ("x1", "y1", "x2", "y2")]
+    pairs = sorted((-tracking.overlap(corners(t), corners(b)), t["ms"], t["box"], b["box"], i, j) for i, t in enumerate(tracks) for j, b in enumerate(boxes) if t["source"] == b["source"])
+    taken, want = set(), {}
+    for value, _, _, _, i, j in pairs:
+        if -value >= 0.3 and i not in taken and j not in want:
+            taken.add(i)
+            want[j] = i
+    assert tracking.matched(tracks, boxes, 0.3).tolist() == [want.get(j, -1) for j in range(len(boxes))]
+
+
 class Handle:
     """A state handle of one id, as far as the retry processor needs it."""
 
