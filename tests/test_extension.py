@@ -281,15 +281,15 @@ def test_many_sources_share_calls_of_one_state(monkeypatch):
     state, got, waits = Counted(), [], []
     processor = tracking.HandOverFrames(0.3, hold)
     processor.init(state)
-    names = ["lane", "source", "ts", "ms", "box", "x1", "y1", "x2", "y2"]
+    names = ["source", "ts", "box", "x1", "y1", "x2", "y2"]
     for begin, end, passed in ((0, 10, 4_500), (10, 20, 14_500), (20, 20, 900_000)):  # frames of each micro-batch, and how far the watermark is
-        batch = [(0, r[0], r[1], int((r[1] - start).total_seconds() * 1000) + zero, *r[2:]) for r in rows if begin <= (r[1] - start).total_seconds() < end]
+        batch = [r for r in rows if begin <= (r[1] - start).total_seconds() < end]
         rng.shuffle(batch)
         for part in (batch[::2], batch[1::2]):
-            part = [*part, (0, "", start + dt.timedelta(hours=1), zero + 3_600_000, None, None, None, None, None)]  # a heartbeat
-            table = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], pa.schema([("lane", pa.int32()), ("source", pa.string()), ("ts", pa.timestamp("us")), ("ms", pa.int64()), ("box", pa.int64()), *((c, pa.float64()) for c in names[5:])]))
+            part = [*part, ("", start + dt.timedelta(hours=1), None, None, None, None, None)]  # a heartbeat
+            table = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in part], pa.schema([("source", pa.string()), ("ts", pa.timestamp("us")), ("box", pa.int64()), *((c, pa.float64()) for c in names[3:])]))
             packed = [p.to_pandas() for p in tracking._packed(iter([table]))]
-            assert sum(map(len, packed)) == len({r[1:3] for r in part})  # a row per source and time
+            assert sum(map(len, packed)) == len({r[:2] for r in part})  # a row per source and time
             processor.handleInputRows((0,), iter(packed), None)
         for ms in sorted({t for t in state.timers if t <= zero + passed}):
             state.timers = [t for t in state.timers if t != ms]
